@@ -8,12 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.langcodes import label_code
+from corpusloom.llm.langid import detect_segments, fit_profiles, language_cases
 from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.repetition import find_repetitive, measure_repetition
 from corpusloom.llm.tokenize import encode_texts
 from corpusloom.session import table
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "detect_lang")
+    return detect_segments(rows, fit_profiles(rows))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_cases(_segments(spark, sf_dir)).select("id", "seg", "lang")
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _segments(spark, sf_dir).select("id", "label", F.posexplode_outer("segs").alias("seg", "s"))
+    return rows.select("id", "label", "seg", "s.lang", F.round("s.confidence", 4).alias("confidence"), "s.n_words")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
@@ -40,7 +55,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_mix, p7_shares, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p5_found, p5_segments, p6_ids, p7_mix, p7_shares, p8_found, p8_shares)}
 
 
 _P8 = r"""
