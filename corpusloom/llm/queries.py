@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.canonical import align_values, group_names, list_entries
 from corpusloom.llm.langcodes import label_code
 from corpusloom.llm.langid import detect_segments, fit_profiles, language_cases
 from corpusloom.llm.mixing import mix_sources
@@ -15,6 +16,20 @@ from corpusloom.llm.tokenize import encode_texts
 from corpusloom.session import table
 
 
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = list_entries(table(spark, sf_dir, "geonames"), "geonameid", ["name", "asciiname"], "alternatenames", "country_code", "population")
+    groups = group_names(table(spark, sf_dir, "countries"), "country_code", ["code3", "name", "local_name"])
+    return align_values(table(spark, sf_dir, "align_mentions"), entries, groups)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _aligned(spark, sf_dir).select("mention_id", F.col("entry").alias("geonameid"))
+
+
+def p4_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _aligned(spark, sf_dir).select("mention_id", F.col("entry").alias("geonameid"), "distance", F.round("confidence", 4).alias("confidence"))
+
+
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "detect_lang")
     return detect_segments(rows, fit_profiles(rows))
@@ -55,7 +70,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_segments, p6_ids, p7_mix, p7_shares, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p4_found, p4_alignments, p5_found, p5_segments, p6_ids, p7_mix, p7_shares, p8_found, p8_shares)}
 
 
 _P8 = r"""
