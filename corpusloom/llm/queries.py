@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.addresses import link_sites, site_pairs, town_names
 from corpusloom.llm.canonical import align_values, group_names, list_entries
 from corpusloom.llm.langcodes import label_code
 from corpusloom.llm.langid import detect_segments, fit_profiles, language_cases
@@ -16,6 +17,21 @@ from corpusloom.llm.tokenize import encode_texts
 from corpusloom.session import table
 
 
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    towns = town_names(table(spark, sf_dir, "geonames"), ["name", "asciiname"], "alternatenames")
+    countries = group_names(table(spark, sf_dir, "countries"), "country_code", ["code3", "name", "local_name"])
+    return link_sites(table(spark, sf_dir, "get_id"), towns, countries)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_pairs(_sites(spark, sf_dir))
+
+
+def p3_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = _sites(spark, sf_dir)
+    return sites.groupBy("site").agg(F.count(F.lit(1)).alias("n")).join(sites, "site").select("id", "site", (F.col("n") - 1).alias("links"))
+
+
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = list_entries(table(spark, sf_dir, "geonames"), "geonameid", ["name", "asciiname"], "alternatenames", "country_code", "population")
     groups = group_names(table(spark, sf_dir, "countries"), "country_code", ["code3", "name", "local_name"])
@@ -70,7 +86,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_alignments, p5_found, p5_segments, p6_ids, p7_mix, p7_shares, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p3_found, p3_sites, p4_found, p4_alignments, p5_found, p5_segments, p6_ids, p7_mix, p7_shares, p8_found, p8_shares)}
 
 
 _P8 = r"""
