@@ -12,11 +12,20 @@ from corpusloom.llm.canonical import align_values, group_names, list_entries
 from corpusloom.llm.langcodes import label_code
 from corpusloom.llm.langid import detect_segments, fit_profiles, language_cases
 from corpusloom.llm.mixing import mix_sources
+from corpusloom.llm.names import link_profiles, profile_pairs
 from corpusloom.llm.repetition import find_repetitive, measure_repetition
 from corpusloom.llm.tokenize import encode_texts
 from corpusloom.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile_pairs(link_profiles(table(spark, sf_dir, "author_profiles")))
+
+
+def p2_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_profiles(table(spark, sf_dir, "author_profiles"))
+
+
 def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     towns = town_names(table(spark, sf_dir, "geonames"), ["name", "asciiname"], "alternatenames")
     countries = group_names(table(spark, sf_dir, "countries"), "country_code", ["code3", "name", "local_name"])
@@ -86,7 +95,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_sites, p4_found, p4_alignments, p5_found, p5_segments, p6_ids, p7_mix, p7_shares, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p2_found, p2_persons, p3_found, p3_sites, p4_found, p4_alignments, p5_found, p5_segments, p6_ids, p7_mix, p7_shares, p8_found, p8_shares)}
 
 
 _P8 = r"""
