@@ -84,7 +84,7 @@ def lookup_keys(r: str) -> list[str]:
 
 
 def variant_pairs(names: DataFrame, col: str = "s") -> DataFrame:
-    """(a, b): pairs of distinct names within the faults that the shorter one allows, each pair once; exact."""
+    """(a, b, faults): pairs of distinct names within the faults that the shorter one allows, each pair once; exact."""
 
     def keys(of):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,20 +108,36 @@ def variant_pairs(names: DataFrame, col: str = "s") -> DataFrame:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             short = [k for k in range(len(a)) if len(b[k]) <= 64]
-            ok = np.zeros(len(a), bool)
+            d = np.full(len(a), 99, np.int32)
+            most = np.array([faults(len(x)) for x in a], np.int32)
             if short:
                 texts = list(dict.fromkeys([a[k] for k in short] + [b[k] for k in short]))
                 where = {s: i for i, s in enumerate(texts)}
                 codes, size = pack(texts)
                 ia, ib = np.array([where[a[k]] for k in short]), np.array([where[b[k]] for k in short])
-                most = np.array([faults(len(a[k])) for k in short])
-                ok[short] = distances(pattern_masks(codes, size), size, ia, codes, size, ib) <= most
+                d[short] = distances(pattern_masks(codes, size), size, ia, codes, size, ib)
             for k in range(len(a)):
                 if len(b[k]) > 64:
-                    ok[k] = banded(a[k], b[k], faults(len(a[k]))) <= faults(len(a[k]))
-            yield batch.filter(pa.array(ok))
+                    d[k] = banded(a[k], b[k], int(most[k]))
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["a", "b", "faults"])
+            yield out.filter(pa.array(d <= most))
 
-    return pairs.mapInArrow(verify, "a string, b string").distinct()
+    return pairs.mapInArrow(verify, "a string, b string, faults int").distinct()
+
+
+def families(names: DataFrame, col: str = "s", times: int = 3) -> DataFrame:
+    """(s, fam) for every distinct name: the usual spelling that it is a variant of, or itself.
+
+    A name is a variant of the nearest, then most frequent name within its faults that is at least ``times`` as frequent.
+    Variants are never chained, so names that lie close to one another by chance do not grow into one family.
+    """
+    seen = cut(names.select(F.col(col).alias("s")).filter("s is not null and s != ''").groupBy("s").agg(F.count(F.lit(1)).alias("n")))
+    pairs = variant_pairs(seen)
+    both = pairs.unionAll(pairs.selectExpr("b as a", "a as b", "faults"))
+    own, other = seen.select(F.col("s").alias("a"), F.col("n").alias("na")), seen.select(F.col("s").alias("b"), F.col("n").alias("nb"))
+    usual = both.join(own, "a").join(other, "b").filter(F.col("nb") >= times * F.col("na"))
+    chosen = usual.groupBy("a").agg(F.min_by("b", F.struct("faults", -F.col("nb"), "b")).alias("to"))
+    return seen.join(chosen.withColumnRenamed("a", "s"), "s", "left").select("s", F.coalesce("to", "s").alias("fam"))
 
 
 class NameReader:
@@ -300,9 +316,9 @@ def link_profiles(df: DataFrame, least: float = 2.0) -> DataFrame:
     """
     profiles = df.dropDuplicates(["profile_id"])
     rows = cut(read_profiles(profiles, given_names(profiles)))
-    pool = rows.select(F.col("surname").alias("s")).unionAll(rows.select(F.explode("coauthors").alias("s"))).filter("s != ''").distinct()
-    families = cut(components(variant_pairs(pool)))
-    family = lambda d, c, to: d.join(families.select(F.col("node").alias(c), F.col("root").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
+    pool = rows.select(F.col("surname").alias("s")).unionAll(rows.select(F.explode("coauthors").alias("s")))
+    known = cut(families(pool))
+    family = lambda d, c, to: d.join(known.select(F.col("s").alias(c), F.col("fam").alias(to)), c)
     named = family(rows.filter("surname != ''").select("profile_id", "given", "surname"), "surname", "fam")
     marks = rows.select("profile_id", F.explode("marks").alias("m")).select("profile_id", F.col("m.k").alias("k"), F.col("m.w").alias("w"))
     others = family(rows.select("profile_id", F.explode("coauthors").alias("c")), "c", "cf").select("profile_id", F.concat(F.lit("c:"), "cf").alias("k"), F.lit(2.0).alias("w")).distinct()

@@ -11,6 +11,7 @@ from corpusloom.llm.addresses import link_sites, site_pairs, town_names
 from corpusloom.llm.canonical import align_values, group_names, list_entries
 from corpusloom.llm.langcodes import label_code
 from corpusloom.llm.langid import detect_segments, fit_profiles, language_cases
+from corpusloom.llm.matching import match_references
 from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.names import link_profiles, profile_pairs
 from corpusloom.llm.repetition import find_repetitive, measure_repetition
@@ -18,6 +19,15 @@ from corpusloom.llm.tokenize import encode_texts
 from corpusloom.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_references(table(spark, sf_dir, "crossref_works"), table(spark, sf_dir, "bibrefs")).select("work_id", "ref_id")
+
+
+def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = match_references(table(spark, sf_dir, "crossref_works"), table(spark, sf_dir, "bibrefs"))
+    return rows.select("work_id", "ref_id", F.round("cosine", 4).alias("cosine"), F.round("confidence", 4).alias("confidence"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_pairs(link_profiles(table(spark, sf_dir, "author_profiles")))
 
@@ -95,7 +105,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_persons, p3_found, p3_sites, p4_found, p4_alignments, p5_found, p5_segments, p6_ids, p7_mix, p7_shares, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_persons, p3_found, p3_sites, p4_found, p4_alignments, p5_found, p5_segments, p6_ids, p7_mix, p7_shares, p8_found, p8_shares)}
 
 
 _P8 = r"""
