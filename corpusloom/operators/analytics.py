@@ -98,10 +98,10 @@ def node_threshold(df: DataFrame, item: str, count: str, few: int = 100, words:
     """(nodes, threshold): the least count of a node: 1 for few nodes; else the highest threshold with which at least
     ``words`` nodes stay, shares of 0.20, 0.225 ... 0.60 of all occurrences being tried in turn."""
     shares = cumulative_share(df, item, count)
-    levels = shares.groupBy(count).agg(F.max("share").alias("share"), F.count(F.lit(1)).alias("n"))
+    levels = shares.groupBy(count).agg(F.max("share").alias("share"), F.count(F.lit(1)).alias("_m"))
     kept = Window.orderBy(F.col(count).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    levels = levels.withColumn("nodes", F.sum("n").over(kept))
-    total = levels.agg(F.sum("n").alias("all"))
+    levels = levels.withColumn("nodes", F.sum("_m").over(kept))
+    total = levels.agg(F.sum("_m").alias("all"))
     steps = df.sparkSession.range(17).select((F.lit(0.20) + F.col("id") * 0.025).alias("try"))
     tried = steps.join(levels, F.col("share") >= F.col("try") - 1e-9).groupBy("try").agg(F.min("nodes").alias("nodes"), F.max(count).alias("threshold"))
     enough = tried.filter((F.col("nodes") >= words) | (F.col("try") >= 0.6 - 1e-9)).agg(F.min_by(F.struct("nodes", "threshold"), "try").alias("s"))

@@ -63,7 +63,7 @@ def corpus_terms(df: DataFrame, id_col: str, text_col: str, lang: str = "en", to
 
 
 #: Fixed value: a binomial: a capital genus (or its initial) and a species in small letters.
-BINOMIAL = "\\b(\\p{Lu}\\p{Ll}+|\\p{Lu}\\.) (\\p{Ll}[\\p{Ll}-]{2,})\\b"
+BINOMIAL = "(\\p{Lu}\\p{Ll}+|\\p{Lu}\\.) (\\p{Ll}[\\p{Ll}-]{2,})"
 
 
 def species_names(df: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -78,7 +78,7 @@ def species_names(df: DataFrame, names: DataFrame, id_col: str, text_col: str) -
     return full.unionByName(spelt.join(known, "name", "left_semi").select(id_col, "name")).distinct()
 
 
-def dictionary_tools(df: DataFrame, tools: list[str], text_col: str) -> Column:
+def dictionary_tools(tools: list[str], text_col: str) -> Column:
     """Names of a bounded list in a text, longest first, whole words, any case, each once in the order seen."""
     import re
 
