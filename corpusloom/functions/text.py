@@ -241,7 +241,7 @@ def humanize(c: Column) -> Column:
     words = F.split(F.lower(text), " ")
     last = singularize(F.element_at(words, -1))
     joined = F.trim(F.concat_ws(" ", F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), " "), last))
-    return F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, F.lit(2), F.length(joined)))
+    return F.when(c.isNotNull(), F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, F.lit(2), F.length(joined))))
 
 
 def abbreviations(c: Column) -> Column:

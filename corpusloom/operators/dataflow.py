@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut
+
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -243,16 +245,18 @@ def generate_ark(df: DataFrame, naan: str, sub: str, key: str, registry: DataFra
         total = F.aggregate(F.transform(signs, lambda s, i: F.coalesce(F.try_element_at(place, s), F.lit(0)) * (i + 1)), F.lit(0), lambda a, x: a + x)
         return F.concat(F.lit(f"ark:/{naan}/"), body, F.lit("-"), F.element_at(base, total % 29 + 1))
 
-    done = None
-    for salt in range(4):
+    done, salt, todo = None, 0, cut(todo)
+    while True:
         new = todo.withColumn("ark", code(salt)).withColumn("_n", F.row_number().over(Window.partitionBy("ark").orderBy(key))).filter("_n = 1").drop("_n")
         if taken is not None:
             new = new.join(taken, "ark", "left_anti")
-        new = new.select(key, "ark")
+        new = cut(new.select(key, "ark"))
         done = new if done is None else done.unionByName(new)
         taken = new.select("ark") if taken is None else taken.unionByName(new.select("ark"))
-        todo = todo.join(new.select(key), key, "left_anti")
-    return done
+        todo = cut(todo.join(new.select(key), key, "left_anti"))
+        if todo.limit(1).count() == 0:
+            return done
+        salt += 1
 
 
 def fork(df: DataFrame, *sinks: Callable[[DataFrame], None]) -> DataFrame:

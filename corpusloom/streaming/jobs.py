@@ -23,7 +23,8 @@ class Jobs:
 
     def _log(self, generator: str, identifier: str, state: str, message: str = "") -> None:
         row = self.spark.createDataFrame([(generator, identifier, state, message)], "generator string, identifier string, state string, message string")
-        row.withColumn("at", F.current_timestamp()).write.mode("append").json(f"{self.root}/log")
+        # a folder for each entry: jobs that end at the same time do not meet
+        row.withColumn("at", F.current_timestamp()).coalesce(1).write.json(f"{self.root}/log/{identifier}-{state}-{uuid.uuid4().hex[:8]}")
 
     def submit(self, generator: str, build: Callable[[], DataFrame]) -> dict[str, str]:
         """Starts a job and gives its ticket at once; the result is written under the ticket, an error ends in the log."""
@@ -42,12 +43,12 @@ class Jobs:
         t.start()
         return {"id": generator, "value": identifier}
 
-    def wait(self, identifier: str, seconds: float = 600) -> str:
+    def wait(self, identifier: str, seconds: float = 120) -> str:
         self._threads[identifier].join(seconds)
         return self.status(identifier)["state"]
 
     def log(self) -> DataFrame:
-        return self.spark.read.schema(_LOG).json(f"{self.root}/log")
+        return self.spark.read.schema(_LOG).option("recursiveFileLookup", "true").json(f"{self.root}/log")
 
     def status(self, identifier: str) -> dict[str, str]:
         """The first error if there is one, else the last state."""
