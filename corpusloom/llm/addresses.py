@@ -324,14 +324,14 @@ def _clusters(rows: DataFrame, block: list[str], name: str, least: float) -> Dat
     """(block columns, name, root): names of one block that are spellings of one another have one root."""
     distinct = rows.select(*block, name).filter(" and ".join(f"{c} is not null" for c in [*block, name])).distinct()
     keyed = distinct.select(F.concat_ws("\x1f", *block).alias("block"), F.col(name).alias("s"))
-    pairs = similar_pairs(keyed, same_name, least)
+    pairs = similar_pairs(keyed, same_name, least, n=2)
     node = lambda c: F.concat_ws("\x1e", "block", c)
     roots = components(pairs.select(node("a").alias("a"), node("b").alias("b")))
     keys = distinct.withColumn("node", F.concat_ws("\x1e", F.concat_ws("\x1f", *block), F.col(name)))
     return keys.join(roots, "node", "left").select(*block, name, F.coalesce("root", "node").alias("root"))
 
 
-def link_sites(df: DataFrame, towns: dict[str, str], countries: dict[str, str], id_col: str = "id", text_col: str = "value", least: float = 0.5) -> DataFrame:
+def link_sites(df: DataFrame, towns: dict[str, str], countries: dict[str, str], id_col: str = "id", text_col: str = "value", least: float = 0.35) -> DataFrame:
     """(id, site, country): the site of each record that denotes one.
 
     ``towns``: folded spellings of towns to their folded names; ``countries``: folded names and codes to codes. A record

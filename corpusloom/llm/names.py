@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.graph import components
-from corpusloom.llm.text import banded, distances, fold, pack, pattern_masks, plain
+from corpusloom.llm.text import banded, distances, fold, pack, pattern_masks, plain, with_swaps
 from corpusloom.session import cut, spread
 
 #: Particles of surnames, short forms of given names, words of organisations' names, prepositions in titles.
@@ -252,7 +252,7 @@ def same_given(a: list[str], b: list[str]) -> int:
     if "".join(a) == "".join(b):
         return 3
     most = 1 if len(long) < 6 else 2
-    if banded(x, y, most) <= most and x[0] == y[0]:
+    if x[0] == y[0] and (banded(x, y, most) <= most or (len(short) >= 4 and with_swaps(x, y) <= 1)):
         return 2
     return 2 if banded(x, y, 1) <= 1 and len(long) >= 6 else 0
 
