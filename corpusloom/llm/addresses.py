@@ -331,7 +331,7 @@ def _clusters(rows: DataFrame, block: list[str], name: str, least: float) -> Dat
     return keys.join(roots, "node", "left").select(*block, name, F.coalesce("root", "node").alias("root"))
 
 
-def link_sites(df: DataFrame, towns: dict[str, str], countries: dict[str, str], id_col: str = "id", text_col: str = "value", least: float = 0.35) -> DataFrame:
+def link_sites(df: DataFrame, towns: dict[str, str], countries: dict[str, str], id_col: str = "id", text_col: str = "value", least: float = 0.3) -> DataFrame:
     """(id, site, country): the site of each record that denotes one.
 
     ``towns``: folded spellings of towns to their folded names; ``countries``: folded names and codes to codes. A record
