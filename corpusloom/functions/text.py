@@ -134,7 +134,7 @@ def find_units(c: Column) -> Column:
 
 #: Words that open the name of a private company or a public body.
 PRIVATE_WORDS = ("gmbh", "inc", "ltd", "llc", "corp", "company", "sa", "sas", "sarl", "spa", "bv", "plc", "ag")
-PUBLIC_WORDS = ("university", "universite", "universidad", "universita", "universitat", "cnrs", "inserm", "ministry", "ministere", "hospital", "chu", "school", "ecole", "institute", "institut")
+PUBLIC_WORDS = ("university", "universite", "universidad", "universita", "universitat", "ministry", "ministere", "hospital", "chu", "school", "ecole", "institute", "institut")
 
 
 def first_token_kind(c: Column, private: tuple[str, ...] = PRIVATE_WORDS, public: tuple[str, ...] = PUBLIC_WORDS) -> Column:

@@ -129,7 +129,7 @@ def name_forms(spark, d):
 
 
 @query(r"""
-SELECT DISTINCT id, coalesce(list_filter(w, lambda x: list_contains(['gmbh','inc','ltd','llc','corp','company','sa','sas','sarl','spa','bv','plc','ag','university','universite','universidad','universita','universitat','cnrs','inserm','ministry','ministere','hospital','chu','school','ecole','institute','institut'], x))[1], '') AS word,
+SELECT DISTINCT id, coalesce(list_filter(w, lambda x: list_contains(['gmbh','inc','ltd','llc','corp','company','sa','sas','sarl','spa','bv','plc','ag','university','universite','universidad','universita','universitat','ministry','ministere','hospital','chu','school','ecole','institute','institut'], x))[1], '') AS word,
   CASE WHEN word = '' THEN 'n/a' WHEN word IN ('gmbh','inc','ltd','llc','corp','company','sa','sas','sarl','spa','bv','plc','ag') THEN 'private' ELSE 'public' END AS kind
 FROM (SELECT id, string_split(trim(regexp_replace(lower(""" + _fold("value") + r"""), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM get_id)
 """)
