@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.canonical import SHORT_WORDS, BKTree
 from corpusloom.operators.graph import components
 from corpusloom.llm.ngrams import similar_pairs
-from corpusloom.llm.text import banded, fold, plain
+from corpusloom.llm.text import banded, fold, plain, with_swaps
 from corpusloom.session import cut, spread
 
 #: Kinds of organisations, departments and streets, and small words, in the languages of the addresses, folded.
@@ -286,12 +286,12 @@ MOST_NAMES = 500_000
 
 
 def same_name(a: str, b: str) -> bool:
-    """Whether two streets or organisations of one town are one name: up to two typing faults, or a kind left at the end."""
+    """Whether two streets or organisations of one town are one name: up to three typing faults by length, or a misspelt kind left at one end."""
     short, long = sorted((a, b), key=len)
-    if len(short) >= 6 and len(long) - len(short) <= 7 and long.startswith(short):
+    if len(short) >= 5 and len(long) - len(short) <= 7 and (long.startswith(short if len(short) > 5 else short + " ") or long.endswith(" " + short)):
         return True
     most = 1 if len(short) < 6 else 2 if len(short) < 12 else 3
-    return banded(a, b, most) <= most
+    return banded(a, b, most) <= most or (4 <= len(short) < 6 and with_swaps(a, b) <= 1)
 
 
 def read_addresses(df: DataFrame, id_col: str, text_col: str, towns: dict[str, str], countries: dict[str, str]) -> DataFrame:
