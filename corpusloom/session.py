@@ -81,3 +81,11 @@ def ship(spark: SparkSession) -> None:
                     z.write(path, os.path.join("corpusloom", os.path.relpath(path, root)))
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+
+
+def once(df: DataFrame, key: str) -> DataFrame:
+    """Each key once, in as many partitions as there are cores or shuffle partitions: one shuffle, which stays that wide
+    for the Python work that follows."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, key).dropDuplicates([key])
