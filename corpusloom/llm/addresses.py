@@ -20,7 +20,7 @@ from corpusloom.llm.canonical import SHORT_WORDS, BKTree
 from corpusloom.operators.graph import components
 from corpusloom.llm.ngrams import similar_pairs
 from corpusloom.llm.text import banded, fold, plain, with_swaps
-from corpusloom.session import cut, spread
+from corpusloom.session import cut, once
 
 #: Kinds of organisations, departments and streets, and small words, in the languages of the addresses, folded.
 ORG_WORDS = (
@@ -314,7 +314,7 @@ def read_addresses(df: DataFrame, id_col: str, text_col: str, towns: dict[str, s
             rows = [(i, names.get(t := found.get(a.town, a.town), t), a.country, a.postcode, a.org, a.initials, a.acronym, a.street, a.number) for i, a in zip(pdf["id"], read)]
             yield pd.DataFrame(rows, columns=["id", "town", "country", "postcode", "org", "initials", "acronym", "street", "number"]).replace({"": None})
 
-    src = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("value")).filter("value is not null"))
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("value")).filter("value is not null")
     text = "town string, country string, postcode string, org string, initials string, acronym string, street string, number string"
     out = src.mapInPandas(run, f"id {df.schema[id_col].dataType.simpleString()}, {text}")
     return out.filter("org is not null or (street is not null and number is not null) or (acronym is not null and town is not null)")
@@ -339,7 +339,7 @@ def link_sites(df: DataFrame, towns: dict[str, str], countries: dict[str, str],
     site. A record without a street goes to the one street address of its organisation in its town; if there are several,
     to the one with its postal code, or else the one most records give.
     """
-    rows = cut(read_addresses(df.dropDuplicates([id_col]), id_col, text_col, towns, countries).withColumn("town", F.coalesce("town", F.concat(F.lit("#"), "postcode"))))
+    rows = cut(read_addresses(once(df, id_col), id_col, text_col, towns, countries).withColumn("town", F.coalesce("town", F.concat(F.lit("#"), "postcode"))))
     streets = _clusters(rows, ["town", "number"], "street", least).withColumnRenamed("root", "place")
     orgs = _clusters(rows, ["town"], "org", least).withColumnRenamed("root", "body")
     rows = rows.join(streets, ["town", "number", "street"], "left").join(orgs, ["town", "org"], "left")

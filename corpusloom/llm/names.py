@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.graph import components
 from corpusloom.llm.text import banded, distances, fold, pack, pattern_masks, plain, with_swaps
-from corpusloom.session import cut, spread
+from corpusloom.session import cut, once
 
 #: Particles of surnames, short forms of given names, words of organisations' names, prepositions in titles.
 PARTICLES = frozenset(("de", "du", "des", "d", "la", "le", "van", "von", "vom", "der", "den", "ter", "della", "di", "del", "da", "dos", "zu"))
@@ -42,6 +42,8 @@ NO_NAME = frozenset(
 )
 PREPOSITIONS = frozenset("in under through without after with against for near across beyond during the of and between from by to on at over".split())
 
+#: What is read of a profile.
+PROFILE = ["profile_id", "firstName", "lastName", "email", "affiliations", "titles", "coAuthors"]
 #: Words of given names that the reader knows, the most frequent ones; the model is fitted on all profiles.
 MOST_GIVEN = 50_000
 
@@ -302,8 +304,7 @@ def read_profiles(df: DataFrame, given: dict[str, float]) -> DataFrame:
             yield pd.DataFrame(out, columns=["profile_id", "given", "surname", "coauthors", "marks"])
 
     id_type = df.schema["profile_id"].dataType.simpleString()
-    cols = ["profile_id", "firstName", "lastName", "email", "affiliations", "titles", "coAuthors"]
-    return spread(df.select(*cols)).mapInPandas(run, f"profile_id {id_type}, given array<string>, surname string, coauthors array<string>, marks array<struct<k:string,w:double>>")
+    return df.select(*PROFILE).mapInPandas(run, f"profile_id {id_type}, given array<string>, surname string, coauthors array<string>, marks array<struct<k:string,w:double>>")
 
 
 def link_profiles(df: DataFrame, least: float = 2.0) -> DataFrame:
@@ -314,7 +315,7 @@ def link_profiles(df: DataFrame, least: float = 2.0) -> DataFrame:
     of evidence, so a frequent surname makes no group of all its profiles. Profiles with too little to compare go to
     the one person of their name, if there is one.
     """
-    profiles = df.dropDuplicates(["profile_id"])
+    profiles = once(df.select(*PROFILE), "profile_id")
     rows = cut(read_profiles(profiles, given_names(profiles)))
     pool = rows.select(F.col("surname").alias("s")).unionAll(rows.select(F.explode("coauthors").alias("s")))
     known = cut(families(pool))
