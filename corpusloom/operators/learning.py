@@ -86,6 +86,23 @@ def topics(df: DataFrame, id_col: str, text_col: str, k: int = 5, words: int = 1
     return docs, pairs.select("topic", F.get(vocabulary, F.col("termIndices")).alias("word"), F.col("termWeights").alias("weight"))
 
 
+def choose_topics(df: DataFrame, text_col: str, low: int = 2, high: int = 18, step: int = 4, iterations: int = 5, seed: int = 42) -> int:
+    """The number of topics with the lowest perplexity bound: every ``step`` first, then the neighbours of the best."""
+    rows = df.select(topic_words(F.col(text_col)).alias("words")).filter("size(words) > 0")
+    data = CountVectorizer(inputCol="words", outputCol="counts", minDF=2.0, maxDF=0.5, vocabSize=20_000).fit(rows).transform(rows).select("counts").persist()
+    known: dict[int, float] = {}
+
+    def bound(k: int) -> float:
+        if k not in known:
+            known[k] = LDA(featuresCol="counts", k=k, seed=seed, maxIter=iterations, optimizer="online").fit(data).logPerplexity(data)
+        return known[k]
+
+    best = min(range(low, high + 1, step), key=bound)
+    best = min(range(max(low, best - 2), min(high, best + 2) + 1), key=bound)
+    data.unpersist()
+    return best
+
+
 def choose_clusters(df: DataFrame, vec_col: str, low: int = 2, high: int = 21, seed: int = 42) -> int:
     """The number of clusters with the best silhouette, by ternary search between low and high."""
     data = df.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features")).persist()

@@ -107,3 +107,17 @@ def labelled_spans(df: DataFrame, tokens: str, tags: str, scores: str | None = N
     spans = F.aggregate(rows, empty, step)
     good = F.filter(spans, lambda s: (s["tag"] != "O") & (s["sum"] / s["n"] >= least) & (F.length(s["text"]) > 1) & s["text"].rlike("[\\p{L}\\p{N}]"))
     return F.transform(good, lambda s: F.struct(s["text"].alias("text"), s["tag"].alias("tag"), (s["sum"] / s["n"]).alias("score")))
+
+
+def match_score(count: Column, total: Column, notices: Column) -> Column:
+    """How sure a term of a document stands for a notice: its share of the document's matches and how few notices share it."""
+    return 0.7 * F.pow(count / total, F.lit(0.25)) + 0.3 * F.pow(1 / notices, F.lit(0.5))
+
+
+def score_matches(matches: DataFrame, id_col: str, term: str = "term") -> DataFrame:
+    """(id, term, count, score): terms found in documents, a term that several notices have counting less."""
+    counts = matches.groupBy(id_col, term).agg(F.count(F.lit(1)).alias("count"))
+    total = F.sum("count").over(Window.partitionBy(id_col))
+    docs = matches.groupBy(term).agg(F.countDistinct(id_col).alias("_docs"))
+    rows = counts.withColumn("_total", total).join(docs, term)
+    return rows.select(id_col, term, "count", match_score(F.col("count"), F.col("_total"), F.col("_docs")).alias("score"))

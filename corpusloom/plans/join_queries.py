@@ -165,3 +165,19 @@ JOIN (SELECT lower(citing_doi) AS doi, min(raw_ref) AS title FROM bibrefs WHERE
 def most_cited(spark, d):
     refs = table(spark, d, "bibrefs")
     return R.top_cited(refs, refs.select(F.col("citing_doi").alias("doi"), F.col("raw_ref").alias("title")), "author", "citing_doi")
+
+
+@query(r"""
+WITH a AS (SELECT DISTINCT id, value FROM get_id), p AS (SELECT id, generate_subscripts(v, 1) AS pos, unnest(v) AS part FROM (SELECT id, string_split_regex(lower(value), '\s*[,;\n]+\s*') AS v FROM a WHERE value IS NOT NULL)),
+c AS (SELECT lower(name) AS k, country_code AS v FROM countries UNION SELECT lower(local_name), country_code FROM countries UNION SELECT lower(code3), country_code FROM countries UNION SELECT lower(country_code), country_code FROM countries),
+h AS (SELECT id, arg_max(v, pos) AS v FROM p JOIN c ON trim(p.part) = c.k GROUP BY id)
+SELECT a.id, coalesce(h.v, 'n/a') AS country FROM (SELECT DISTINCT id FROM a) a LEFT JOIN h USING (id)
+""")
+def address_countries(spark, d):
+    rows = table(spark, d, "get_id").select("id", "value").distinct()
+    c = table(spark, d, "countries")
+    names = c.select(F.lower("name").alias("k"), F.col("country_code").alias("v"))
+    for col in ("local_name", "code3", "country_code"):
+        names = names.union(c.select(F.lower(col), "country_code"))
+    parts = F.reverse(F.transform(F.split(F.lower("value"), "\\s*[,;\\n]+\\s*"), lambda p: F.trim(p)))
+    return J.lookup_any(rows, names.distinct(), "id", F.coalesce(parts, F.array().cast("array<string>")), "k", "v", default="n/a", name="country").select("id", "country")

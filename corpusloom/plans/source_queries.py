@@ -84,3 +84,9 @@ def streamed_totals(spark, d):
 @query("SELECT count(DISTINCT event_id) AS n FROM events")
 def streamed_once(spark, d):
     return R.run_available(R.first_seen(R.stream_of(spark, d, "events"), "event_id", "ts")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_nationkey, n_name AS name, 'r' || n_regionkey AS region, ['a', n_name] AS parts FROM nation")
+def xml_paths(spark, d):
+    xml = F.concat(F.lit('<t:doc xmlns:t="urn:x"><t:head id="r'), F.col("n_regionkey").cast("string"), F.lit('"><t:name>'), F.col("n_name"), F.lit("</t:name></t:head><t:p>a</t:p><t:p>"), F.col("n_name"), F.lit("</t:p></t:doc>"))
+    return S.xml_fields(table(spark, d, "nation").select("n_nationkey", xml.alias("x")), "x", name="doc/head/name", region="doc/head/@id", parts="doc/p/text()")

@@ -90,3 +90,12 @@ def longest_annotations(spark, d):
     words = F.split(F.lower("p_name"), " ")
     terms = part.select(F.array_join(F.slice(words, 1, 2), " ").alias("term")).union(part.select(words[0])).distinct()
     return J.longest_match(J.contained_terms(part, terms, "p_partkey", "p_name", "term", 2), "p_partkey")
+
+
+@query(r"""
+WITH m AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS term FROM part), c AS (SELECT p_partkey, term, count(*) AS n FROM m GROUP BY 1, 2), d AS (SELECT term, count(DISTINCT p_partkey) AS k FROM m GROUP BY 1)
+SELECT p_partkey, term, n AS count, round(0.7 * pow(n / sum(n) OVER (PARTITION BY p_partkey), 0.25) + 0.3 * pow(1.0 / k, 0.5), 6) AS score FROM c JOIN d USING (term)
+""")
+def scored_matches(spark, d):
+    matches = table(spark, d, "part").select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")).alias("term"))
+    return X.score_matches(matches, "p_partkey").withColumn("score", F.round("score", 6))

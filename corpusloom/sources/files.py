@@ -40,6 +40,16 @@ def read_xml(spark: SparkSession, path: str, row: str, schema: str | None = None
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def xml_fields(df: DataFrame, column: str, **paths: str) -> DataFrame:
+    """Fields of XML documents by path: the first text of a path, or all of them for a path that ends in ``/text()``.
+
+    Namespace prefixes are taken off first, so that paths need none; a document that is no XML ends the job.
+    """
+    bare = F.regexp_replace(F.regexp_replace(column, "\\sxmlns(?::\\w+)?=\"[^\"]*\"", ""), "(</?)\\w+:", "$1")
+    fields = [(F.xpath(bare, F.lit(p)) if p.endswith("/text()") else F.xpath_string(bare, F.lit(p))).alias(n) for n, p in paths.items()]
+    return df.select(*[c for c in df.columns if c != column], *fields)
+
+
 def read_binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 

@@ -166,3 +166,8 @@ def test_jobs_keep_the_first_error(spark, tmp_path):
     good, bad = jobs.submit("ok", lambda: spark.range(3)), jobs.submit("bad", lambda: spark.sql("select * from no_such_table"))
     assert jobs.wait(good["value"]) == "done" and jobs.result(good["value"]).count() == 3
     assert jobs.wait(bad["value"]) == "error" and "no_such_table" in jobs.status(bad["value"])["message"]
+
+
+def test_number_of_topics_is_in_range(spark):
+    texts = [("stone river mountain valley forest",), ("plasma signal sensor network model",)] * 20
+    assert 2 <= L.choose_topics(spark.createDataFrame(texts, "t string"), "t", high=4, step=2, iterations=2) <= 4
