@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -42,7 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
+        own = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
@@ -51,9 +55,24 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_tables: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that ``cut`` has written so far; results that still read them must be stored before."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _tables:
+        path = hadoop.Path(_tables.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Repartitions a scan that has fewer partitions than the cluster has cores; larger scans stay as they are.
 
@@ -72,7 +91,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="corpusloom-"), "corpusloom.zip")
+    own = tempfile.mkdtemp(prefix="corpusloom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    target = os.path.join(own, "corpusloom.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(root):
             for f in files:

@@ -171,3 +171,11 @@ def test_jobs_keep_the_first_error(spark, tmp_path):
 def test_number_of_topics_is_in_range(spark):
     texts = [("stone river mountain valley forest",), ("plasma signal sensor network model",)] * 20
     assert 2 <= L.choose_topics(spark.createDataFrame(texts, "t string"), "t", high=4, step=2, iterations=2) <= 4
+
+
+def test_cut_tables_can_be_released(spark):
+    from corpusloom.session import cut, once, release
+
+    rows = cut(spark.range(10).withColumn("k", F.col("id") % 3))
+    assert once(rows, "k").count() == 3
+    assert release(spark) >= 1 and release(spark) == 0
