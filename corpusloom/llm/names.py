@@ -3,7 +3,8 @@
 Surnames that differ by a few typing faults are found by a pigeonhole segment join: a name cut into k + 1 segments
 keeps one of them unharmed under k faults, so its segments are indexed and every other name looks up the substrings
 that could be that segment, given how far faults can have shifted it; a banded edit distance decides. Profiles of one
-surname family whose given names agree are linked if their e-mail, affiliation, co-authors or subjects agree too.
+surname family whose given names agree are linked if their e-mail, affiliation, co-authors or subjects agree too;
+those of two spellings that no frequency puts into one family, if their e-mail, affiliation or co-authors agree.
 """
 
 from __future__ import annotations
@@ -127,14 +128,15 @@ def variant_pairs(names: DataFrame, col: str = "s") -> DataFrame:
     return pairs.mapInArrow(verify, "a string, b string, faults int").distinct()
 
 
-def families(names: DataFrame, col: str = "s", times: int = 3) -> DataFrame:
+def families(names: DataFrame, col: str = "s", times: int = 3, pairs: DataFrame | None = None) -> DataFrame:
     """(s, fam) for every distinct name: the usual spelling that it is a variant of, or itself.
 
     A name is a variant of the nearest, then most frequent name within its faults that is at least ``times`` as frequent.
     Variants are never chained, so names that lie close to one another by chance do not grow into one family.
+    ``pairs``: the names' variant_pairs where they are known already.
     """
     seen = cut(names.select(F.col(col).alias("s")).filter("s is not null and s != ''").groupBy("s").agg(F.count(F.lit(1)).alias("n")))
-    pairs = variant_pairs(seen)
+    pairs = variant_pairs(seen) if pairs is None else pairs
     both = pairs.unionAll(pairs.selectExpr("b as a", "a as b", "faults"))
     own, other = seen.select(F.col("s").alias("a"), F.col("n").alias("na")), seen.select(F.col("s").alias("b"), F.col("n").alias("nb"))
     usual = both.join(own, "a").join(other, "b").filter(F.col("nb") >= times * F.col("na"))
@@ -307,29 +309,42 @@ def read_profiles(df: DataFrame, given: dict[str, float]) -> DataFrame:
     return df.select(*PROFILE).mapInPandas(run, f"profile_id {id_type}, given array<string>, surname string, coauthors array<string>, marks array<struct<k:string,w:double>>")
 
 
+def across_families(evidence: DataFrame, variants: DataFrame) -> DataFrame:
+    """(a, b, ga, gb, k, w), a < b: each e-mail, affiliation or co-author that two profiles share whose surnames are
+    variants of two families. A subject decides only within a family."""
+    firm = evidence.filter("k not like 't:%'")
+    a, b = (firm.select(F.col("surname").alias("s" + c), "k", *more, F.struct("profile_id", "given", "fam").alias(c)) for c, more in (("a", ["w"]), ("b", [])))
+    both = variants.select(F.col("a").alias("sa"), F.col("b").alias("sb")).join(a, "sa").join(b, ["sb", "k"]).filter("a.fam != b.fam and a.profile_id != b.profile_id")
+    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "k", "w")
+    return both.select(F.col("a.profile_id").alias("a"), F.col("b.profile_id").alias("b"), F.col("a.given").alias("ga"), F.col("b.given").alias("gb"), "k", "w")
+
+
 def link_profiles(df: DataFrame, least: float = 2.0) -> DataFrame:
     """(profile_id, person, links): the person of each profile, named by its least profile_id, and its number of links.
 
     ``df``: profile_id, firstName, lastName, email, affiliations, titles, coAuthors. A profile delivered twice counts
     once; one without any name stands alone. Profiles of one surname family are compared only where they share a piece
-    of evidence, so a frequent surname makes no group of all its profiles. Profiles with too little to compare go to
-    the one person of their name, if there is one.
+    of evidence, so a frequent surname makes no group of all its profiles. Profiles of two families whose surnames are
+    variants, whatever their frequencies, are compared where they share an e-mail, an affiliation or a co-author.
+    Profiles with too little to compare go to the one person of their name, if there is one.
     """
     profiles = once(df.select(*PROFILE), "profile_id")
     rows = cut(read_profiles(profiles, given_names(profiles)))
     pool = rows.select(F.col("surname").alias("s")).unionAll(rows.select(F.explode("coauthors").alias("s")))
-    known = cut(families(pool))
+    variants = cut(variant_pairs(pool))
+    known = cut(families(pool, pairs=variants))
     family = lambda d, c, to: d.join(known.select(F.col("s").alias(c), F.col("fam").alias(to)), c)
     named = family(rows.filter("surname != ''").select("profile_id", "given", "surname"), "surname", "fam")
     marks = rows.select("profile_id", F.explode("marks").alias("m")).select("profile_id", F.col("m.k").alias("k"), F.col("m.w").alias("w"))
     others = family(rows.select("profile_id", F.explode("coauthors").alias("c")), "c", "cf").select("profile_id", F.concat(F.lit("c:"), "cf").alias("k"), F.lit(2.0).alias("w")).distinct()
-    evidence = cut(named.join(marks.unionAll(others), "profile_id").filter(F.col("k") != F.concat(F.lit("c:"), "fam")).select("profile_id", "given", "fam", "k", "w"))
+    evidence = cut(named.join(marks.unionAll(others), "profile_id").filter(F.col("k") != F.concat(F.lit("c:"), "fam")).select("profile_id", "given", "surname", "fam", "k", "w"))
     kinds = evidence.groupBy("profile_id").agg(
         F.sum(F.col("k").startswith("a:").cast("int")).alias("na"), F.sum(F.col("k").startswith("c:").cast("int")).alias("nc"), F.sum(F.col("k").startswith("e:").cast("int")).alias("ne")
     )
     a = evidence.select("fam", "k", "w", F.col("profile_id").alias("a"), F.col("given").alias("ga"))
     b = evidence.select("fam", "k", F.col("profile_id").alias("b"), F.col("given").alias("gb"))
-    shared = a.join(b, ["fam", "k"]).filter("a < b").groupBy("fam", "a", "b").agg(
+    within = a.join(b, ["fam", "k"]).filter("a < b").select("a", "b", "ga", "gb", "k", "w")
+    shared = within.unionAll(across_families(evidence, variants)).groupBy("a", "b").agg(
         F.first("ga").alias("ga"), F.first("gb").alias("gb"), F.sum("w").alias("score"),
         F.max(F.col("k").startswith("a:").cast("int")).alias("sa"), F.sum(F.col("k").startswith("c:").cast("int")).alias("sc"), F.max(F.col("k").startswith("e:").cast("int")).alias("se"),
     )
@@ -342,7 +357,7 @@ def link_profiles(df: DataFrame, least: float = 2.0) -> DataFrame:
         + F.when((F.col("nca") >= 2) & (F.col("ncb") >= 2) & (F.col("sc") == 0), 1.5).otherwise(0.0)
         + F.when((F.col("nea") > 0) & (F.col("neb") > 0) & (F.col("se") == 0), 2.0).otherwise(0.0)
     )
-    pairs = cut(pairs.withColumn("score", F.col("score") - against).filter(F.col("score") >= least).select("fam", "a", "b", "ga", "gb", "level", "score"))
+    pairs = cut(pairs.withColumn("score", F.col("score") - against).filter(F.col("score") >= least).select("a", "b", "ga", "gb", "level", "score"))
     # names written out first; who gives initials only is added to the one group that fits best
     sure = pairs.filter("level >= 2")
     full = components(sure.select("a", "b"))

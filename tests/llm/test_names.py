@@ -77,3 +77,14 @@ def test_linking(spark):
 
 def test_empty(spark):
     assert link_profiles(profiles(spark).limit(0)).count() == 0
+
+
+def test_rare_spellings_are_linked_by_shared_evidence(spark):
+    rows = [
+        (1, 1, "Anna", "Droltavulm", ["a@x.org"], None, None, None), (2, 2, "Anna", "Droltawulm", ["A@x.org"], None, None, None),
+        (3, 3, "Bert", "Quimsander", None, ["Institut Zorvan"], None, None), (4, 4, "Bert", "Quimsanter", None, ["Institut Zorvan"], None, None), (5, 5, "Bert", "Quimsanter", None, ["Institut Zorvan"], None, None),
+        (6, 6, "Carl", "Wolmarinth", None, None, ["Stone walls in rivers"], None), (7, 7, "Carl", "Wolmarintz", None, None, ["Stone walls in rivers"], None),
+        (8, 8, "Dora", "Droltawulm", ["a@x.org"], None, None, None),
+    ]
+    got = {(r["profile_id_a"], r["profile_id_b"]) for r in profile_pairs(link_profiles(spark.createDataFrame([(*r, "clash") for r in rows], COLS))).collect()}
+    assert got == {(1, 2), (3, 4), (3, 5), (4, 5)}
