@@ -4,7 +4,8 @@ Surnames that differ by a few typing faults are found by a pigeonhole segment jo
 keeps one of them unharmed under k faults, so its segments are indexed and every other name looks up the substrings
 that could be that segment, given how far faults can have shifted it; a banded edit distance decides. Profiles of one
 surname family whose given names agree are linked if their e-mail, affiliation, co-authors or subjects agree too;
-those of two spellings that no frequency puts into one family, if their e-mail, affiliation or co-authors agree.
+those of two spellings that no frequency puts into one family, if their e-mail, affiliation or co-authors agree; for
+these, one fault in a name of three or four letters and one exchange of neighbours count too.
 """
 
 from __future__ import annotations
@@ -128,6 +129,37 @@ def variant_pairs(names: DataFrame, col: str = "s") -> DataFrame:
     return pairs.mapInArrow(verify, "a string, b string, faults int").distinct()
 
 
+#: Lengths of the shorter of two names in which one fault or one exchange of neighbours is looked for.
+ONE_FAULT = (3, 7)
+
+
+def without_one(s: str) -> list[str]:
+    """The name and all that is left of it without one letter: names that are one fault or exchange apart share one of these."""
+    return [s, *dict.fromkeys(s[:k] + s[k + 1 :] for k in range(len(s)))]
+
+
+def close_pairs(names: DataFrame, col: str = "s") -> DataFrame:
+    """(a, b), the shorter first: pairs of distinct names of which the shorter has ONE_FAULT letters and that are one
+    fault or one exchange of neighbours apart; exact."""
+    least, most = ONE_FAULT
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, s) for s in b.column(0).to_pylist() for k in without_one(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.string())], names=["key", "s"])
+
+    src = names.select(F.col(col).alias("s")).filter(F.length("s").between(least, most + 1)).distinct()
+    keyed = src.mapInArrow(keys, "key string, s string")
+    near = (F.length("a") < F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
+    pairs = keyed.withColumnRenamed("s", "a").join(keyed.withColumnRenamed("s", "b"), "key").filter(near & (F.length("a") <= most)).select("a", "b").distinct()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([with_swaps(x, y) <= 1 for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.bool_()))
+
+    return pairs.mapInArrow(verify, "a string, b string")
+
+
 def families(names: DataFrame, col: str = "s", times: int = 3, pairs: DataFrame | None = None) -> DataFrame:
     """(s, fam) for every distinct name: the usual spelling that it is a variant of, or itself.
 
@@ -333,6 +365,8 @@ def link_profiles(df: DataFrame, least: float = 2.0) -> DataFrame:
     pool = rows.select(F.col("surname").alias("s")).unionAll(rows.select(F.explode("coauthors").alias("s")))
     variants = cut(variant_pairs(pool))
     known = cut(families(pool, pairs=variants))
+    # faults in short names and exchanges count by shared evidence only: by chance many short names are that close
+    spellings = cut(variants.select("a", "b").unionAll(close_pairs(rows, "surname")).distinct())
     family = lambda d, c, to: d.join(known.select(F.col("s").alias(c), F.col("fam").alias(to)), c)
     named = family(rows.filter("surname != ''").select("profile_id", "given", "surname"), "surname", "fam")
     marks = rows.select("profile_id", F.explode("marks").alias("m")).select("profile_id", F.col("m.k").alias("k"), F.col("m.w").alias("w"))
@@ -344,7 +378,7 @@ def link_profiles(df: DataFrame, least: float = 2.0) -> DataFrame:
     a = evidence.select("fam", "k", "w", F.col("profile_id").alias("a"), F.col("given").alias("ga"))
     b = evidence.select("fam", "k", F.col("profile_id").alias("b"), F.col("given").alias("gb"))
     within = a.join(b, ["fam", "k"]).filter("a < b").select("a", "b", "ga", "gb", "k", "w")
-    shared = within.unionAll(across_families(evidence, variants)).groupBy("a", "b").agg(
+    shared = within.unionAll(across_families(evidence, spellings)).groupBy("a", "b").agg(
         F.first("ga").alias("ga"), F.first("gb").alias("gb"), F.sum("w").alias("score"),
         F.max(F.col("k").startswith("a:").cast("int")).alias("sa"), F.sum(F.col("k").startswith("c:").cast("int")).alias("sc"), F.max(F.col("k").startswith("e:").cast("int")).alias("se"),
     )

@@ -1,6 +1,7 @@
 import random
 
-from corpusloom.llm.names import NameReader, faults, index_keys, link_profiles, lookup_keys, profile_pairs, same_given, variant_pairs
+from corpusloom.llm.names import NameReader, close_pairs, faults, index_keys, link_profiles, lookup_keys, profile_pairs, same_given, variant_pairs
+from corpusloom.llm.text import with_swaps
 from tests.llm.test_canonical import plain_distance
 
 
@@ -88,3 +89,21 @@ def test_rare_spellings_are_linked_by_shared_evidence(spark):
     ]
     got = {(r["profile_id_a"], r["profile_id_b"]) for r in profile_pairs(link_profiles(spark.createDataFrame([(*r, "clash") for r in rows], COLS))).collect()}
     assert got == {(1, 2), (3, 4), (3, 5), (4, 5)}
+
+
+def test_close_pairs_against_brute_force(spark):
+    names = sorted({*pool(120, 3), "quoug", "quogu", "demi", "demmi"})
+    got = {(r["a"], r["b"]) for r in close_pairs(spark.createDataFrame([(n,) for n in [*names, *names[:9], "", None]], "s string")).collect()}
+    ordered = sorted(names, key=lambda x: (len(x), x))
+    assert got == {(a, b) for i, a in enumerate(ordered) for b in ordered[i + 1 :] if 3 <= len(a) <= 7 and with_swaps(a, b) <= 1}
+    assert {("quogu", "quoug"), ("demi", "demmi")} <= got
+
+
+def test_short_and_exchanged_spellings_are_linked_by_shared_evidence(spark):
+    rows = [
+        (1, 1, "Anna", "Quoug", ["a@x.org"], None, None, None), (2, 2, "Anna", "Quogu", ["A@x.org"], None, None, None), (3, 3, "Bert", "Demi", None, ["Institut Zorvan"], None, None),
+        (4, 4, "Bert", "Demmi", None, ["Institut Zorvan"], None, None), (5, 5, "Bert", "Demmo", None, None, ["Stone walls in rivers"], None), (6, 6, "Carl", "Demi", None, ["Institut Zorvan"], None, None),
+        (7, 7, "Dora", "Jisu", None, None, ["Stone walls in rivers"], None), (8, 8, "Dora", "Jiesu", None, None, ["Stone walls in rivers"], None),
+    ]
+    got = {(r["profile_id_a"], r["profile_id_b"]) for r in profile_pairs(link_profiles(spark.createDataFrame([(*r, "clash") for r in rows], COLS))).collect()}
+    assert got == {(1, 2), (3, 4)}
