@@ -294,6 +294,13 @@ def same_name(a: str, b: str) -> bool:
     return banded(a, b, most) <= most or (4 <= len(short) < 6 and with_swaps(a, b) <= 1)
 
 
+def listed_town(town: str, hits: list[tuple[str, int]]) -> str | None:
+    """Of the listed names at most two faults from a misspelt town the nearest: one fault or exchange of neighbours in
+    5 to 9 letters, two faults in longer names."""
+    near = [(x, d, name) for name, d in hits if (x := d if d <= 1 else with_swaps(town, name)) <= 1 or (len(town) >= 10 and d <= 2)]
+    return min(near)[2] if near else None
+
+
 def read_addresses(df: DataFrame, id_col: str, text_col: str, towns: dict[str, str], countries: dict[str, str]) -> DataFrame:
     """(id, town, country, postcode, org, initials, acronym, street, number) of each row that names an organisation or a street."""
     shared = df.sparkSession.sparkContext.broadcast((towns, countries))
@@ -308,9 +315,9 @@ def read_addresses(df: DataFrame, id_col: str, text_col: str, towns: dict[str, s
             read = [reader.read(v) for v in pdf["value"]]
             lost = sorted({a.town for a in read if a.town and a.town not in names})
             found = {}
-            for t, hits in zip(lost, tree.search(lost, [min(2, len(t) // 5) for t in lost])):
-                if hits:
-                    found[t] = min(hits, key=lambda h: (h[1], h[0]))[0]
+            for t, hits in zip(lost, tree.search(lost, [2 if len(t) >= 5 else 0 for t in lost])):
+                if name := listed_town(t, hits):
+                    found[t] = name
             rows = [(i, names.get(t := found.get(a.town, a.town), t), a.country, a.postcode, a.org, a.initials, a.acronym, a.street, a.number) for i, a in zip(pdf["id"], read)]
             yield pd.DataFrame(rows, columns=["id", "town", "country", "postcode", "org", "initials", "acronym", "street", "number"]).replace({"": None})
 

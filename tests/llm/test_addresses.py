@@ -53,3 +53,9 @@ def test_similarity_join_against_brute_force(spark):
     assert all(set(prefix(v[a], w, 0.5)) & set(prefix(v[b], w, 0.5)) for a, b in want)
     assert similar_pairs(df.limit(0), lambda a, b: True).count() == 0
     assert np.isfinite(w).all()
+
+
+def test_towns_with_exchanged_letters(spark):
+    rows = [(1, "Institut Zorvan de Biologie, 12 rue Plimor, Belmora"), (2, "Institut Zorvan de Biologie, 12 rue Plimor, Belmroa"), (3, "Institut Zorvan de Biologie, 12 rue Plimor, Bolmira"), (4, "Institut Zorvan de Biologie, 12 rue Plimor, Belmira")]
+    got = {(r["id_a"], r["id_b"]) for r in site_pairs(link_sites(spark.createDataFrame(rows, "id bigint, value string"), TOWNS, COUNTRIES)).collect()}
+    assert got == {(1, 2), (1, 4), (2, 4)}
