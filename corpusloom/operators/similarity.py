@@ -1,4 +1,4 @@
-"""Groups of like vectors: hyperplane hashing for candidates, exact cosine, connected components."""
+"""Groups of like vectors: exact cosine of all pairs, connected components."""
 
 from __future__ import annotations
 
@@ -10,43 +10,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.graph import components
+from corpusloom.session import cut, spread
 
 
-def _signed(df: DataFrame, id_col: str, vec_col: str, tables: int, bits: int, seed: int) -> DataFrame:
-    """(key, id, vec): one row for each table; null and empty vectors have none."""
-    id_type = df.schema[id_col].dataType.simpleString()
+#: Bytes of vectors that are sent to every task at once (a larger table goes in slices), and rows multiplied in one step.
+MOST_SENT = 1 << 26
+STEP = 512
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(i, np.asarray(v, np.float32)) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if v]
-            if not rows:
-                continue
-            x = np.stack([v for _, v in rows])
-            planes = np.random.default_rng(seed).standard_normal((x.shape[1], tables * bits)).astype(np.float32)
-            side = (x @ planes > 0).reshape(len(x), tables, bits) @ (np.int64(1) << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << 40)
-            x /= np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
-            at = np.repeat(np.arange(len(x)), tables)
-            yield pa.RecordBatch.from_arrays([pa.array(side.ravel()), pa.array([rows[k][0] for k in at], b.column(0).type), pa.array(list(x[at]), pa.list_(pa.float32()))], names=["key", "id", "vec"])
 
-    return df.select(id_col, vec_col).mapInArrow(run, f"key bigint, id {id_type}, vec array<float>")
+def _unit(vectors: list[list[float]]) -> np.ndarray:
+    x = np.stack([np.asarray(v, np.float64) for v in vectors])
+    return x / np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
 
 
-def similar_vectors(df: DataFrame, id_col: str, vec_col: str, least: float = 0.7, tables: int = 24, bits: int = 8, seed: int = 3) -> DataFrame:
-    """(a, b, cosine), a < b: pairs with at least this cosine that share a bucket; a pair of cosine c shares one with
-    probability 1 - (1 - (1 - arccos(c) / pi) ** bits) ** tables."""
-    rows = _signed(df, id_col, vec_col, tables, bits, seed)
-    a, b = rows.select("key", F.col("id").alias("a"), F.col("vec").alias("va")), rows.select("key", F.col("id").alias("b"), F.col("vec").alias("vb"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, "key").filter("a < b").withColumn("cosine", dot).filter(F.col("cosine") >= least).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+def similar_vectors(df: DataFrame, id_col: str, vec_col: str, least: float = 0.7, most: int = MOST_SENT) -> DataFrame:
+    """(a, b, cosine), a < b: all pairs with at least this cosine; null and empty vectors have none.
+
+    Exact: slices of at most about ``most`` bytes go to the tasks one after the other, and each is multiplied with all
+    rows. Nothing is shuffled but the pairs; the multiplications grow with the square of the rows.
+    """
+    sc = df.sparkSession.sparkContext
+    rows = cut(df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).filter(F.col("id").isNotNull() & (F.size("vec") > 0)))
+    slices = -(-8 * (rows.agg(F.sum(F.size("vec"))).first()[0] or 0) // most)
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def against(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, y = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = _unit(b.column(1).to_pylist())
+                for i in range(0, len(x), STEP):
+                    for j in range(0, len(y), 8 * STEP):
+                        c = x[i : i + STEP] @ y[j : j + 8 * STEP].T
+                        p, q = np.nonzero(c >= least - 1e-9)
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(p + i)), ids.take(pa.array(q + j)), pa.array(c[p, q])], names=["a", "b", "cosine"])
+
+        return run
+
+    out = df.sparkSession.createDataFrame([], f"a {id_type}, b {id_type}, cosine double")
+    for k in range(slices):
+        part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(slices)) == k).toArrow()
+        if not part.num_rows:
+            continue
+        shared = sc.broadcast((part.column("id").combine_chunks(), _unit(part.column("vec").to_pylist())))
+        out = out.unionAll(cut(spread(rows).mapInArrow(against(shared), out.schema).filter("a < b")))
+        shared.destroy()
+    return out.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
-def similar_groups(df: DataFrame, id_col: str, vec_col: str, least: float = 0.7, **lsh) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str, vec_col: str, least: float = 0.7, most: int = MOST_SENT) -> DataFrame:
     """(id, group, links): each record with the least id of its group and its number of like records.
 
     A threshold outside (0, 1] counts as 0.7. Records like none are groups of one.
     """
     least = least if 0 < least <= 1 else 0.7
-    pairs = similar_vectors(df, id_col, vec_col, least, **lsh)
+    pairs = similar_vectors(df, id_col, vec_col, least, most)
     ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     roots = components(pairs.select("a", "b"))
     out = df.select(F.col(id_col).alias("id")).join(roots.withColumnRenamed("node", "id"), "id", "left").join(ends, "id", "left")

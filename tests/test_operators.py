@@ -143,6 +143,26 @@ def test_like_vectors_against_brute_force(spark, sf):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_all_like_vectors_are_found(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x = r.standard_normal((400, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.standard_normal((400, 32))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    v = np.concatenate([x, 0.71 * x + (1 - 0.71**2) ** 0.5 * y])
+    c = v @ v.T
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(c, 1) >= 0.7))}
+    e = spark.createDataFrame([(i, [float(z) for z in v[i] * (1 + i)]) for i in range(len(v))] + [(9000, None), (9001, []), (0, [float(z) for z in v[0]])], "id int, v array<double>")
+    for most in (1 << 26, 40_000):
+        got = {(p["a"], p["b"]): p["cosine"] for p in S.similar_vectors(e, "id", "v", 0.7, most).collect()}
+        assert set(got) == want and len(want) >= 400
+        assert all(abs(got[p] - c[p]) < 1e-9 for p in want)
+    assert S.similar_vectors(e.limit(0), "id", "v").count() == 0
+
+
 def test_communities_of_two_cliques(spark):
     edges = [(a, b, 1) for g in ("abcd", "wxyz") for i, a in enumerate(g) for b in g[i + 1 :]] + [("d", "w", 1)]
     got = {r["node"]: r["community"] for r in L.communities(spark.createDataFrame(edges, "source string, target string, weight int")).collect()}
