@@ -53,10 +53,11 @@ def cascade(df: DataFrame, text_col: str, first: Predict, second: dict[str, Pred
     return df.withColumn("_p", F.pandas_udf(run, "domain string, field string, score double")(F.col(text_col))).select("*", "_p.*").drop("_p")
 
 
-def topic_words(c: Column, most: int = 1000) -> Column:
-    """Words of a text for topics: without accents, longer than three letters, the first ``most``."""
+def topic_words(c: Column, most: int | None = 1000) -> Column:
+    """Words of a text for topics: without accents, longer than three letters, the first ``most`` or all."""
     words = F.split(F.trim(F.regexp_replace(F.lower(deburr(c)), "[^a-z]+", " ")), " ")
-    return F.slice(F.filter(words, lambda w: F.length(w) > 3), 1, most)
+    words = F.filter(words, lambda w: F.length(w) > 3)
+    return words if most is None else F.slice(words, 1, most)
 
 
 def topics(df: DataFrame, id_col: str, text_col: str, k: int = 5, words: int = 10, seed: int = 42, iterations: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +148,7 @@ def sparse_points(neighbours: DataFrame, k: int, factor: float = 2.0) -> DataFra
     return core.crossJoin(F.broadcast(middle)).select("query", "core", (F.col("core") >= factor * F.col("_m")).alias("noise"))
 
 
-def keyword_vectors(df: DataFrame, id_col: str, words_col: str, size: int = 100, window: int = 5, least: int = 5, iterations: int = 3, seed: int = 1):
+def keyword_vectors(df: DataFrame, id_col: str, words_col: str, size: int = 300, window: int = 5, least: int = 5, iterations: int = 10, seed: int = 1):
     """A skip-gram model of keywords, and the highest tf-idf of each: (model, (term, tfidf))."""
     model = Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=iterations, seed=seed, inputCol=words_col, outputCol="_v").fit(df)
     return model, tf_idf(df.select(id_col, F.explode(words_col).alias("term")), id_col, "term").groupBy("term").agg(F.max("tfidf").alias("tfidf"))

@@ -199,3 +199,13 @@ def test_cut_tables_can_be_released(spark):
     rows = cut(spark.range(10).withColumn("k", F.col("id") % 3))
     assert once(rows, "k").count() == 3
     assert release(spark) >= 1 and release(spark) == 0
+
+
+def test_keyword_neighbours_reads_whole_texts(spark, tmp_path):
+    from corpusloom.plans import learning_queries  # noqa: F401
+    from corpusloom.plans.registry import queries
+
+    fill = " ".join(f"filler{'abcdefghij'[k % 10]}" for k in range(1100))
+    rows = [(1, f"{fill} {'protein receptor ' * 300}"), (2, f"{fill} {'protein receptor ' * 300}"), (3, "protein " * 10), (4, "stone river")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert "receptor" in {r["term"] for r in queries()["keyword_neighbours"](spark, str(tmp_path)).collect()}
