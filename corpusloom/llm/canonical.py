@@ -2,7 +2,8 @@
 
 Every child of a node is filed under its distance from the node, so the triangle inequality leaves only the children
 filed between d - r and d + r to visit; what is visited contains every entry within r. The tree is broadcast while the
-list has a checked size; a larger list is cut into shards, each with its own tree, and the shards' winners merge.
+list has a checked size; a larger list is cut into shards, whose trees are broadcast one after the other, and the shards'
+winners merge.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.text import banded, distances, fold, pack, pattern_masks, plain, with_swaps
-from corpusloom.session import spread
+from corpusloom.llm.text import Patterns, Signs, banded, distances, pack, plain, with_swaps
+from corpusloom.session import cut, spread
 
 #: Spellings of a list whose tree is broadcast (about 500 bytes each), and of one shard of a larger list.
 MOST_BROADCAST = 200_000
@@ -31,8 +32,8 @@ class BKTree:
         self.keys = list(dict.fromkeys(k for k in keys if 0 < len(k) <= 64))
         self.long = list(dict.fromkeys(k for k in keys if len(k) > 64))
         self.where = {k: i for i, k in enumerate(self.keys)}
-        self.codes, self.size = pack(self.keys)
-        self.masks = pattern_masks(self.codes, self.size)
+        self.signs = Signs()
+        self.packed = Patterns(self.keys, self.signs)
         self._grow()
 
     def _grow(self) -> None:
@@ -44,7 +45,7 @@ class BKTree:
             for node, rest in todo:
                 if not len(rest):
                     continue
-                d = distances(self.masks, self.size, np.full(len(rest), node), self.codes, self.size, rest)
+                d = distances(self.packed, np.full(len(rest), node), self.packed.codes, self.packed.size, rest)
                 for x in np.unique(d):
                     group = rest[d == x]
                     edges.append((node * 256 + int(x), int(group[0])))
@@ -64,7 +65,7 @@ class BKTree:
                     out[k].append((key, d))
         if not self.keys or not short:
             return out
-        codes, length = pack([queries[k] for k in short])
+        codes, length = pack([queries[k] for k in short], self.signs)
         r = np.array([radius[k] for k in short], np.int64)
         stack = [(np.arange(len(short)), np.zeros(len(short), np.int64))]
         while stack:
@@ -72,7 +73,7 @@ class BKTree:
             if len(q) > STEP:
                 stack += [(q[STEP:], n[STEP:])]
                 q, n = q[:STEP], n[:STEP]
-            d = distances(self.masks, self.size, n, codes, length, q)
+            d = distances(self.packed, n, codes, length, q)
             for x in np.flatnonzero(d <= r[q]):
                 out[short[q[x]]].append((self.keys[n[x]], int(d[x])))
             lo = np.searchsorted(self.edge, n * 256 + np.maximum(0, d - r[q]))
@@ -165,9 +166,19 @@ class Reader:
         return [s for s in dict.fromkeys(spellings) if s], group
 
 
+#: The rank of a hit that is no exact one.
+NOT_EXACT = 1 << 20
+
+
 def radius_of(key: str) -> int:
-    """How far off an entry may be: 1 up to five signs, 2 up to eight, then 3 if an exchange of neighbours is part of it."""
-    return 0 if len(key) < 4 else 1 if len(key) < 6 else 2 if len(key) < 9 else 3
+    """How far off an entry may be: 2 up to eight signs, then 3. Up to five signs both faults must be one exchange of neighbours."""
+    return 0 if len(key) < 4 else 2 if len(key) < 9 else 3
+
+
+def near_enough(key: str, entry: str, d: int) -> int | None:
+    """The distance, an exchange of neighbours counting once, if it is small enough for a value of this length."""
+    far = d if d <= 1 else with_swaps(key, entry)
+    return far if far <= (1 if len(key) < 6 else 2) else None
 
 
 class Aligner:
@@ -188,27 +199,28 @@ class Aligner:
                     best = ((d, -w, i), key)
         return None if best is None else (best[0][0], best[0][2], best[1])
 
-    def align(self, values: list[tuple[str, str | None, str | None]]) -> list[tuple[int, int, float, float] | None]:
-        """For each (value, group, context): entry id, distance, confidence and the entry's weight, or None."""
-        out: list[tuple[int, int, float, float] | None] = [None] * len(values)
+    def align(self, values: list[tuple[str, str | None, str | None]]) -> list[tuple[int, int, float, float, int] | None]:
+        """For each (value, group, context): entry id, distance, confidence, the entry's weight and the rank of the spelling
+        that hit exactly, or None. An exact hit of an earlier spelling wins, then the nearest, heaviest entry."""
+        out: list[tuple[int, int, float, float, int] | None] = [None] * len(values)
         todo: dict[str, list[tuple[int, str | None]]] = {}
         for k, (value, group, context) in enumerate(values):
             spellings, named = self.reader.read(value)
             group = named or group or self.reader.in_context(context, value)
             hit = None
-            for s in spellings:
+            for rank, s in enumerate(spellings):
                 if s in self.entries and (hit := self.choose([(s, 0)], group)):
-                    out[k] = (hit[1], 0, 1.0, max(w for i, _, w in self.entries[s] if i == hit[1]))
+                    out[k] = (hit[1], 0, 1.0, max(w for i, _, w in self.entries[s] if i == hit[1]), rank)
                     break
             if hit is None:
                 for s in spellings:
                     todo.setdefault(s, []).append((k, group))
         queries = list(todo)
         for s, found in zip(queries, self.tree.search(queries, [radius_of(s) for s in queries])):
-            near = [(key, d2) for key, d in found for d2 in [d if d <= 1 else with_swaps(s, key)] if d2 <= min(2, radius_of(s))]
+            near = [(key, d2) for key, d in found if (d2 := near_enough(s, key, d)) is not None]
             for k, group in todo[s]:
                 if hit := self.choose(near, group):
-                    new = (hit[1], int(hit[0]), 1 - hit[0] / max(len(s), len(hit[2])), max(w for i, _, w in self.entries[hit[2]] if i == hit[1]))
+                    new = (hit[1], int(hit[0]), 1 - hit[0] / max(len(s), len(hit[2])), max(w for i, _, w in self.entries[hit[2]] if i == hit[1]), NOT_EXACT)
                     old = out[k]
                     if old is None or (new[1], -new[3], new[0]) < (old[1], -old[3], old[0]):
                         out[k] = new
@@ -258,35 +270,36 @@ def align_values(
     known = F.col("grp").isin(sorted(set(groups.values()))) if groups else F.lit(False)
     src = src.withColumn("grp", F.when(known, F.col("grp")))
     id_type = mentions.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, entry bigint, distance int, confidence double, weight double"
+    schema = f"id {id_type}, entry bigint, distance int, confidence double, weight double, rank int"
     sc = mentions.sparkSession.sparkContext
-    head = entries.limit(most_broadcast + 1).toPandas()
 
     def rows_of(aligner: Aligner, pdf: pd.DataFrame) -> pd.DataFrame:
         values = list(zip(pdf["value"], pdf["grp"].where(pdf["grp"].notna(), None), pdf["context"].where(pdf["context"].notna(), None)))
         places = {v: k for k, v in enumerate(dict.fromkeys(values))}
         found = aligner.align(list(places))
-        hits = [found[places[v]] or (-1, None, None, None) for v in values]
-        return pd.DataFrame({"id": pdf["id"], "entry": [h[0] for h in hits], "distance": pd.array([h[1] for h in hits], "Int32"), "confidence": [h[2] for h in hits], "weight": [h[3] for h in hits]})
-
-    if len(head) <= most_broadcast:
-        shared = sc.broadcast(Aligner(head, Reader(groups)))
+        hits = [found[places[v]] or (-1, None, None, None, None) for v in values]
+        ints = {c: pd.array([h[k] for h in hits], "Int32") for c, k in (("distance", 1), ("rank", 4))}
+        return pd.DataFrame({"id": pdf["id"], "entry": [h[0] for h in hits], "distance": ints["distance"], "confidence": [h[2] for h in hits], "weight": [h[3] for h in hits], "rank": ints["rank"]})
 
+    def aligned(shared) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if len(pdf):
                     yield rows_of(shared.value, pdf)
 
-        found = spread(src).mapInPandas(run, schema)
-    else:
-        shards = int(entries.count() // most_broadcast + 1)
-        slices = sc.defaultParallelism * 4
-        left = src.withColumn("slice", F.pmod(F.xxhash64("id", "value"), F.lit(slices)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        right = entries.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-
-        def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            return rows_of(Aligner(b, Reader(groups)), a) if len(a) else pd.DataFrame({"id": [], "entry": [], "distance": [], "confidence": [], "weight": []})
+        return spread(src).mapInPandas(run, schema)
 
-        found = left.groupBy("shard", "slice").cogroup(right.groupBy("shard", "slice")).applyInPandas(pair, schema)
-    best = Window.partitionBy("id").orderBy(F.col("distance").asc_nulls_last(), F.col("weight").desc_nulls_last(), "entry")
+    head = entries.limit(most_broadcast + 1).toPandas()
+    if len(head) <= most_broadcast:
+        found = aligned(sc.broadcast(Aligner(head, Reader(groups))))
+    else:
+        listed, found = cut(entries), None
+        shards = int(listed.count() * 5 // (most_broadcast * 4) + 1)
+        for k in range(shards):
+            part = listed.filter(F.pmod(F.xxhash64("key"), F.lit(shards)) == k).toPandas()
+            shared = sc.broadcast(Aligner(part, Reader(groups)))
+            won = cut(aligned(shared))
+            found = won if found is None else found.unionAll(won)
+            shared.destroy()
+    best = Window.partitionBy("id").orderBy(F.col("distance").asc_nulls_last(), F.col("rank").asc_nulls_last(), F.col("weight").desc_nulls_last(), "entry")
     return found.withColumn("__n", F.row_number().over(best)).filter("__n = 1").select(F.col("id").alias(id_col), "entry", "distance", "confidence")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.graph import components
-from corpusloom.llm.text import banded, distances, fold, pack, pattern_masks, plain, with_swaps
+from corpusloom.llm.text import Patterns, Signs, banded, distances, fold, plain, with_swaps
 from corpusloom.session import cut, once
 
 #: Particles of surnames, short forms of given names, words of organisations' names, prepositions in titles.
@@ -117,9 +117,9 @@ def variant_pairs(names: DataFrame, col: str = "s") -> DataFrame:
             if short:
                 texts = list(dict.fromkeys([a[k] for k in short] + [b[k] for k in short]))
                 where = {s: i for i, s in enumerate(texts)}
-                codes, size = pack(texts)
+                packed = Patterns(texts, Signs())
                 ia, ib = np.array([where[a[k]] for k in short]), np.array([where[b[k]] for k in short])
-                d[short] = distances(pattern_masks(codes, size), size, ia, codes, size, ib)
+                d[short] = distances(packed, ia, packed.codes, packed.size, ib)
             for k in range(len(a)):
                 if len(b[k]) > 64:
                     d[k] = banded(a[k], b[k], int(most[k]))

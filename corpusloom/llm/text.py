@@ -12,17 +12,33 @@ _not_word = regex.compile(r"[^\p{L}\p{N}]+")
 _PLAIN = str.maketrans({"ß": "ss", "ø": "o", "ł": "l", "đ": "d", "æ": "ae", "œ": "oe", "ı": "i", "þ": "th", "ð": "d"})
 
 
+class _Folded(dict):
+    """Code points to their plain letters in lower-case text, each made when it is first met; ``words`` puts a space for all but letters and numbers."""
+
+    def __init__(self, words: bool):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        if not c.isascii():
+            c = "".join(x for x in unicodedata.normalize("NFKD", c.translate(_PLAIN)) if not unicodedata.combining(x)).translate(_PLAIN)
+        self[point] = out = _not_word.sub(" ", c) if self.words else c
+        return out
+
+
+_letters, _words = _Folded(False), _Folded(True)
+
+
 def fold(s: str) -> str:
     """Lower case without accents."""
     s = s.lower()
-    if s.isascii():
-        return s
-    return "".join(c for c in unicodedata.normalize("NFKD", s.translate(_PLAIN)) if not unicodedata.combining(c)).translate(_PLAIN)
+    return s if s.isascii() else s.translate(_letters)
 
 
 def plain(s: str | None) -> str:
     """Folded words and numbers, one space between them."""
-    return _not_word.sub(" ", fold(s)).strip() if s else ""
+    return " ".join(s.lower().translate(_words).split()) if s else ""
 
 
 def banded(a: str, b: str, most: int) -> int:
@@ -71,39 +87,62 @@ def with_swaps(a: str, b: str) -> int:
     return row[m]
 
 
-#: Signs that get a code of their own in packed strings; all others share the last one.
-SIGNS = " abcdefghijklmnopqrstuvwxyz0123456789"
+#: Signs, by their code, for which a string's positions are tabled; those of rarer signs are looked up when they are met.
+TABLED = 64
 
 
-def pack(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+class Signs(dict):
+    """A code of its own for every sign of the strings that are compared with one another; 0 stands for none."""
+
+    def __init__(self):
+        super().__init__({c: k for k, c in enumerate(" abcdefghijklmnopqrstuvwxyz0123456789", 1)})
+
+    def __missing__(self, c: str) -> int:
+        self[c] = out = len(self) + 1
+        return out
+
+
+def pack(strings: list[str], signs: Signs) -> tuple[np.ndarray, np.ndarray]:
     """Codes (strings x longest, padded with 0) and lengths."""
     size = np.array([len(s) for s in strings], np.int32)
-    out = np.zeros((len(strings), int(size.max()) if len(size) else 0), np.uint8)
+    out = np.zeros((len(strings), int(size.max()) if len(size) else 0), np.int32)
+    code = signs.__getitem__
     for k, s in enumerate(strings):
-        out[k, : len(s)] = [SIGNS.find(c) % 38 for c in s]
+        out[k, : len(s)] = [code(c) for c in s]
     return out, size
 
 
-def pattern_masks(codes: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Strings x 38 masks: in which positions (up to 64) a string has a sign."""
-    out = np.zeros((len(codes), 38), np.uint64)
-    for p in range(min(codes.shape[1], 64)):
-        live = np.flatnonzero(size > p)
-        out[live, codes[live, p]] |= np.uint64(1 << p)
-    return out
+class Patterns:
+    """Strings of at most 64 signs, made ready for many comparisons."""
+
+    def __init__(self, strings: list[str], signs: Signs):
+        self.codes, self.size = pack(strings, signs)
+        self.masks = np.zeros((len(strings), TABLED), np.uint64)
+        for p in range(min(self.codes.shape[1], 64)):
+            live = np.flatnonzero((self.size > p) & (self.codes[:, p] < TABLED))
+            self.masks[live, self.codes[live, p]] |= np.uint64(1 << p)
+
+    def at(self, which: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        """In which positions each of these strings has its sign, as bits."""
+        rare = np.flatnonzero(sign >= TABLED)
+        out = self.masks[which, np.where(sign < TABLED, sign, 0) if len(rare) else sign]
+        if len(rare):
+            same = self.codes[which[rare]][:, :64] == sign[rare, None]
+            out[rare] = (same * (np.uint64(1) << np.arange(same.shape[1], dtype=np.uint64))).sum(1, dtype=np.uint64)
+        return out
 
 
-def distances(masks: np.ndarray, size: np.ndarray, a: np.ndarray, codes: np.ndarray, length: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edit distances of many pairs (pattern a[k], of at most 64 signs, and text b[k]) at once, bit-parallel."""
+def distances(patterns: Patterns, a: np.ndarray, codes: np.ndarray, length: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distances of many pairs (pattern a[k] and text b[k]) at once, bit-parallel; the texts are packed with the patterns' signs."""
     one = np.uint64(1)
-    m = size[a].astype(np.int64)
+    m = patterns.size[a].astype(np.int64)
     pv = np.full(len(a), np.uint64(0xFFFFFFFFFFFFFFFF))
     mv = np.zeros(len(a), np.uint64)
     score = m.copy()
     last = np.where(m > 0, one << (np.maximum(m, 1) - 1).astype(np.uint64), np.uint64(0))
     n = length[b]
     for t in range(int(n.max()) if len(n) else 0):
-        eq = masks[a, codes[b, t]]
+        eq = patterns.at(a, codes[b, t])
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph = mv | ~(xh | pv)

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pandas as pd
 
 from corpusloom.llm.canonical import Aligner, BKTree, Reader, align_values, group_names, list_entries
-from corpusloom.llm.text import banded, distances, pack, pattern_masks, plain, with_swaps
+from corpusloom.llm.text import Patterns, Signs, banded, distances, plain, with_swaps
 
 
 def plain_distance(a, b):
@@ -16,22 +17,29 @@ def plain_distance(a, b):
     return row[-1]
 
 
-def words(n, seed, size=(0, 14)):
+def words(n, seed, size=(0, 14), signs="abcd e"):
     r = random.Random(seed)
-    return ["".join(r.choice("abcd e") for _ in range(r.randint(*size))) for _ in range(n)]
+    return ["".join(r.choice(signs) for _ in range(r.randint(*size))) for _ in range(n)]
 
 
 def test_distances():
-    a, b = words(200, 1), words(200, 2)
-    codes, size = pack(a + b)
-    got = distances(pattern_masks(codes, size), size, pd.Series(range(200)).to_numpy(), codes, size, pd.Series(range(200, 400)).to_numpy())
-    for x, y, d in zip(a, b, got):
-        want = plain_distance(x, y)
-        assert d == want
-        assert banded(x, y, 3) == min(want, 4)
+    many = "".join(map(chr, range(0x4E00, 0x4E80)))
+    for signs in ("abcd e", "москваπάε", "aб漢字0", many):
+        a, b = words(200, 1, signs=signs), words(200, 2, signs=signs[:9])
+        packed = Patterns(a + b, Signs())
+        got = distances(packed, np.arange(200), packed.codes, packed.size, np.arange(200, 400))
+        for x, y, d in zip(a, b, got):
+            want = plain_distance(x, y)
+            assert d == want
+            assert banded(x, y, 3) == min(want, 4)
     assert with_swaps("abcd", "abdc") == 1 and with_swaps("", "ab") == 2
 
 
+def test_other_scripts_stay_apart():
+    tree = BKTree(["москва", "paris", "東京都庁"])
+    assert tree.search(["лондон", "москвы", "北京市役"], [0, 1, 2]) == [[], [("москва", 1)], []]
+
+
 def test_tree_returns_every_entry_within_the_radius():
     keys = sorted({w for w in words(400, 3, (1, 12))} | {"x" * 80})
     tree = BKTree(keys)
@@ -63,6 +71,14 @@ def test_alignment(spark):
         assert got == {k: c[3] for k, c in enumerate(CASES)}
 
 
+def test_shards_keep_the_rank_of_a_spelling(spark):
+    entries = spark.createDataFrame([("newtown lake", 2, "AA", 0.0), ("newtown", 1, "AA", 9.0), ("nolt", 3, "AA", 1.0)], "key string, entry bigint, grp string, weight double")
+    df = spark.createDataFrame([(1, "Newtown, Lake"), (2, "nlot"), (3, "nilt"), (4, "nilo")], "mention_id bigint, name string")
+    for bound in (1000, 2, 1):
+        got = align_values(df, entries, {}, group_col=None, context_col=None, most_broadcast=bound)
+        assert {r["mention_id"]: r["entry"] for r in got.collect()} == {1: 2, 2: 3, 3: 3, 4: -1}
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "a place", None, None)], "mention_id bigint, name string, country_code string, context string")
     assert align_values(df.limit(0), places(spark), GROUPS).count() == 0
