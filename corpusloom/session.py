@@ -54,7 +54,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
