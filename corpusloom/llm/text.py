@@ -87,6 +87,51 @@ def with_swaps(a: str, b: str) -> int:
     return row[m]
 
 
+class NearWords:
+    """A short list of words, each with the faults it allows, in which the first one near enough to a given word is found.
+
+    A word with k faults keeps one of k + 1 segments unharmed: in front, at the end or, shifted by k at most, between.
+    """
+
+    def __init__(self, words: list[tuple[str, int]]):
+        self.words = words
+        self.front: dict[str, list[int]] = {}
+        self.back: dict[str, list[int]] = {}
+        self.inside: dict[str, list[tuple[int, int]]] = {}
+        for i, (w, k) in enumerate(words):
+            size = len(w) // (k + 1)
+            self.front.setdefault(w[:size], []).append(i)
+            self.back.setdefault(w[len(w) - size :], []).append(i)
+            for n in range(1, k):
+                self.inside.setdefault(w[n * size : (n + 1) * size], []).append((i, n * size))
+        self.sizes = sorted({len(x) for x in self.front})
+        self.between = sorted({(len(x), at) for x, held in self.inside.items() for _, at in held})
+        self.reach = max((k for _, k in words), default=0)
+        self.found: dict[str, int] = {}
+
+    def find(self, w: str) -> int:
+        """The place in the list of the first word near enough to w, or -1."""
+        at = self.found.get(w)
+        if at is None:
+            near: set[int] = set()
+            front, back, inside, n = self.front, self.back, self.inside, len(w)
+            for m in self.sizes:
+                if x := front.get(w[:m]):
+                    near.update(x)
+                if x := back.get(w[n - m :]):
+                    near.update(x)
+            for m, p in self.between:
+                for q in range(max(0, p - self.reach), p + self.reach + 1):
+                    if x := inside.get(w[q : q + m]):
+                        near.update(i for i, of in x if of == p)
+            near = {i for i in near if abs(len(self.words[i][0]) - n) <= self.words[i][1]}
+            at = next((i for i in sorted(near) if banded(w, self.words[i][0], self.words[i][1]) <= self.words[i][1]), -1)
+            if len(self.found) > 200_000:
+                self.found.clear()
+            self.found[w] = at
+        return at
+
+
 #: Signs, by their code, for which a string's positions are tabled; those of rarer signs are looked up when they are met.
 TABLED = 64
 
