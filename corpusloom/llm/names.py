@@ -10,6 +10,7 @@ these, one fault in a name of three or four letters and one exchange of neighbou
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.graph import components
+from corpusloom.llm.lexicon import MOST_WORDS, with_lexicon
 from corpusloom.llm.text import Patterns, Signs, banded, distances, fold, plain, with_swaps
 from corpusloom.session import cut, once
 
@@ -46,9 +48,8 @@ PREPOSITIONS = frozenset("in under through without after with against for near a
 
 #: What is read of a profile.
 PROFILE = ["profile_id", "firstName", "lastName", "email", "affiliations", "titles", "coAuthors"]
-#: Words of given names that the reader knows, the most frequent ones; the model is fitted on all profiles.
-MOST_GIVEN = 50_000
-
+_initials = regex.compile(r"(?:\p{L}\.?-)+\p{L}\.?")
+_parts = regex.compile(r"[-.\s]+")
 _word = regex.compile(r"[\p{L}'’]+(?:[-‐][\p{L}'’]+)*\.?")
 
 
@@ -186,9 +187,10 @@ class NameReader:
         return [w for w in _word.findall(s.replace("‐", "-")) if w.strip("'’.-")]
 
     @staticmethod
+    @functools.lru_cache(100_000)
     def initial(w: str) -> bool:
         bare = w.rstrip(".")
-        return len(bare) == 1 or (w.endswith(".") and len(bare) <= 2) or (len(bare) <= 3 and bare.isupper() and len(bare) > 1) or regex.fullmatch(r"(?:\p{L}\.?-)+\p{L}\.?", w) is not None
+        return len(bare) == 1 or (w.endswith(".") and len(bare) <= 2) or (len(bare) <= 3 and bare.isupper() and len(bare) > 1) or _initials.fullmatch(w) is not None
 
     def odds(self, w: str) -> float:
         f = fold(w).rstrip(".")
@@ -245,21 +247,29 @@ class NameReader:
         return [fold(w).rstrip(".") for w in a if fold(w) not in PARTICLES], self.key([*[w for w in a if fold(w) in PARTICLES], *b])
 
 
-def given_names(profiles: DataFrame, first: str = "firstName", last: str = "lastName") -> dict[str, float]:
-    """Log odds of words standing in the field of given names, over all profiles; the MOST_GIVEN most frequent words."""
-    tidy = F.pandas_udf(lambda s: s.map(lambda x: [fold(w).rstrip(".") for w in _word.findall(x or "") if len(w) > 2]), "array<string>")
+def _given_words(text: str | None) -> list[str]:
+    return [fold(w).rstrip(".") for w in _word.findall(text or "") if len(w) > 2]
+
+
+def given_names(profiles: DataFrame, first: str = "firstName", last: str = "lastName") -> DataFrame:
+    """(w, x): words that stand in the field of given names, over all profiles, with the log odds of it; and short forms."""
+    tidy = F.pandas_udf(lambda s: s.map(_given_words), "array<string>")
     side = lambda c, n: profiles.filter(F.col(c).isNotNull() & ~F.col(c).contains(",")).select(F.explode(tidy(c)).alias("w"), F.lit(n).alias("side"))
     rows = side(first, 1).unionAll(side(last, 0)).groupBy("w").agg(F.sum("side").alias("f"), F.sum(1 - F.col("side")).alias("l")).filter("f >= 3 and f > l")
-    held = rows.orderBy(F.col("f").desc(), "w").limit(MOST_GIVEN).collect()
-    out = {r["w"]: float(np.log((r["f"] + 0.5) / (r["l"] + 0.5))) for r in held}
-    for short, full in SHORT_GIVEN.items():
-        out.setdefault(short, 1.0)
-    return out
+    held = rows.select("w", F.log((F.col("f") + 0.5) / (F.col("l") + 0.5)).alias("x"), F.lit(1).alias("seen"))
+    short = profiles.sparkSession.createDataFrame([(k, 1.0, 0) for k in SHORT_GIVEN], "w string, x double, seen int")
+    return held.unionAll(short).groupBy("w").agg(F.max_by("x", "seen").alias("x"))
+
+
+def _words_of(row: list) -> list[str]:
+    """All words of a profile's names and co-authors, as the reader looks them up."""
+    words = {fold(w).rstrip(".") for x in row if x is not None for t in ([x] if isinstance(x, str) else x) if t for w in _word.findall(t.replace("‐", "-"))}
+    return [*words, *{p for w in words for p in w.split("-")}]
 
 
 def same_given(a: list[str], b: list[str]) -> int:
     """How far two given names agree: 3 written out alike, 2 by a short form or a fault, 1 by initials or one missing, 0 not at all."""
-    a, b = [x for w in a for x in regex.split(r"[-.\s]+", w) if x], [x for w in b for x in regex.split(r"[-.\s]+", w) if x]
+    a, b = [x for w in a for x in _parts.split(w) if x], [x for w in b for x in _parts.split(w) if x]
     if not a or not b:
         return 1
     x, y = a[0], b[0]
@@ -293,6 +303,16 @@ def same_given(a: list[str], b: list[str]) -> int:
     return 2 if banded(x, y, 1) <= 1 and len(long) >= 6 else 0
 
 
+@functools.lru_cache(500_000)
+def _level(a: str, b: str) -> int:
+    return same_given(a.split(), b.split())
+
+
+def given_level(a: str, b: str):
+    """Column: how far the given names in two columns, their words joined by spaces, agree."""
+    return F.pandas_udf(lambda x, y: pd.Series([_level(p, q) for p, q in zip(x, y)], dtype="int32"), "int")(a, b)
+
+
 def topics(title: str | None) -> list[tuple[str, float]]:
     """The subject a title opens with: the words before its first preposition; two words say more than one."""
     words = plain(title).split() if title else []
@@ -304,15 +324,18 @@ def topics(title: str | None) -> list[tuple[str, float]]:
     return [(" ".join(head), 2.0 if len(head) > 1 else 0.7)] if head else []
 
 
-def read_profiles(df: DataFrame, given: dict[str, float]) -> DataFrame:
-    """(profile_id, given, surname, coauthors, marks): marks are pieces of evidence with their weights."""
-    shared = df.sparkSession.sparkContext.broadcast(given)
+def read_profiles(df: DataFrame, given: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
+    """(profile_id, given, surname, coauthors, marks): the given names' words are joined by spaces; marks are pieces of
+    evidence with their weights."""
+    rows, shared = with_lexicon(df.select(*PROFILE), "profile_id", ["firstName", "lastName", "coAuthors"], _words_of, given, most_words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = NameReader(shared.value)
+        reader = NameReader({} if shared is None else shared.value)
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
+                if shared is None:
+                    reader.given = dict(r.known or ())
                 first, surname = reader.read(r.firstName, r.lastName)
                 marks: dict[str, float] = {}
                 for e in r.email if r.email is not None else ():
@@ -334,11 +357,11 @@ def read_profiles(df: DataFrame, given: dict[str, float]) -> DataFrame:
                         g, s = reader.split(c)
                         if len(s) >= 3:
                             others[s] = g[0][0] if g else ""
-                out.append((r.profile_id, first, surname, sorted(others), [{"k": k, "w": w} for k, w in marks.items()]))
+                out.append((r.profile_id, " ".join(first), surname, sorted(others), [{"k": k, "w": w} for k, w in marks.items()]))
             yield pd.DataFrame(out, columns=["profile_id", "given", "surname", "coauthors", "marks"])
 
     id_type = df.schema["profile_id"].dataType.simpleString()
-    return df.select(*PROFILE).mapInPandas(run, f"profile_id {id_type}, given array<string>, surname string, coauthors array<string>, marks array<struct<k:string,w:double>>")
+    return rows.mapInPandas(run, f"profile_id {id_type}, given string, surname string, coauthors array<string>, marks array<struct<k:string,w:double>>")
 
 
 def across_families(evidence: DataFrame, variants: DataFrame) -> DataFrame:
@@ -382,9 +405,8 @@ def link_profiles(df: DataFrame, least: float = 2.0) -> DataFrame:
         F.first("ga").alias("ga"), F.first("gb").alias("gb"), F.sum("w").alias("score"),
         F.max(F.col("k").startswith("a:").cast("int")).alias("sa"), F.sum(F.col("k").startswith("c:").cast("int")).alias("sc"), F.max(F.col("k").startswith("e:").cast("int")).alias("se"),
     )
-    level = F.pandas_udf(lambda x, y: pd.Series([same_given(list(p), list(q)) for p, q in zip(x, y)], dtype="int32"), "int")
     ka, kb = (kinds.select(F.col("profile_id").alias(c), *[F.col(n).alias(n + c) for n in ("na", "nc", "ne")]) for c in ("a", "b"))
-    pairs = shared.withColumn("level", level("ga", "gb")).filter("level > 0").join(ka, "a").join(kb, "b")
+    pairs = shared.withColumn("level", given_level("ga", "gb")).filter("level > 0").join(ka, "a").join(kb, "b")
     # what both have and do not share speaks against
     against = (
         F.when((F.col("naa") > 0) & (F.col("nab") > 0) & (F.col("sa") == 0), 1.5).otherwise(0.0)
@@ -395,7 +417,7 @@ def link_profiles(df: DataFrame, least: float = 2.0) -> DataFrame:
     # names written out first; who gives initials only is added to the one group that fits best
     sure = pairs.filter("level >= 2")
     full = components(sure.select("a", "b"))
-    spelt = F.exists("given", lambda w: F.length(w) > 2)
+    spelt = F.exists(F.split("given", " "), lambda w: F.length(w) > 2)
     labels = named.withColumn("spelt", spelt).join(full.withColumnRenamed("node", "profile_id"), "profile_id", "left").withColumn("root", F.coalesce("root", "profile_id"))
     labels = cut(labels.select("profile_id", "fam", "given", "spelt", "root"))
     weak = pairs.filter("level = 1").select("a", "b", "score")
@@ -414,17 +436,24 @@ def link_profiles(df: DataFrame, least: float = 2.0) -> DataFrame:
 
 def attach_sparse(persons: DataFrame, kinds: DataFrame) -> DataFrame:
     """Profiles linked to none go to the one person of their family whose given name agrees, if there is one only and
-    they have no kind of evidence (e-mail, affiliation, co-authors) in common that could have agreed and did not."""
+    they have no kind of evidence (e-mail, affiliation, co-authors) in common that could have agreed and did not.
+
+    Whether there is one only shows in three persons of a family's given name, so the names of a family are compared
+    with no more than three persons each, however many bear them.
+    """
     rows = persons.join(kinds, "profile_id", "left").fillna(0, ["na", "nc", "ne"])
     size = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), *[F.max(c).alias("m" + c) for c in ("na", "nc", "ne")])
-    rows = rows.join(size, "root")
-    single = rows.filter("n = 1 and size(given) > 0").select(F.col("profile_id").alias("a"), "fam", F.col("given").alias("ga"), F.col("spelt").alias("sa"), *[F.col(c).alias(c + "a") for c in ("na", "nc", "ne")])
-    level = F.pandas_udf(lambda x, y: pd.Series([same_given(list(p), list(q)) for p, q in zip(x, y)], dtype="int32"), "int")
-    # of each person one row for each way of writing the given name
-    known = rows.filter("size(given) > 0").groupBy("fam", "root", "given", "mna", "mnc", "mne").agg(F.max("n").alias("n"))
-    fits = single.join(known, "fam").filter("a != root").withColumn("level", level("ga", "given")).filter("level >= 2 or (level = 1 and not sa)")
+    rows = cut(rows.join(size, "root").filter("given != ''"))
+    bearers = rows.groupBy("fam", "given", "root").agg(*[F.first(c).alias(c) for c in ("mna", "mnc", "mne")])
+    bearers = bearers.withColumn("nth", F.row_number().over(Window.partitionBy("fam", "given").orderBy("root"))).filter("nth <= 3")
+    single = rows.filter("n = 1").select(F.col("profile_id").alias("a"), "fam", F.col("given").alias("ga"), F.col("spelt").alias("sa"), *[F.col(c).alias(c + "a") for c in ("na", "nc", "ne")])
+    # who shares his name with two others of the family has more than one to go to
+    crowded = bearers.filter("nth = 3").select("fam", F.col("given").alias("ga"))
+    single = cut(single.join(crowded, ["fam", "ga"], "left_anti"))
+    names = single.select("fam", "ga").distinct().join(bearers.select("fam", "given").distinct(), "fam").withColumn("level", given_level("ga", "given")).filter("level > 0")
+    fits = single.join(names, ["fam", "ga"]).filter("level >= 2 or not sa").join(bearers, ["fam", "given"]).filter("a != root")
     apart = "(naa > 0 and mna > 0) or (nca > 1 and mnc > 1) or (nea > 0 and mne > 0)"
-    alone = fits.groupBy("a").agg(F.countDistinct("root").alias("n"), F.first("root").alias("b"), F.max(F.expr(f"cast({apart} as int)")).alias("apart")).filter("n = 1 and apart = 0").select("a", "b")
+    alone = fits.groupBy("a").agg(F.min("root").alias("b"), F.max("root").alias("c"), F.max(F.expr(f"cast({apart} as int)")).alias("apart")).filter("b = c and apart = 0").select("a", "b")
     more = components(alone)
     out = persons.join(more.select(F.col("node").alias("root"), F.col("root").alias("r2")), "root", "left").select("profile_id", F.coalesce("r2", "root").alias("person"))
     return out.join(out.groupBy("person").agg((F.count(F.lit(1)) - 1).alias("links")), "person").select("profile_id", "person", "links")
