@@ -11,9 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "abbreviations", "alpha_share", "clean_title", "cyrillic_to_latin", "deburr", "decode_digits", "doi_prefix", "encode_digits", "expand_tokens", "find_doi", "find_units", "find_year",
-    "first_token_kind", "french_tokens", "greek_share", "humanize", "inverted_to_text", "keyword_fields", "label_key", "line_filter", "name_variants", "normalize_affiliation", "normalize_term",
-    "page_count", "partial_ratio", "quantities", "ratio", "sentences", "singularize", "strip_marks", "truncate_text", "uniformize", "upper_words",
+    "abbreviations", "alpha_share", "clean_scan", "clean_title", "cyrillic_to_latin", "deburr", "decode_digits", "doi_prefix", "encode_digits", "expand_tokens", "find_doi", "find_units", "find_year",
+    "first_name_keys", "first_token_kind", "french_tokens", "gender_label", "greek_share", "humanize", "inverted_to_text", "keyword_fields", "label_key", "line_filter", "name_variants", "normalize_affiliation", "normalize_term",
+    "organisation_name", "page_count", "partial_ratio", "quantities", "ratio", "sentences", "singularize", "strip_marks", "truncate_text", "uniformize", "upper_words", "without_greek",
 ]
 
 #: Letters that fold to more than one letter or have no decomposition.
@@ -132,16 +132,45 @@ def find_units(c: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(" "), F.lit(""))))
 
 
-#: Words that open the name of a private company or a public body.
-PRIVATE_WORDS = ("gmbh", "inc", "ltd", "llc", "corp", "company", "sa", "sas", "sarl", "spa", "bv", "plc", "ag")
-PUBLIC_WORDS = ("university", "universite", "universidad", "universita", "universitat", "ministry", "ministere", "hospital", "chu", "school", "ecole", "institute", "institut")
+#: Words of private companies, and beginnings of words of public bodies.
+PRIVATE_WORDS = ("sas", "sarl", "sa", "private", "edf", "orange")
+PUBLIC_STARTS = ("univ", "hop", "hôp", "hosp", "uar", "umr", "cea", "cnrs")
 
 
-def first_token_kind(c: Column, private: tuple[str, ...] = PRIVATE_WORDS, public: tuple[str, ...] = PUBLIC_WORDS) -> Column:
-    """``private`` or ``public`` by the first word of a name that tells, else ``n/a``."""
-    words = F.filter(F.split(uniformize(c), " "), lambda w: w.isin(*private, *public))
-    first = F.try_element_at(words, F.lit(1))
-    return F.when(first.isin(*private), "private").when(first.isin(*public), "public").otherwise("n/a")
+def first_token_kind(c: Column, private: tuple[str, ...] = PRIVATE_WORDS, public: tuple[str, ...] = PUBLIC_STARTS, default: str = "n/a") -> Column:
+    """``private`` or ``public`` by the first word of an affiliation that tells, else the default; commas are left out
+    and points and brackets at the ends of words do not count."""
+    words = F.transform(F.split(F.replace(F.lower(c), F.lit(","), F.lit("")), "\\s+"), lambda w: F.btrim(w, F.lit("().")))
+    first = F.try_element_at(F.filter(words, lambda w: w.isin(*private) | w.rlike("^(?:" + "|".join(public) + ")")), F.lit(1))
+    return F.when(first.isin(*private), "private").when(first.isNotNull(), "public").otherwise(default)
+
+
+def organisation_name(c: Column) -> Column:
+    """What stands before the first comma of an affiliation, in lower case."""
+    return F.trim(F.substring_index(F.lower(c), ",", 1))
+
+
+#: Codes of a list of first names and the labels they stand for.
+GENDERS = {"M": "masculin", "1M": "mixte_masculin", "?M": "mixte_masculin", "F": "feminin", "1F": "mixte_feminin", "?F": "mixte_feminin", "?": "mixte"}
+
+
+def first_name_keys(c: Column) -> Column:
+    """The keys under which a first name is looked up, best first: a double name whole, then its first part; none for initials."""
+    name = F.replace(c, F.lit("'"), F.lit(""))
+    initials = name.rlike("^([A-Z][. '-]+){2,}[A-Z]*") | name.rlike("^[A-Z]+\\b\\.?")
+    parts = F.split(F.replace(F.replace(F.lower(deburr(name)), F.lit("."), F.lit("")), F.lit("- "), F.lit("-")), "[,\\s-]+")
+    one, two = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    whole = F.array(F.concat(one, two), F.concat(one, F.lit("-"), two), F.concat(one, F.lit(" "), two), one)
+    keys = F.when(F.size(parts) == 1, F.array(one)).when((F.length(one) > 1) & (F.length(two) > 1), whole).when(F.length(one) > 1, F.array(one))
+    return F.when(c.isNotNull() & ~initials, F.coalesce(keys, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+
+
+def gender_label(code: Column, default: str = "n/a") -> Column:
+    """The label of a list's code."""
+    out = F.lit(default)
+    for k, label in GENDERS.items():
+        out = F.when(code == k, label).otherwise(out)
+    return out
 
 
 def expand_tokens(c: Column, table: dict[str, str]) -> Column:
@@ -163,14 +192,27 @@ def name_variants(first: Column, last: Column) -> Column:
     return F.array_distinct(F.filter(F.array(*forms), lambda v: v.isNotNull()))
 
 
-#: Cyrillic letters in Latin script by ISO 9, and those written with two letters.
-CYRILLIC = "абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґ"
-LATIN = "abvgdeëžzijklmnoprstufhcčšŝʺyʹèûâìïêg"
+#: Small Cyrillic letters in Latin script by ISO 9; those of two signs; letters that look alike in both
+#: scripts; a Roman numeral in letters of either.
+CYRILLIC = "абвгдђѓеёєжзийіїклмноөпрстћќуўфхцчшщъыьѣэюяѧѵӓӑӕғһӗӡӣӥҡқӄԛԡңӊҥԋԣӈӧӫҩҧҫҭӱӯӳүԝҹӹӛ"
+LATIN = "abvgdğǵeëêžzijìïklmnoôprstćḱuŭfhcčšŝʺyʹěèûâǎỳäăæġḥĕźīîǩķḳqļņṇṅǹńňöőòṕșțüūűùwĉÿà"
+CYRILLIC_TWO = {"ј": "ǰ", "ґ": "g̀", "ѕ": "ẑ", "љ": "ľ", "њ": "n̂", "џ": "d̆", "җ": "ž̧", "ӝ": "z̄", "ӂ": "z̆", "ҙ": "z̦", "ӟ": "z̈", "ҝ": "k̂", "ҟ": "k̄", "ԥ": "p̀", "ԏ": "t̀", "ұ": "u̇", "ҳ": "h̦", "ҵ": "c̄", "ҷ": "c̦", "ӌ": "c̣", "ӵ": "c̈", "ҽ": "c̆", "ҿ": "c̨̆", "ә": "a̋"}
+LOOK_LATIN, LOOK_CYRILLIC = "AaBEeHIiJjKMOoPpCcTYXy", "АаВЕеНІіЈјКМОоРрСсТУХу"
+ROMAN = "(?U)\\b([CСMМ]*[XVIХІ]+)\\b"
 
 
 def cyrillic_to_latin(c: Column) -> Column:
-    """Cyrillic text in Latin letters by ISO 9; Roman numerals in Latin letters stay."""
-    return F.translate(c, CYRILLIC + CYRILLIC.upper(), LATIN + LATIN.upper())
+    """Cyrillic text in Latin letters by ISO 9. Letters of Roman numerals become Latin; Latin letters elsewhere that look
+    like Cyrillic ones are taken for these."""
+
+    def plain(x: Column) -> Column:
+        out = F.translate(F.translate(x, LOOK_LATIN, LOOK_CYRILLIC), CYRILLIC + CYRILLIC.upper(), LATIN + LATIN.upper())
+        for letter, two in CYRILLIC_TWO.items():
+            out = F.replace(F.replace(out, F.lit(letter), F.lit(two)), F.lit(letter.upper()), F.lit(two.upper()))
+        return out
+
+    parts = F.split(F.regexp_replace(c, ROMAN, "\u0001$1\u0001"), "\u0001")
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.translate(x, LOOK_CYRILLIC, LOOK_LATIN)).otherwise(plain(x))), "")
 
 
 def greek_share(c: Column) -> Column:
@@ -179,6 +221,24 @@ def greek_share(c: Column) -> Column:
     return F.when(solid > 0, F.regexp_count(c, F.lit("[\\u0370-\\u03E1\\u03F0-\\u03FF]")) / solid)
 
 
+def without_greek(c: Column, most: float = 0.3) -> Column:
+    """A text without the sentences, each up to a full stop, in which the share of Greek letters is ``most`` or more."""
+    parts = F.filter(F.split(c, "\\."), lambda x: (F.trim(x) != "") & (F.coalesce(greek_share(x), F.lit(0.0)) < most))
+    return F.array_join(F.transform(parts, lambda x: F.concat(x, F.lit("."))), "")
+
+
+#: Faults of scanned official journals and what is put in their place, in this order.
+SCAN_FAULTS = (("\n", " "), ("¬ ", ""), ("l'", "l' "), ("d'", "d' "), ("1° ", ""), ("2° ", ""), ("3° ", ""), ("Art. ", ""), (", A", ", a"))
+
+
+def clean_scan(c: Column) -> Column:
+    """The text of a scanned official journal without article numbers, rows of points and known faults."""
+    out = F.regexp_replace(F.regexp_replace(c, "\\bArt. \\w*\\b", ""), "\\.\\.+", "")
+    for old, new in SCAN_FAULTS:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
 def alpha_share(c: Column) -> Column:
     """The share of letters, digits and spaces in a line; null for an empty one."""
     return F.when(F.length(c) > 0, F.regexp_count(c, F.lit("[\\p{L}\\p{N}\\s]")) / F.length(c))
@@ -196,7 +256,7 @@ def line_filter(c: Column, least: float = 0.8) -> Column:
 
 def french_tokens(c: Column) -> Column:
     """Words with elisions and the punctuation at their edges split off."""
-    spaced = F.regexp_replace(F.regexp_replace(c, "(?i)\\b([cdjlmnstç]|qu|jusqu|lorsqu|puisqu)['’]", "$1' "), "([.,;:!?()\\[\\]«»\"])", " $1 ")
+    spaced = F.regexp_replace(F.regexp_replace(c, "(?i)(?<![\\p{L}\\p{N}])([cdjlmnstç]|qu|jusqu|lorsqu|puisqu)['’]", "$1' "), "([.,;:!?()\\[\\]«»\"])", " $1 ")
     return F.filter(F.split(F.trim(spaced), "\\s+"), lambda w: w != "")
 
 
@@ -244,18 +304,35 @@ def humanize(c: Column) -> Column:
     return F.when(c.isNotNull(), F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, F.lit(2), F.length(joined))))
 
 
-def abbreviations(c: Column) -> Column:
-    """Abbreviations in brackets, with as many words before them as they have letters: array of (short, long)."""
-    found = F.regexp_extract_all(c, F.lit("((?:[\\p{L}\\p{N}’'-]+\\s+){1,10})\\(([\\p{L}\\p{N}.?&-]{2,10})\\)"), F.lit(0))
-    two = F.filter(found, lambda m: F.regexp_extract(m, "\\((.*)\\)", 1).rlike("\\p{Lu}.*\\p{Lu}"))
+#: Signs that are dropped before abbreviations are looked for.
+ABBREVIATION_NOISE = ".\"',:[]{}?!\\+*ʼ·•"
 
-    def one(m: Column) -> Column:
-        short = F.regexp_extract(m, "\\((.*)\\)", 1)
-        before = F.split(F.trim(F.regexp_replace(m, "\\s*\\(.*$", "")), "\\s+")
-        n = F.least(F.regexp_count(short, F.lit("\\p{L}")), F.size(before))
-        return F.struct(short.alias("short"), F.array_join(F.slice(before, F.size(before) - n + 1, n), " ").alias("long"))
 
-    return F.transform(two, one)
+def abbreviations(c: Column, loose: bool = True) -> Column:
+    """Abbreviations in brackets, with as many words before them as they have signs: array of (short, long).
+
+    Those of figures only, with an underscore or of one sign are no abbreviations; unless ``loose``, neither are those
+    without a capital, or longer than two signs with one capital only.
+    """
+    text = c
+    for old, new in (("-(", " ("), (")-", ") "), ("((", "("), ("))", ")"), ("(", " ("), (")", ") "), ("/", " "), ("\u2009", " ")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    text = F.translate(text, ABBREVIATION_NOISE, "")
+    words = F.filter(F.split(text, "\\s+"), lambda w: w != "")
+
+    def short(w: Column) -> Column:
+        return F.regexp_extract(w, "^\\(([\\p{L}\\p{N}_&-]{2,})\\)$", 1)
+
+    def good(w: Column) -> Column:
+        x = short(w)
+        ok = (x != "") & ~x.rlike("^\\d+$") & ~x.contains("_")
+        return ok if loose else ok & (F.regexp_count(x, F.lit("\\p{Lu}")) >= F.when(F.length(x) > 2, 2).otherwise(1))
+
+    def one(w: Column, i: Column) -> Column:
+        n = F.least(F.length(short(w)), i)
+        return F.when(good(w), F.struct(short(w).alias("short"), F.array_join(F.slice(words, i - n + 1, n), " ").alias("long")))
+
+    return F.filter(F.transform(words, one), lambda x: x.isNotNull())
 
 
 #: Units of measurement by kind.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.joins import lookup_any
 from corpusloom.plans.registry import query
 from corpusloom.session import table
 
@@ -74,24 +75,6 @@ def clean_titles(spark, d):
     return table(spark, d, "crossref_works").select("work_id", T.clean_title(F.col("title")).alias("title")).distinct()
 
 
-@query(r"""
-SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\x{0370}-\x{03E1}\x{03F0}-\x{03FF}]')) AS greek, len(regexp_extract_all(coalesce(text, ''), '\S')) AS solid FROM documents
-""")
-def greek_signs(spark, d):
-    text = F.coalesce("text", F.lit(""))
-    return table(spark, d, "documents").select("doc_id", F.regexp_count(text, F.lit("[\\u0370-\\u03E1\\u03F0-\\u03FF]")).cast("bigint").alias("greek"), F.regexp_count(text, F.lit("\\S")).cast("bigint").alias("solid"))
-
-
-@query(r"""
-SELECT doc_id, len(list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+([\p{Lu}\p{N}])', '\1' || chr(1) || '\2', 'g'), '\x01|\n{2,}'), lambda s: trim(s, E' \t\r\n')), lambda s: s <> '')) AS sentences FROM documents WHERE text IS NOT NULL
-""")
-def sentence_counts(spark, d):
-    rows = table(spark, d, "documents").filter("text is not null")
-    marked = F.regexp_replace("text", "([.!?])\\s+([\\p{Lu}\\p{N}])", "$1\u0001$2")
-    parts = F.filter(F.transform(F.split(marked, "\\x01|\\n{2,}"), lambda s: F.regexp_replace(s, "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", "")), lambda s: s != "")
-    return rows.select("doc_id", F.size(parts).cast("bigint").alias("sentences"))
-
-
 @query("SELECT doc_id, regexp_replace(text, '[0-9]', '', 'g') AS letters, TRUE AS back FROM documents WHERE text IS NOT NULL")
 def digits_round_trip(spark, d):
     rows = table(spark, d, "documents").filter("text is not null")
@@ -99,14 +82,6 @@ def digits_round_trip(spark, d):
     return rows.select("doc_id", F.regexp_replace("text", "[0-9]", "").alias("letters"), (back == F.col("text")).alias("back"))
 
 
-@query(r"""
-SELECT p_partkey, list_transform(regexp_extract_all(p_name || ' 12 kg, 3.5 mm', '(?:^|[^\p{L}\d.-])(\d+(?:[.,]\d+)?\s?(?:kg|mm))', 1), lambda x: trim(x)) AS found FROM part
-""")
-def measured_quantities(spark, d):
-    text = F.concat("p_name", F.lit(" 12 kg, 3.5 mm"))
-    return table(spark, d, "part").select("p_partkey", F.transform(T.quantities(text), lambda q: F.concat_ws(" ", q["quantity"], q["unit"])).alias("found"))
-
-
 @query(r"""
 SELECT p_partkey, upper(substr(v, 1, 1)) || substr(v, 2) AS value FROM (
   SELECT p_partkey, trim(array_to_string(w[1:len(w) - 1], ' ') || ' ' || CASE
@@ -128,16 +103,6 @@ def name_forms(spark, d):
     return rows.select("profile_id", F.array_join(F.array_sort(T.name_variants(F.col("firstName"), F.col("lastName"))), "|").alias("variants")).distinct()
 
 
-@query(r"""
-SELECT DISTINCT id, coalesce(list_filter(w, lambda x: list_contains(['gmbh','inc','ltd','llc','corp','company','sa','sas','sarl','spa','bv','plc','ag','university','universite','universidad','universita','universitat','ministry','ministere','hospital','chu','school','ecole','institute','institut'], x))[1], '') AS word,
-  CASE WHEN word = '' THEN 'n/a' WHEN word IN ('gmbh','inc','ltd','llc','corp','company','sa','sas','sarl','spa','bv','plc','ag') THEN 'private' ELSE 'public' END AS kind
-FROM (SELECT id, string_split(trim(regexp_replace(lower(""" + _fold("value") + r"""), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM get_id)
-""")
-def public_or_private(spark, d):
-    words = F.filter(F.split(T.uniformize(F.col("value")), " "), lambda w: w.isin(*T.PRIVATE_WORDS, *T.PUBLIC_WORDS))
-    return table(spark, d, "get_id").select("id", F.coalesce(F.try_element_at(words, F.lit(1)), F.lit("")).alias("word"), T.first_token_kind(F.col("value")).alias("kind")).distinct()
-
-
 @query("SELECT o_orderkey, abs(o_custkey % 97 - o_orderkey % 89) + 1 AS pages FROM orders")
 def page_counts(spark, d):
     text = F.concat_ws("-", (F.col("o_custkey") % 97).cast("string"), (F.col("o_orderkey") % 89).cast("string"))
@@ -154,18 +119,96 @@ def inverted_index_texts(spark, d):
     return index.select("doc_id", T.inverted_to_text(F.col("m")).alias("text"))
 
 
-@query(r"SELECT mention_id, replace(replace(coalesce(name, ''), 'a', 'а'), 'e', 'е') AS cyr, coalesce(name, '') AS latin FROM (SELECT DISTINCT mention_id, name FROM align_mentions)")
+_GREEK, _SOLID = r"'[\x{0370}-\x{03E1}\x{03F0}-\x{03FF}]'", r"'[^\t\n\x0b\f\r ]'"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, text, len(regexp_extract_all(text, {_SOLID})) AS solid FROM documents),
+p AS (SELECT doc_id, i, string_split(text, '.')[i] AS s FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, '.')) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
+k AS (SELECT doc_id, string_agg(s || '.', '' ORDER BY i) AS kept FROM p WHERE trim(s) <> '' AND len(regexp_extract_all(s, {_GREEK})) < 0.3 * greatest(1, len(regexp_extract_all(s, {_SOLID}))) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN solid > 0 THEN round(len(regexp_extract_all(text, {_GREEK})) / solid, 6) END AS share, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS kept FROM d LEFT JOIN k USING (doc_id)
+""")
+def greek_signs(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(T.greek_share(F.col("text")), 6).alias("share"), T.without_greek(F.col("text")).alias("kept"))
+
+
+_ENDS = r"""string_split_regex(regexp_replace(text, '([.!?])[\t\n\x0b\f\r ]+([\p{Lu}\p{N}])', '\1' || chr(1) || '\2', 'g'), '\x01|\n{2,}')"""
+
+
+@query(rf"""
+SELECT doc_id, len(list_filter({_ENDS}, lambda s: trim(s, ' ') <> '')) AS sentences, list_filter(list_transform({_ENDS}, lambda s: trim(s, ' ')), lambda s: s <> '')[1] AS first FROM documents WHERE text IS NOT NULL
+""")
+def sentence_counts(spark, d):
+    parts = T.sentences(F.col("text"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.size(parts).cast("bigint").alias("sentences"), F.try_element_at(parts, F.lit(1)).alias("first"))
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@query(rf"""
+WITH x AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\bArt. [0-9A-Za-z_]*\b', '', 'g'), '\.\.+', '', 'g') AS t FROM documents)
+SELECT doc_id, {"replace(" * len(T.SCAN_FAULTS)}t{"".join(f", {_quoted(a)}, {_quoted(b)})" for a, b in T.SCAN_FAULTS)} AS text FROM x
+""")
+def cleaned_scans(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.clean_scan(F.col("text")).alias("text"))
+
+
+_UNITS = "|".join(T.UNITS.values())
+
+
+@query(rf"""
+WITH q AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\p{{L}}0-9.-])[0-9]+(?:[.,][0-9]+)?[\t\n\x0b\f\r ]?(?:{_UNITS})(?:[^\p{{L}}0-9]|$)')) AS m FROM documents)
+SELECT doc_id, regexp_extract(m, '([0-9]+(?:[.,][0-9]+)?)', 1) AS quantity, regexp_extract(m, '[0-9][\t\n\x0b\f\r ]?({_UNITS})(?:[^\p{{L}}0-9]|$)', 1) AS unit, count(*) AS n FROM q GROUP BY ALL
+""")
+def measured_quantities(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.explode(T.quantities(F.col("text"))).alias("q"))
+    return rows.groupBy("doc_id", "q.quantity", "q.unit").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""
+WITH w AS (SELECT DISTINCT id, value, list_transform(string_split_regex(replace(lower(value), ',', ''), '[\t\n\x0b\f\r ]+'), lambda x: trim(x, '().')) AS w FROM get_id),
+h AS (SELECT *, list_filter(w, lambda x: x IN ('sas', 'sarl', 'sa', 'private', 'edf', 'orange') OR starts_with(x, 'univ') OR starts_with(x, 'hop') OR starts_with(x, 'hôp') OR starts_with(x, 'hosp') OR starts_with(x, 'uar') OR starts_with(x, 'umr') OR starts_with(x, 'cea') OR starts_with(x, 'cnrs'))[1] AS h FROM w)
+SELECT id, trim(string_split(lower(value), ',')[1], ' ') AS organisme, CASE WHEN h IS NULL THEN 'n/a' WHEN h IN ('sas', 'sarl', 'sa', 'private', 'edf', 'orange') THEN 'private' ELSE 'public' END AS statut FROM h
+""")
+def public_or_private(spark, d):
+    value = F.col("value")
+    return table(spark, d, "get_id").select("id", T.organisation_name(value).alias("organisme"), T.first_token_kind(value).alias("statut")).distinct()
+
+
+@query(rf"""
+WITH n AS (SELECT DISTINCT profile_id, firstName AS f, replace(firstName, chr(39), '') AS q FROM author_profiles),
+k AS (SELECT profile_id, CASE WHEN f IS NULL OR regexp_matches(q, '^([A-Z][. -]+){{2,}}[A-Z]*') OR regexp_matches(q, '^[A-Z]+(?:[^A-Za-z0-9_]|$)') THEN [] ELSE string_split_regex(replace(replace(lower({_fold("q")}), '.', ''), '- ', '-'), '[,\t\n\x0b\f\r -]+') END AS p FROM n),
+c AS (SELECT profile_id, CASE WHEN len(p) = 1 THEN [p[1]] WHEN len(p) > 1 AND length(p[1]) > 1 AND length(p[2]) > 1 THEN [p[1] || p[2], p[1] || '-' || p[2], p[1] || ' ' || p[2], p[1]] WHEN len(p) > 1 AND length(p[1]) > 1 THEN [p[1]] ELSE [] END AS keys FROM k),
+l AS (SELECT lower({_fold("split_part(firstName, ' ', 1)")}) AS name, ['M', '1M', '?M', 'F', '1F', '?F', '?', 'x'][CAST(length(split_part(firstName, ' ', 1)) % 8 AS INT) + 1] AS code FROM author_profiles WHERE length(split_part(firstName, ' ', 1)) > 3 GROUP BY ALL),
+u AS (SELECT name, min(code) AS code FROM l GROUP BY 1), t AS (SELECT profile_id, unnest(keys) AS name, unnest(range(1, len(keys) + 1)) AS pos FROM c), h AS (SELECT profile_id, arg_min(code, pos) AS code FROM t JOIN u USING (name) GROUP BY 1)
+SELECT c.profile_id, CASE code WHEN 'M' THEN 'masculin' WHEN '1M' THEN 'mixte_masculin' WHEN '?M' THEN 'mixte_masculin' WHEN 'F' THEN 'feminin' WHEN '1F' THEN 'mixte_feminin' WHEN '?F' THEN 'mixte_feminin' WHEN '?' THEN 'mixte' ELSE 'n/a' END AS gender FROM c LEFT JOIN h USING (profile_id)
+""")
+def first_name_genders(spark, d):
+    rows = table(spark, d, "author_profiles").select("profile_id", "firstName").distinct()
+    head = F.substring_index("firstName", " ", 1)
+    code = F.element_at(F.array(*[F.lit(x) for x in ("M", "1M", "?M", "F", "1F", "?F", "?", "x")]), F.length(head) % 8 + 1)
+    known = rows.filter(F.length(head) > 3).select(F.lower(T.deburr(head)).alias("name"), code.alias("code")).groupBy("name").agg(F.min("code").alias("code"))
+    found = lookup_any(rows, known, "profile_id", T.first_name_keys(F.col("firstName")), "name", "code", name="code")
+    return found.select("profile_id", T.gender_label(F.col("code")).alias("gender"))
+
+
+_TWO = {k: v for a, b in T.CYRILLIC_TWO.items() for k, v in ((a, b), (a.upper(), b.upper()))}
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]+|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]+') AS w FROM documents)
+SELECT doc_id, CASE WHEN w IS NOT NULL THEN array_to_string(list_transform(w, lambda x: CASE WHEN regexp_full_match(x, '[CСMМ]*[XVIХІ]+') THEN translate(x, '{T.LOOK_CYRILLIC}', '{T.LOOK_LATIN}')
+  ELSE {"replace(" * len(_TWO)}translate(translate(x, '{T.LOOK_LATIN}', '{T.LOOK_CYRILLIC}'), '{T.CYRILLIC + T.CYRILLIC.upper()}', '{T.LATIN + T.LATIN.upper()}'){"".join(f", '{k}', '{v}')" for k, v in _TWO.items())} END), '') END AS latin FROM t
+""")
 def transliterated(spark, d):
-    rows = table(spark, d, "align_mentions").select("mention_id", "name").distinct()
-    cyr = F.translate(F.coalesce("name", F.lit("")), "ae", "ае")
-    return rows.select("mention_id", cyr.alias("cyr"), T.cyrillic_to_latin(cyr).alias("latin"))
+    return table(spark, d, "documents").select("doc_id", T.cyrillic_to_latin(F.col("text")).alias("latin"))
 
 
 @query(r"""
-SELECT doc_id, len(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(text, '(?i)\b([cdjlmnst]|qu)''', '\1'' ', 'g'), '([.,;:!?()«»"\[\]])', ' \1 ', 'g'), E' \t\r\n'), '[ \t\r\n\f\x0b]+'), lambda w: w <> '')) AS tokens
-FROM documents WHERE lang = 'fr' AND text IS NOT NULL
+SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(regexp_replace(text, '(?i)(^|[^\p{L}\p{N}])([cdjlmnstç]|qu|jusqu|lorsqu|puisqu)[''’]', '\1\2'' ', 'g'), '([.,;:!?()«»"\[\]])', ' \1 ', 'g'), '[ \t\r\n\f\x0b]+'), lambda w: w <> '')) AS tokens
+FROM documents WHERE text IS NOT NULL
 """)
 def french_token_counts(spark, d):
-    rows = table(spark, d, "documents").filter("lang = 'fr' and text is not null")
-    spaced = F.regexp_replace(F.regexp_replace("text", "(?i)\\b([cdjlmnst]|qu)'", "$1' "), "([.,;:!?()«»\"\\[\\]])", " $1 ")
-    return rows.select("doc_id", F.size(F.filter(F.split(F.regexp_replace(spaced, "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", ""), "[ \\t\\r\\n\\f\\x0b]+"), lambda w: w != "")).cast("bigint").alias("tokens"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.size(T.french_tokens(F.col("text"))).cast("bigint").alias("tokens"))
