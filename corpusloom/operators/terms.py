@@ -5,39 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import sentences
-
 #: Function words of English and French, which end a term.
 STOP_WORDS = {
     "en": "a about after all also although an and any are as at be because been between both but by can could did do does during each for from had has have he her his how however if in into is it its more most no nor not of on one only or other our over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your".split(),
     "fr": "à afin ainsi alors au aucun aussi autre aux avec avoir car ce cela ces cet cette ceux chez comme contre dans de depuis des donc dont du elle en entre est et été être eux il ils je la le les leur leurs lors lui mais malgré même moins ne ni nos notre nous on ou où par pas pendant plus pour puis puisque quand que quel qui sa sans se selon ses si son sont sous sur ta tes ton tous tout toute très tu un une vers vos votre vous".split(),
 }
-#: Endings by which a word is taken for a verb or adverb rather than part of a noun phrase.
-NOT_NOMINAL = {"en": "(?:ly|ises|izes|ifies)$", "fr": "(?:ment|ent|ait|aient|er|ir)$"}
+#: Endings by which a word is taken for a verb, participle or adverb rather than part of a noun phrase.
+NOT_NOMINAL = {"en": "ly|ises|izes|ifies|ing|ed", "fr": "aient|ait|er|ir|ées?|és?"}
+#: Possessive endings and elided words, which end a term.
+CLITICS = {"en": "(?<=\\p{L})['’]s(?![\\p{L}\\p{N}])", "fr": "(?<![\\p{L}\\p{N}])(?:[cdjlmnst]|qu|jusqu|lorsqu|puisqu)['’]"}
 
 
-def term_candidates(df: DataFrame, id_col: str, text_col: str, lang: str = "en", most_words: int = 3) -> DataFrame:
-    """(id, term): runs of up to ``most_words`` words that may make a term, one row for each occurrence.
+def term_runs(c: Column, lang: str = "en", numbers: bool = False) -> Column:
+    """The runs of words of a text that may make a term, in lower case: array of strings.
 
-    The text is put in lower case and cut into sentences and words; words that are function words, figures, short (under
-    3 letters), long (over 50) or no nouns by their ending part the runs. A run gives itself and its single words.
+    Function words, verbs and adverbs by their ending, words of one or two letters, those with figures (unless
+    ``numbers``) and every sign but hyphen and apostrophe part the runs, hence sentences do so as well.
     """
-    words = df.select(id_col, F.explode(sentences(F.lower(text_col))).alias("_s")).select(id_col, F.split(F.trim(F.regexp_replace("_s", "[^\\p{L}\\p{N}'’-]+", " ")), " ").alias("_w"))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS[lang]])
-    bad = lambda w: F.array_contains(stop, w) | (F.length(w) < 3) | (F.length(w) > 50) | w.rlike("\\d") | ~w.rlike("^\\p{L}") | w.rlike(NOT_NOMINAL[lang])
-    marked = words.withColumn("_m", F.array_join(F.transform("_w", lambda w: F.when(bad(w), "|").otherwise(w)), " "))
-    runs = marked.select(id_col, F.explode(F.split("_m", "\\s*\\|\\s*")).alias("_r")).filter("_r != ''").select(id_col, F.split(F.trim("_r"), " ").alias("_r"))
-    short = F.when((F.size("_r") > 1) & (F.size("_r") <= most_words), F.concat(F.array(F.array_join("_r", " ")), F.col("_r"))).otherwise(F.col("_r"))
-    return runs.select(id_col, F.explode(short).alias("term"))
+    edge = "[\\p{L}\\p{N}'’-]"
+    short = "\\p{L}" if numbers else "\\p{L}{1,2}"
+    bad = ["|".join(STOP_WORDS[lang]), f"\\p{{L}}{edge}*(?:{NOT_NOMINAL[lang]})", short, "['’-]+"] + ([] if numbers else [f"{edge}*\\p{{N}}{edge}*"])
+    text = F.regexp_replace(F.regexp_replace(F.lower(c), CLITICS[lang], " | "), "[^\\p{L}\\p{N}\\s'’-]+|\\n\\s*\\n", " | ")
+    marked = F.regexp_replace(text, f"(?<!{edge})(?:{'|'.join(bad)})(?!{edge})", "|")
+    return F.filter(F.transform(F.split(marked, "\\|"), lambda r: F.trim(F.regexp_replace(r, "\\s+", " "))), lambda r: r != "")
+
+
+def term_candidates(df: DataFrame, id_col: str, text_col: str, lang: str = "en", most_words: int = 4, numbers: bool = False) -> DataFrame:
+    """(id, term): one row for each occurrence of a term: every run, of a run of more than ``most_words`` words all pieces
+    of that many, and every word of a run of several; terms of less than 3 or more than 50 signs are none."""
+    runs = df.select(id_col, F.explode(term_runs(F.col(text_col), lang, numbers)).alias("_r")).select(id_col, "_r", F.split("_r", " ").alias("_w"))
+    n = F.size("_w")
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - most_words + 1)), lambda i: F.array_join(F.slice("_w", i, most_words), " "))
+    terms = F.when(n == 1, F.col("_w")).otherwise(F.concat(F.when(n > most_words, pieces).otherwise(F.array("_r")), "_w"))
+    return runs.select(id_col, F.explode(terms).alias("term")).filter("length(term) between 3 and 50" + ("" if numbers else " and term rlike '\\\\p{L}'"))
 
 
-def specific_terms(df: DataFrame, id_col: str, text_col: str, lang: str = "en", top: int | None = None, reference: DataFrame | None = None) -> DataFrame:
+def specific_terms(df: DataFrame, id_col: str, text_col: str, lang: str = "en", top: int | None = None, reference: DataFrame | None = None, numbers: bool = False) -> DataFrame:
     """(id, term, frequency, specificity): terms of each text, the most specific first.
 
     Specificity is the frequency over the term's weight in a reference (1 where it has none), as a share of the
     highest of the text. Single words that occur once only go, unless that leaves a text without any.
     """
-    freq = term_candidates(df, id_col, text_col, lang).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("frequency"))
+    freq = term_candidates(df, id_col, text_col, lang, numbers=numbers).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("frequency"))
     if reference is not None:
         freq = freq.join(reference.select("term", F.col("weight").alias("_wt")), "term", "left").withColumn("_wt", F.coalesce("_wt", F.lit(1.0)))
     else:
@@ -62,6 +71,11 @@ def corpus_terms(df: DataFrame, id_col: str, text_col: str, lang: str = "en", to
     return out.orderBy(F.col("spec").desc(), "term").limit(top).select(F.col("term").alias("key"), "freq", "spec")
 
 
+def minimal_terms(terms: DataFrame) -> DataFrame:
+    """(id, value): terms of a corpus with their frequencies, and nothing else."""
+    return terms.select(F.col("key").alias("id"), F.col("freq").alias("value"))
+
+
 #: Fixed value: a binomial: a capital genus (or its initial) and a species in small letters.
 BINOMIAL = "(\\p{Lu}\\p{Ll}+|\\p{Lu}\\.) (\\p{Ll}[\\p{Ll}-]{2,})"
 

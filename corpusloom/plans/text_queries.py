@@ -179,7 +179,7 @@ def public_or_private(spark, d):
 
 @query(rf"""
 WITH n AS (SELECT DISTINCT profile_id, firstName AS f, replace(firstName, chr(39), '') AS q FROM author_profiles),
-k AS (SELECT profile_id, CASE WHEN f IS NULL OR regexp_matches(q, '^([A-Z][. -]+){{2,}}[A-Z]*') OR regexp_matches(q, '^[A-Z]+(?:[^A-Za-z0-9_]|$)') THEN [] ELSE string_split_regex(replace(replace(lower({_fold("q")}), '.', ''), '- ', '-'), '[,\t\n\x0b\f\r -]+') END AS p FROM n),
+k AS (SELECT profile_id, CASE WHEN f IS NULL OR regexp_matches(q, '^([A-Z][. -]+){{2,}}[A-Z]*') OR regexp_matches(q, '^[A-Z]+(?:[^\p{{L}}\p{{N}}_]|$)') THEN [] ELSE string_split_regex(replace(replace(lower({_fold("q")}), '.', ''), '- ', '-'), '[,\t\n\x0b\f\r -]+') END AS p FROM n),
 c AS (SELECT profile_id, CASE WHEN len(p) = 1 THEN [p[1]] WHEN len(p) > 1 AND length(p[1]) > 1 AND length(p[2]) > 1 THEN [p[1] || p[2], p[1] || '-' || p[2], p[1] || ' ' || p[2], p[1]] WHEN len(p) > 1 AND length(p[1]) > 1 THEN [p[1]] ELSE [] END AS keys FROM k),
 l AS (SELECT lower({_fold("split_part(firstName, ' ', 1)")}) AS name, ['M', '1M', '?M', 'F', '1F', '?F', '?', 'x'][CAST(length(split_part(firstName, ' ', 1)) % 8 AS INT) + 1] AS code FROM author_profiles WHERE length(split_part(firstName, ' ', 1)) > 3 GROUP BY ALL),
 u AS (SELECT name, min(code) AS code FROM l GROUP BY 1), t AS (SELECT profile_id, unnest(keys) AS name, unnest(range(1, len(keys) + 1)) AS pos FROM c), h AS (SELECT profile_id, arg_min(code, pos) AS code FROM t JOIN u USING (name) GROUP BY 1)
