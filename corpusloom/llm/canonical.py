@@ -16,13 +16,13 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.text import Patterns, Signs, banded, distances, pack, plain, with_swaps
+from corpusloom.llm.text import NearWords, Patterns, Signs, banded, distances, pack, plain, with_swaps
 from corpusloom.session import cut, spread
 
 #: Spellings of a list whose tree is broadcast (about 500 bytes each), and of one shard of a larger list.
 MOST_BROADCAST = 200_000
-#: Pairs of a query and a node that are compared in one step.
-STEP = 200_000
+#: Pairs of a query and a node that are compared in one step, few enough for the processor's cache.
+STEP = 1 << 15
 
 
 class BKTree:
@@ -58,7 +58,7 @@ class BKTree:
     def search(self, queries: list[str], radius: list[int]) -> list[list[tuple[str, int]]]:
         """For each query every key within its radius, with the distance."""
         out: list[list[tuple[str, int]]] = [[] for _ in queries]
-        short = [k for k, q in enumerate(queries) if 0 < len(q) <= 64]
+        short = sorted((k for k, q in enumerate(queries) if 0 < len(q) <= 64), key=lambda k: len(queries[k]))
         for k, q in enumerate(queries):
             for key in self.long if len(q) <= 64 else [*self.long, *self.keys]:
                 if (d := banded(q, key, radius[k])) <= radius[k]:
@@ -101,21 +101,20 @@ class Reader:
 
     def __init__(self, groups: dict[str, str]):
         self.groups = groups
+        self.near = NearWords([(name, min(2, len(name) // 5)) for name in groups if len(name) >= 6])
+        self.by_length = sorted(groups.items(), key=lambda x: -len(x[0]))
 
     def group_of(self, part: str) -> str | None:
         if part in self.groups:
             return self.groups[part]
-        if len(part) >= 6:
-            for name, code in self.groups.items():
-                if len(name) >= 6 and banded(part, name, 2) <= min(2, len(name) // 5):
-                    return code
-        return None
+        at = self.near.find(part) if len(part) >= 6 else -1
+        return self.groups[self.near.words[at][0]] if at >= 0 else None
 
     def in_context(self, context: str | None, value: str) -> str | None:
         if not context:
             return None
         rest = f" {plain(context.replace(value, ' , '))} "
-        for name, code in sorted(self.groups.items(), key=lambda x: -len(x[0])):
+        for name, code in self.by_length:
             if len(name) > 3 and f" {name} " in rest:
                 return code
         return None
