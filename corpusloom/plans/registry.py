@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-MODULES = ("text_queries", "record_queries", "join_queries", "analytic_queries", "term_queries", "learning_queries", "source_queries")
+MODULES = ("text_queries", "record_queries", "join_queries", "analytic_queries", "term_queries", "learning_queries", "source_queries", "rule_queries")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
