@@ -132,30 +132,47 @@ def nearest_class(spark, d):
     return J.knn_classes(near, e, "vec_id", "label").withColumn("weight", F.round("weight", 4))
 
 
-@query(r"""
-WITH w AS (SELECT lower(doi) AS doi, min(title) AS title FROM crossref_works GROUP BY 1),
-r AS (SELECT DISTINCT ref_id, raw_ref, lower(nullif(regexp_extract(raw_ref, '(?i)\b(10\.\d{4,9}/[^\s"<>]+?)[.,;)\]]*(?:\s|$)', 1), '')) AS doi FROM bibrefs)
-SELECT ref_id, r.doi, CASE WHEN raw_ref IS NULL OR trim(raw_ref) = '' THEN 'error' WHEN r.doi IS NULL THEN 'no identifier' WHEN w.doi IS NULL THEN 'not_found' WHEN lower(w.title) LIKE 'retract%' THEN 'retracted' ELSE 'known' END AS status
-FROM r LEFT JOIN w ON r.doi = w.doi
+_UNIFORM = "trim(regexp_replace(lower(" + _KEY.split("regexp_replace({0}")[0].removeprefix("lower(") + "{0}" + _KEY.split("'g')")[1].removesuffix(")") + "), '[^a-z0-9]+', ' ', 'g'))"
+_SHARE = "coalesce(len(list_filter(list_distinct(list_filter(string_split({p}, ' '), lambda w: length(w) > 2)), lambda w: list_contains(string_split({t}, ' '), w))) / nullif(len(list_distinct(list_filter(string_split({p}, ' '), lambda w: length(w) > 2))), 0), 0)"
+
+
+@query(rf"""
+WITH w AS (SELECT lower(doi) AS doi, {_UNIFORM.format("trim(regexp_replace(regexp_replace(coalesce(title, ''), '<[^>]{1,60}>', '', 'g'), '(?i)^\s*(?:retracted(?: article)?|retraction(?: note)?|withdrawn)\s*:\s*', ''))")} AS wt, {_UNIFORM.format("coalesce(author[1].family, '')")} AS wa, try_cast(issued AS INT) AS wy, {_UNIFORM.format("coalesce(source_long, '')")} AS ws, work_id FROM crossref_works),
+bad AS (SELECT DISTINCT lower(doi) AS doi FROM crossref_works WHERE lower(title) LIKE 'retract%'),
+r AS (SELECT ref_id, min(raw_ref) AS t FROM bibrefs GROUP BY 1),
+c AS (SELECT ref_id, t, {_UNIFORM.format("coalesce(t, '')")} AS u, try_cast(nullif(regexp_extract(t, '((?:19|20)[0-9]{{2}})', 1), '') AS INT) AS y,
+  list_filter(list_transform([lower(regexp_extract(replace(t, ' ', ''), '10\.[0-9]{{4,}}/[^\t\n\x0b\f\r ,]+')), lower(regexp_extract(t, '10\.[0-9]{{4,}}/[^\t\n\x0b\f\r ,]+')), replace(lower(regexp_extract(t, '10\.[0-9]{{4,}}/[^,]+')), ' ', '_')], lambda x: trim(x, '.')), lambda x: x <> '') AS d FROM r),
+x AS (SELECT ref_id, t, u, y, unnest(d) AS doi, unnest(range(0, len(d))) AS k FROM c),
+h AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY k, work_id) AS n FROM x JOIN w USING (doi)),
+s AS (SELECT ref_id, doi, length(doi) * 1.5 < length(u) AS long, (CASE WHEN wt <> '' AND {_SHARE.format(p="wt", t="u")} > 0.84 THEN 1 ELSE 0 END) + (CASE WHEN wa <> '' AND contains(u, wa) THEN 1 ELSE 0 END) + (CASE WHEN wy = y THEN 1 ELSE 0 END) + (CASE WHEN ws <> '' AND {_SHARE.format(p="ws", t="u")} > 0.84 THEN 1 ELSE 0 END) AS p FROM h WHERE n = 1)
+SELECT c.ref_id, CASE WHEN NOT long OR p >= 2 THEN s.doi END AS doi, CASE WHEN t IS NULL THEN 'error_data' WHEN s.doi IS NOT NULL AND long AND p < 2 THEN 'to_be_verified' WHEN s.doi IN (SELECT doi FROM bad) THEN 'retracted' WHEN s.doi IS NOT NULL THEN 'found' WHEN len(d) > 0 THEN 'to_be_verified' ELSE 'not_found' END AS status
+FROM c LEFT JOIN s USING (ref_id)
 """)
 def reference_status(spark, d):
+    return R.validate_references(table(spark, d, "bibrefs"), *_registers(spark, d), "ref_id", "raw_ref", search=False, similarity=R.word_share)
+
+
+def _registers(spark, d):
     works = table(spark, d, "crossref_works")
     w = works.select("doi", "title", F.get("author", F.lit(0))["family"].alias("author"), F.expr("try_cast(issued as int)").alias("year"), F.col("source_long").alias("source"))
-    bad = works.groupBy(F.lower("doi").alias("doi")).agg(F.min("title").alias("title")).filter("lower(title) like 'retract%'").select("doi")
-    refs = table(spark, d, "bibrefs").select("ref_id", "raw_ref").distinct()
-    out = R.validate_references(refs, w, bad, "ref_id", "raw_ref")
-    known = works.select(F.lower("doi").alias("doi")).distinct().withColumn("k", F.lit(True))
-    out = out.join(known, "doi", "left")
-    status = F.when(F.col("status") == "error_data", "error").when(F.col("doi").isNull(), "no identifier").when(F.col("status").isin("found", "to_be_verified"), "known").otherwise(F.col("status"))
-    return out.select("ref_id", "doi", status.alias("status"))
+    return w, works.filter("lower(title) like 'retract%'").select("doi")
 
 
 @query(None)
 def validated_references(spark, d):
-    works = table(spark, d, "crossref_works")
-    w = works.select("doi", "title", F.get("author", F.lit(0))["family"].alias("author"), F.expr("try_cast(issued as int)").alias("year"), F.col("source_long").alias("source"))
-    bad = works.filter("lower(title) like 'retract%'").select("doi")
-    return R.validate_references(table(spark, d, "bibrefs").select("ref_id", "raw_ref").distinct(), w, bad, "ref_id", "raw_ref")
+    return R.validate_references(table(spark, d, "bibrefs"), *_registers(spark, d), "ref_id", "raw_ref")
+
+
+@query(None)
+def compared_references(spark, d):
+    refs = table(spark, d, "bibrefs").select("ref_id", "raw_ref", F.get(R.doi_candidates(F.col("raw_ref")), F.lit(0)).alias("doi")).distinct()
+    return R.compare_reference(refs, _registers(spark, d)[0], "ref_id", "raw_ref", "doi")
+
+
+@query(None)
+def matched_researchers(spark, d):
+    p = table(spark, d, "author_profiles").select(F.col("profile_id").alias("id"), F.col("firstName").alias("first"), F.col("lastName").alias("last"), "email", "affiliations", F.col("coAuthors").alias("coauthors"), "titles").dropDuplicates(["id"])
+    return R.same_researcher(p.filter("id % 50 = 0"), p.filter("id % 50 != 0"))
 
 
 @query("""
