@@ -5,17 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.dataflow import with_position
 
-def cooccurrence(df: DataFrame, id_col: str, item_col: str, position: str, distinct_ids: bool = True) -> DataFrame:
+
+#: Items of a record of which all pairs are made in one row; a longer record is taken in blocks of so many.
+BLOCK = 256
+
+
+def cooccurrence(df: DataFrame, id_col: str, item_col: str, position: str, distinct_ids: bool = True, block: int = BLOCK) -> DataFrame:
     """(source, target, weight, origins): unordered pairs of a record's items in their order, counted over the records.
 
-    ``df``: one row for each item. Empty items count for nothing. The pairs of one record are all that is built at once.
+    ``df``: one row for each item. Empty items count for nothing. Items are numbered by a window and gathered in blocks;
+    each block gives its own pairs and meets the later ones of its record, so a record of any length is spread over many
+    rows. A pair's count in a record is made first, so origins are a plain sum.
     """
-    items = df.filter(F.col(item_col).isNotNull() & (F.col(item_col) != "")).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(item_col).alias("x")))).alias("_v"))
-    items = items.select(id_col, F.transform("_v", lambda s: s["x"]).alias("_x")).filter("size(_x) > 1")
-    pairs = items.select(id_col, F.explode(F.expr("flatten(transform(sequence(1, size(_x) - 1), i -> transform(slice(_x, i + 1, size(_x)), y -> struct(_x[i - 1] as source, y as target))))")).alias("e"))
-    origins = F.countDistinct(id_col) if distinct_ids else F.count(id_col)
-    return pairs.select(id_col, "e.*").groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"), origins.alias("origins"))
+    items = df.filter(F.col(item_col).isNotNull() & (F.col(item_col) != "")).select(id_col, F.col(item_col).alias("_x"), F.col(position).alias("_p"))
+    numbered = items.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy("_p", "_x")) - 1)
+    blocks = numbered.groupBy(id_col, F.floor(F.col("_n") / block).cast("int").alias("_b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_x"))), lambda s: s["_x"]).alias("_v"))
+    own = F.expr("flatten(transform(sequence(1, size(_v) - 1), i -> transform(slice(_v, i + 1, size(_v)), y -> struct(_v[i - 1] as source, y as target))))")
+    within = blocks.filter("size(_v) > 1").select(id_col, F.explode(own).alias("e"))
+    more = blocks.filter("_b > 0").select(id_col).distinct()
+    long = blocks.join(more, id_col, "left_semi")
+    later = long.select(id_col, F.col("_b").alias("_c"), F.col("_v").alias("_w"))
+    across = long.join(later, id_col).filter("_b < _c").select(id_col, F.explode(F.expr("flatten(transform(_v, x -> transform(_w, y -> struct(x as source, y as target))))")).alias("e"))
+    pairs = within.unionAll(across).select(id_col, "e.source", "e.target")
+    if not distinct_ids:
+        return pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"), F.count(id_col).alias("origins"))
+    per = pairs.groupBy("source", "target", id_col).agg(F.count(F.lit(1)).alias("_k"))
+    return per.groupBy("source", "target").agg(F.sum("_k").alias("weight"), F.count(id_col).alias("origins"))
+
+
+def keyword_weights(df: DataFrame, id_col: str, item_col: str, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a keyword graph: a node weighs one and a half times its occurrences; an edge is an unordered pair,
+    lesser name first, and weighs its occurrences in one record; lighter ones than ``least`` are left out."""
+    nodes = df.filter(F.col(item_col).isNotNull() & (F.col(item_col) != "")).groupBy(F.col(item_col).alias("node")).agg((1.5 * F.count(F.lit(1))).alias("weight"))
+    edges = cooccurrence(df, id_col, item_col, item_col, distinct_ids=False).select("source", "target", "weight").filter(F.col("weight") >= least)
+    return nodes, edges
+
+
+def topic_graph(words: DataFrame, topic: str = "topic", word: str = "word", weight: str = "weight") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of topics' words: a node for each word with its topics' weights added and a size of a thousand times
+    that, in its first topic's colour; all words of a topic are linked."""
+    nodes = words.groupBy(F.col(word).alias("node")).agg(F.sum(weight).alias("weight"), (F.min(topic) % 18).cast("int").alias("colour"))
+    edges = cooccurrence(words, topic, word, word, distinct_ids=False).select("source", "target")
+    return nodes.withColumn("size", F.floor(F.col("weight") * 1000).cast("int")), edges.distinct()
 
 
 def transitions(df: DataFrame, id_col: str, item_col: str, order: list[str]) -> DataFrame:
@@ -113,9 +146,18 @@ def edge_threshold(node: Column) -> Column:
     return F.when(node <= 1, F.lit(0.0)).otherwise(F.greatest(F.lit(1.0), node / 6))
 
 
-def merge_nodes(df: DataFrame, key: str, attributes: list[str], targets: str) -> DataFrame:
-    """Rows of one node made one: its first known attributes, and all its targets."""
-    return df.groupBy(key).agg(*[F.first(a, ignorenulls=True).alias(a) for a in attributes], F.array_sort(F.array_distinct(F.flatten(F.collect_list(targets)))).alias(targets))
+def merge_nodes(df: DataFrame, key: str, attributes: list[str], targets: str, order: str) -> DataFrame:
+    """Rows of one node made one: each attribute's first known value by ``order``, and all its targets, each once."""
+    first = [F.min_by(F.when(F.col(a).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(order))).alias(a) for a in attributes]
+    ends = df.select(key, F.explode(targets).alias("_t")).groupBy(key).agg(F.array_sort(F.collect_set("_t")).alias(targets))
+    return df.groupBy(key).agg(*first).join(ends, key, "left")
+
+
+def by_size(df: DataFrame, leader: str) -> DataFrame:
+    """(leader, size, place): groups, the largest first, of equals the least leader."""
+    sizes = df.groupBy(F.col(leader).alias("leader")).agg(F.count(F.lit(1)).alias("size"))
+    placed = with_position(sizes.withColumn("_s", -F.col("size")), ["_s", "leader"], "place")
+    return placed.select("leader", "size", (F.col("place") + 1).cast("int").alias("place"))
 
 
 def citation_edges(refs: DataFrame, citing: str, cited: str) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import random
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, replace as _replace
 
 import pandas as pd
@@ -259,17 +261,61 @@ def generate_ark(df: DataFrame, naan: str, sub: str, key: str, registry: DataFra
         salt += 1
 
 
-def fork(df: DataFrame, *sinks: Callable[[DataFrame], None]) -> DataFrame:
-    """Feeds a copy of the records to each sink; they are computed once and kept while the sinks run."""
-    held = df.persist()
-    try:
+def fork(df: DataFrame, *sinks: Callable[[DataFrame], None], detached: bool = False) -> DataFrame | tuple[DataFrame, Future]:
+    """Feeds the records to each sink and passes them on; they are computed once, into a written table, which the sinks
+    and all that follows read. Detached sinks run beside the caller, who gets a future that raises their first error."""
+    held = cut(df)
+
+    def feed() -> None:
         for sink in sinks:
             sink(held)
+
+    if not detached:
+        feed()
+        return held
+    return held, spawn(feed)
+
+
+def spawn(work: Callable[[], object]) -> Future:
+    """Runs a piece of work in a thread of its own."""
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(work)
     finally:
-        held.unpersist()
+        pool.shutdown(wait=False)
+
+
+def debug(df: DataFrame, text: str = "", rows: int = 5, level: int = logging.DEBUG) -> DataFrame:
+    """Logs the schema and, if the level is heard, the first records; passes all records on."""
+    log = logging.getLogger("corpusloom")
+    if log.isEnabledFor(level):
+        log.log(level, "%s %s %s", text, df.schema.simpleString(), [r.asDict(True) for r in df.limit(rows).collect()])
     return df
 
 
+def transit(df: DataFrame) -> DataFrame:
+    return df
+
+
+def always(df: DataFrame, value: object = True, keep_id: str | None = "id") -> DataFrame:
+    """Every record with the same value."""
+    return df.select(*([keep_id] if keep_id else []), F.lit(value).alias("value"))
+
+
+def cached(keys: DataFrame, key: str, ask: Callable[[DataFrame], DataFrame], store: str) -> DataFrame:
+    """The answers to keys, each key being asked once over all calls: answers are kept in a folder that calls add to.
+
+    ``ask`` gives a row for each new key; what it leaves out is asked again the next time.
+    """
+    spark = keys.sparkSession
+    wanted = cut(keys.select(key).filter(F.col(key).isNotNull()).distinct())
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    known = spark.read.parquet(store) if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path) else None
+    new = wanted if known is None else wanted.join(known.select(key), key, "left_anti")
+    ask(new).write.mode("append").parquet(store)
+    return spark.read.parquet(store).join(wanted, key, "left_semi")
+
+
 def ticket(generator: str) -> dict[str, str]:
     """The receipt of a background job."""
     return {"id": generator, "value": uuid.UUID(int=random.getrandbits(128), version=4).hex}

@@ -134,4 +134,4 @@ def noise_label(text: Column, noise: Column) -> Column:
 
 def boolean_score(score: Column, digits: int = 3) -> Column:
     """(label, score): whether a score is a half or more, and the score as text with three digits."""
-    return F.struct((score >= 0.5).alias("label"), F.format_number(score, f"0.{'0' * digits}").alias("score"))
+    return F.struct((score >= 0.5).alias("label"), F.format_string(f"%.{digits}f", score.cast("double")).alias("score"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import label_key, ratio
+from corpusloom.session import spread
 
 
 def lookup(df: DataFrame, table: DataFrame, on: str, key: str, value: Column, order: Column | None = None, default=None, name: str = "result") -> DataFrame:
@@ -84,54 +85,75 @@ def blocked_similarity(df: DataFrame, id_col: str, text_col: str, prefix: int =
     return a.join(b, "_block").filter("ta < tb and abs(length(ta) - length(tb)) <= (1 - %f) * 2 * greatest(length(ta), length(tb))" % least).withColumn("score", ratio(F.col("ta"), F.col("tb"))).filter(F.col("score") >= least).select("ta", "tb", "score")
 
 
-def contained_terms(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, term_col: str, most_words: int = 5) -> DataFrame:
-    """(id, term, at): dictionary terms in texts, by equality of word runs rather than by search; ``at`` is the word's place."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text_col), "[^\\p{L}\\p{N}]+", " ")), " ")
-    rows = texts.select(id_col, words.alias("_w")).filter("size(_w) > 0")
-    sizes = terms.select(F.size(F.split(F.trim(F.regexp_replace(F.lower(term_col), "[^\\p{L}\\p{N}]+", " ")), " ")).alias("n"), F.trim(F.regexp_replace(F.lower(term_col), "[^\\p{L}\\p{N}]+", " ")).alias("term"))
-    runs = rows.select(id_col, "_w", F.explode(F.sequence(F.lit(1), F.lit(most_words))).alias("n")).filter("n <= size(_w)")
-    runs = runs.select(id_col, "n", F.posexplode(F.expr("transform(sequence(1, size(_w) - n + 1), i -> array_join(slice(_w, i, n), ' '))")).alias("at", "term"))
-    return runs.join(sizes.filter(F.col("n") <= most_words).distinct(), ["n", "term"]).select(id_col, "term", "at", "n")
+def contained_terms(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, term_col: str) -> DataFrame:
+    """(id, term, at, n): dictionary terms in texts, by equality of word runs rather than by search; ``at`` is the word's
+    place. The lengths of runs are those that the dictionary has, whatever they are."""
+    tidy = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}]+", " "))
+    listed = terms.select(tidy(F.col(term_col)).alias("term")).filter("term != ''").distinct().withColumn("n", F.size(F.split("term", " ")))
+    sizes = listed.select("n").distinct()
+    words = texts.select(id_col, F.split(tidy(F.col(text_col)), " ").alias("_w")).join(F.broadcast(sizes), F.expr("n <= size(_w)"))
+    runs = words.select(id_col, "n", F.posexplode(F.expr("transform(sequence(1, size(_w) - n + 1), i -> array_join(slice(_w, i, n), ' '))")).alias("at", "term"))
+    return runs.join(listed, ["n", "term"]).select(id_col, "term", "at", "n")
 
 
 def longest_match(matches: DataFrame, id_col: str) -> DataFrame:
-    """Of overlapping matches the longest, then the earliest."""
-    m, o = matches.alias("m"), matches.alias("o")
-    covers = (F.col(f"m.{id_col}") == F.col(f"o.{id_col}")) & (F.col("o.at") < F.col("m.at") + F.col("m.n")) & (F.col("m.at") < F.col("o.at") + F.col("o.n"))
-    better = (F.col("o.n") > F.col("m.n")) | ((F.col("o.n") == F.col("m.n")) & (F.col("o.at") < F.col("m.at")))
-    return m.join(o, covers & better, "left_anti")
+    """Of overlapping matches the longest, then the earliest: those stay that no better one overlaps.
+
+    A match is compared with those that begin less than the longest match's length before or behind it, found by a
+    window over the places, not with all of its text.
+    """
+    m = matches.withColumn("_key", F.struct(F.col("n"), -F.col("at")))
+    most = matches.agg(F.max("n").alias("n")).first()["n"] or 1
+    near = Window.partitionBy(id_col).orderBy("at").rangeBetween(-(most - 1), most - 1)
+    others = F.collect_set(F.struct("at", "n")).over(near)
+    better = F.exists(others, lambda o: (o["at"] < F.col("at") + F.col("n")) & (F.col("at") < o["at"] + o["n"]) & ((o["n"] > F.col("n")) | ((o["n"] == F.col("n")) & (o["at"] < F.col("at")))))
+    return m.filter("_key is not null").withColumn("_better", better).filter("not _better").drop("_better", "_key")
+
+
+#: Bytes of queries that are sent to every task at once; more go in slices.
+MOST_SENT = 1 << 26
 
 
-def nearest_neighbours(queries: DataFrame, points: DataFrame, id_col: str, vec_col: str, k: int, block: int = 2048, metric: str = "l2") -> DataFrame:
+def nearest_neighbours(queries: DataFrame, points: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "l2", most: int = MOST_SENT, step: int = 512) -> DataFrame:
     """(query, neighbour, distance, rank): exact k nearest of each query among all points, itself excluded.
 
-    The queries are a stated set; they go to the tasks in blocks, each task keeps its best k, and these merge.
+    The queries are a stated set; slices of at most about ``most`` bytes go to the tasks one after the other. A task
+    reads its points once and keeps the best of each query; only these are shuffled. Points without a vector are none.
     """
-    schema = f"query bigint, neighbour bigint, distance double"
-    q = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv")).withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(8)).cast("int"))
-    p = points.select(F.col(id_col).alias("pid"), F.col(vec_col).alias("pv")).withColumn("_s", F.pmod(F.xxhash64("pid"), F.lit(16)).cast("int"))
-    left = q.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    right = p.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(7))))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query": [], "neighbour": [], "distance": []})
-        x, y = np.stack(a["qv"].to_numpy()).astype(np.float64), np.stack(b["pv"].to_numpy()).astype(np.float64)
-        ids, out = b["pid"].to_numpy(), []
-        if metric == "cosine":
-            x, y = x / np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True)), y / np.maximum(1e-12, np.linalg.norm(y, axis=1, keepdims=True))
-        yy = (y * y).sum(1)
-        for s in range(0, len(x), block):
-            part = x[s : s + block]
-            d = 1 - part @ y.T if metric == "cosine" else np.sqrt(np.maximum(0, (part * part).sum(1)[:, None] + yy[None] - 2 * part @ y.T))
-            for i, qid in enumerate(a["qid"].to_numpy()[s : s + block]):
-                order = np.lexsort((ids, np.round(d[i], 9)))[: k + 1]
-                out += [(qid, ids[j], d[i, j]) for j in order if ids[j] != qid][:k]
-        return pd.DataFrame(out, columns=["query", "neighbour", "distance"])
-
-    near = left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInPandas(run, schema)
+    sc = queries.sparkSession.sparkContext
+    unit = lambda x: x / np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True)) if metric == "cosine" else x
+    full = lambda d: d.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter(F.size("v") > 0)
+    asked, src = full(queries), full(points)
+    slices = -(-8 * (asked.agg(F.sum(F.size("v"))).first()[0] or 0) // most)
+    schema = "query bigint, neighbour bigint, distance double"
+
+    def against(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qid, x = shared.value
+            xx, far = (x * x).sum(1)[:, None], np.iinfo(np.int64).max
+            best, who = np.full((len(x), k), np.inf), np.full((len(x), k), far)
+            for b in batches:
+                for at in range(0, b.num_rows, step):
+                    part = b.slice(at, step)
+                    y, ids = unit(np.stack(part.column(1).to_numpy(zero_copy_only=False))), part.column(0).to_numpy()
+                    d = 1 - x @ y.T if metric == "cosine" else np.sqrt(np.maximum(0, xx + (y * y).sum(1)[None] - 2 * x @ y.T))
+                    d[qid[:, None] == ids[None]] = np.inf
+                    d, w = np.concatenate([best, d], 1), np.concatenate([who, np.broadcast_to(ids, d.shape)], 1)
+                    order = np.lexsort((w, np.round(d, 9)), axis=-1)[:, :k]
+                    best, who = np.take_along_axis(d, order, 1), np.take_along_axis(w, order, 1)
+            q, j = np.nonzero(np.isfinite(best))
+            yield pa.RecordBatch.from_arrays([pa.array(qid[q]), pa.array(who[q, j]), pa.array(best[q, j])], names=["query", "neighbour", "distance"])
+
+        return run
+
+    out = queries.sparkSession.createDataFrame([], schema)
+    for n in range(slices):
+        part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(slices)) == n).toArrow()
+        if part.num_rows:
+            shared = sc.broadcast((part.column("id").to_numpy(), unit(np.stack(part.column("v").to_numpy(zero_copy_only=False)))))
+            out = out.unionAll(spread(src).mapInArrow(against(shared), schema))
     w = Window.partitionBy("query").orderBy(F.round("distance", 9), "neighbour")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def knn_classes(neighbours: DataFrame, labels: DataFrame, id_col: str, label_col: str, cut_off: float | None = None) -> DataFrame:

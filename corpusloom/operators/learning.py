@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import deburr
-from corpusloom.operators.analytics import tf_idf
+from corpusloom.operators.analytics import spread_filter, tf_idf
 from corpusloom.session import cut
 
+#: Words of a vocabulary, which the driver holds; those in too few or too many texts are left out before.
+MOST_TERMS = 1 << 22
 Predict = Callable[[list[str]], list[tuple[str, float]]]
 
 
@@ -68,11 +70,11 @@ def topics(df: DataFrame, id_col: str, text_col: str, k: int = 5, words: int = 1
     """
     k = min(18, max(2, k))
     least = 0.2 if k < 6 else 0.15 if k < 11 else 0.1
-    rows = df.select(id_col, topic_words(F.col(text_col)).alias("words"))
+    rows = cut(df.select(id_col, topic_words(F.col(text_col)).alias("words")))
     full = rows.filter("size(words) > 0")
     n = full.count()
-    vec = CountVectorizer(inputCol="words", outputCol="counts", minDF=5.0 if n > 1000 else 2.0, maxDF=0.5, vocabSize=20_000).fit(full)
-    data = vec.transform(full)
+    vec = CountVectorizer(inputCol="words", outputCol="counts", minDF=5.0 if n > 1000 else 2.0, maxDF=0.5, vocabSize=MOST_TERMS).fit(full)
+    data = cut(vec.transform(full).select(id_col, "counts"))
     model = LDA(featuresCol="counts", k=k, seed=seed, maxIter=iterations, optimizer="online").fit(data)
     dist = model.transform(data).select(id_col, vector_to_array("topicDistribution").alias("d"))
     best = (F.expr("array_position(d, array_max(d))") - 1).cast("int")
@@ -90,7 +92,7 @@ def topics(df: DataFrame, id_col: str, text_col: str, k: int = 5, words: int = 1
 def choose_topics(df: DataFrame, text_col: str, low: int = 2, high: int = 18, step: int = 4, iterations: int = 5, seed: int = 42) -> int:
     """The number of topics with the lowest perplexity bound: every ``step`` first, then the neighbours of the best."""
     rows = df.select(topic_words(F.col(text_col)).alias("words")).filter("size(words) > 0")
-    data = CountVectorizer(inputCol="words", outputCol="counts", minDF=2.0, maxDF=0.5, vocabSize=20_000).fit(rows).transform(rows).select("counts").persist()
+    data = CountVectorizer(inputCol="words", outputCol="counts", minDF=2.0, maxDF=0.5, vocabSize=MOST_TERMS).fit(rows).transform(rows).select("counts").persist()
     known: dict[int, float] = {}
 
     def bound(k: int) -> float:
@@ -123,12 +125,49 @@ def choose_clusters(df: DataFrame, vec_col: str, low: int = 2, high: int = 21, s
     return best
 
 
+def davies_bouldin(assigned: DataFrame, centres: np.ndarray) -> float:
+    """How much clusters overlap: the mean over clusters of the worst (spread + spread) / distance of centres. ``assigned``:
+    cluster from 1, distance."""
+    spread = np.zeros(len(centres))
+    for r in assigned.groupBy("cluster").agg(F.avg("distance").alias("s")).collect():
+        spread[r["cluster"] - 1] = r["s"]
+    apart = np.linalg.norm(centres[:, None] - centres[None], axis=2)
+    np.fill_diagonal(apart, np.inf)
+    return float(((spread[:, None] + spread[None]) / np.maximum(apart, 1e-12)).max(1).mean())
+
+
+def choose_summary_clusters(df: DataFrame, id_col: str, vec_col: str, low: int = 2, high: int = 8, seed: int = 42) -> int:
+    """The number of clusters to sum a corpus up by: half the silhouette less half the overlap is highest."""
+    data = cut(df.select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("features")))
+    best = (-np.inf, -low)
+    for k in range(low, high + 1):
+        model = KMeans(k=k, seed=seed, maxIter=20).fit(data)
+        done = model.transform(data)
+        centres = np.array(model.clusterCenters())
+        far = _distances(centres)
+        assigned = done.select((F.col("prediction") + 1).alias("cluster"), far(vector_to_array("features"), "prediction").alias("distance"))
+        best = max(best, (0.5 * ClusteringEvaluator().evaluate(done) - 0.5 * davies_bouldin(assigned, centres), -k))
+    return -best[1]
+
+
+def _distances(centres: np.ndarray):
+    return F.pandas_udf(lambda v, c: pd.Series(np.linalg.norm(np.stack(v.to_numpy()) - centres[c.to_numpy()], axis=1)) if len(v) else pd.Series([], dtype="float64"), "double")
+
+
+def cluster_keywords(texts: DataFrame, assigned: DataFrame, id_col: str, words_col: str, top: int = 10, most: float = 0.5) -> DataFrame:
+    """(cluster, term, rank): the words with the highest tf-idf of each cluster, but those that over half of the clusters have."""
+    rows = texts.select(id_col, F.explode(words_col).alias("term")).join(assigned.select(id_col, "cluster"), id_col)
+    kept = spread_filter(rows, "term", "cluster", most)
+    order = Window.partitionBy("cluster").orderBy(F.round("tfidf", 9).desc(), "term")
+    return tf_idf(kept, "cluster", "term").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("cluster", "term", "rank")
+
+
 def clusters(df: DataFrame, id_col: str, vec_col: str, k: int, seed: int = 42) -> DataFrame:
     """(id, cluster, distance): cluster from 1, and the distance from its centre."""
     data = df.select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=20).fit(data)
     centres = np.array(model.clusterCenters())
-    far = F.pandas_udf(lambda v, c: pd.Series(np.linalg.norm(np.stack(v.to_numpy()) - centres[c.to_numpy()], axis=1)) if len(v) else pd.Series([], dtype="float64"), "double")
+    far = _distances(centres)
     out = model.transform(data).withColumn("features", vector_to_array("features"))
     return out.select(id_col, (F.col("prediction") + 1).alias("cluster"), far("features", "prediction").alias("distance"))
 
@@ -154,25 +193,37 @@ def keyword_vectors(df: DataFrame, id_col: str, words_col: str, size: int = 300,
     return model, tf_idf(df.select(id_col, F.explode(words_col).alias("term")), id_col, "term").groupBy("term").agg(F.max("tfidf").alias("tfidf"))
 
 
-def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
+def keyword_neighbours(model, weight: DataFrame, word: str, most: int = 1000, low: float = 0.05, least: float = 0.5) -> DataFrame:
+    """(term, score): of the ``most`` words nearest to one, those whose similarity is at least ``low`` and whose score, four
+    fifths similarity and one fifth the share of the highest tf-idf, is at least ``least``."""
+    near = model.findSynonyms(word, most).filter(F.col("similarity") >= low)
+    rows = near.join(weight.withColumnRenamed("term", "word"), "word")
+    top = Window.partitionBy()
+    return rows.withColumn("score", 0.8 * F.col("similarity") + 0.2 * F.col("tfidf") / F.max("tfidf").over(top)).filter(F.col("score") >= least).select(F.col("word").alias("term"), "score")
+
+
+def communities(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, community) by label propagation over weighted edges (source, target, weight), least label among equals.
 
-    Each round every node takes the label with the most weight among its neighbours; even and odd rounds keep a node's
-    own label in the vote, so that pairs do not swap for ever. Stops when nothing changes.
+    Each round every node takes the label with the most weight among its neighbours, its own label having a vote as well.
+    By turns only half of the nodes, set by a hash that changes, may change theirs, so that pairs do not swap for ever.
+    Stops when neither half changes any more; labels that do not settle are an error.
     """
     both = cut(edges.select("source", "target", "weight").unionAll(edges.select("target", "source", "weight")).toDF("a", "b", "w").filter("a != b"))
     labels = cut(both.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("community")))
     own = both.groupBy("a").agg(F.max("w").alias("w")).select("a", F.col("a").alias("b"), (F.col("w") * 0.5).alias("w"))
     votes_from = cut(both.unionAll(own))
-    for _ in range(rounds):
+    quiet = 0
+    for k in range(most_rounds):
         votes = votes_from.join(labels.select(F.col("node").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("a").agg(F.min_by("community", F.struct(-F.round("w", 9), F.col("community"))).alias("community"))
-        new = cut(best.withColumnRenamed("a", "node"))
-        changed = new.join(labels.withColumnRenamed("community", "_old"), "node").filter("community != _old").limit(1).count()
-        labels = new
-        if not changed:
-            break
-    return labels
+        best = votes.groupBy("a").agg(F.min_by("community", F.struct(-F.round("w", 9), F.col("community"))).alias("_best"))
+        turn = F.pmod(F.xxhash64("node", F.lit(k // 2)), F.lit(2)) == k % 2
+        now = cut(labels.join(best.withColumnRenamed("a", "node"), "node").select("node", F.when(turn, F.col("_best")).otherwise(F.col("community")).alias("new"), (turn & (F.col("_best") != F.col("community"))).alias("moved")))
+        quiet = 0 if now.filter("moved").limit(1).count() else quiet + 1
+        labels = now.select("node", F.col("new").alias("community"))
+        if quiet == 3:  # both halves of one division are among these rounds
+            return labels
+    raise RuntimeError("the communities did not settle")
 
 
 def extract_summary(df: DataFrame, id_col: str, text_col: str, keep: int = 3, shortest: int = 30) -> DataFrame:
@@ -183,13 +234,13 @@ def extract_summary(df: DataFrame, id_col: str, text_col: str, keep: int = 3, sh
     words = sents.select(id_col, "_at", F.explode(F.split(F.trim(F.regexp_replace(F.lower("_s"), "[^\\p{L}]+", " ")), " ")).alias("w")).filter("length(w) > 3")
     weight = tf_idf(words.select(id_col, "w"), id_col, "w").select(id_col, "w", "tfidf")
     score = words.join(weight, [id_col, "w"]).groupBy(id_col, "_at").agg(F.avg("tfidf").alias("_x"))
-    ranked = sents.join(score, [id_col, "_at"], "left").withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.col("_x").desc_nulls_last(), "_at"))).filter(F.col("_r") <= keep)
+    ranked = sents.join(score, [id_col, "_at"], "left").withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.round("_x", 9).desc_nulls_last(), "_at"))).filter(F.col("_r") <= keep)
     short = ranked.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_at", "_s"))).alias("_v")).select(id_col, F.array_join(F.transform("_v", lambda v: v["_s"]), " ").alias("_sum"))
     n = F.size(F.split(F.trim(F.col(text_col)), "\\s+"))
     return df.join(short, id_col, "left").select(id_col, F.when(n < shortest, F.col(text_col)).otherwise(F.col("_sum")).alias("summary"))
 
 
-def idf_weights(df: DataFrame, words_col: str, vocabulary: int = 20_000):
+def idf_weights(df: DataFrame, words_col: str, vocabulary: int = MOST_TERMS):
     """Fitted count and idf models for a column of words."""
     counts = CountVectorizer(inputCol=words_col, outputCol="_c", vocabSize=vocabulary).fit(df)
     return counts, IDF(inputCol="_c", outputCol="_tfidf").fit(counts.transform(df))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import sort_desc
 from corpusloom.operators import analytics as A
 from corpusloom.plans.registry import query
 from corpusloom.session import table
@@ -124,10 +125,46 @@ def graph_thresholds(spark, d):
     return A.node_threshold(words, "item", "n").withColumn("edges", A.edge_threshold(F.col("threshold")))
 
 
-@query("SELECT c_nationkey, first_segment, targets FROM (SELECT c_nationkey, 'x' AS first_segment, list_sort(list_distinct(list(c_mktsegment))) AS targets FROM customer GROUP BY c_nationkey)")
+@query("SELECT c_nationkey, arg_min(c_mktsegment, c_custkey) AS c_mktsegment, list_sort(list_distinct(list(c_name))) AS targets FROM customer GROUP BY c_nationkey")
 def merged_nodes(spark, d):
-    rows = table(spark, d, "customer").select("c_nationkey", F.lit("x").alias("first_segment"), F.array("c_mktsegment").alias("targets"))
-    return A.merge_nodes(rows, "c_nationkey", ["first_segment"], "targets")
+    rows = table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_mktsegment", F.array("c_name").alias("targets"))
+    return A.merge_nodes(rows, "c_nationkey", ["c_mktsegment"], "targets", "c_custkey")
+
+
+_WORDS = "(SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part)"
+
+
+@query(f"""
+SELECT 'node' AS kind, w AS source, '' AS target, 1.5 * count(*) AS weight FROM {_WORDS} GROUP BY w
+UNION ALL SELECT 'edge', least(a.w, b.w), greatest(a.w, b.w), count(*) FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY w) AS i FROM {_WORDS}) a JOIN (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY w) AS i FROM {_WORDS}) b ON a.p_partkey = b.p_partkey AND a.i < b.i GROUP BY 2, 3 HAVING count(*) >= 2
+""")
+def weighted_keywords(spark, d):
+    nodes, edges = A.keyword_weights(table(spark, d, "part").select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")).alias("w")), "p_partkey", "w", 2)
+    return nodes.select(F.lit("node").alias("kind"), F.col("node").alias("source"), F.lit("").alias("target"), "weight").unionAll(edges.select(F.lit("edge"), "source", "target", F.col("weight").cast("double")))
+
+
+@query("""
+WITH w AS (SELECT DISTINCT p_size % 4 AS topic, split_part(lower(p_name), ' ', 1) AS word FROM part), k AS (SELECT topic, word, 0.25 AS weight FROM w)
+SELECT word AS node, sum(weight) AS weight, CAST(floor(sum(weight) * 1000) AS INT) AS size, CAST(min(topic) % 18 AS INT) AS colour, (SELECT count(DISTINCT b.word) FROM k a JOIN k b USING (topic) WHERE a.word = k.word AND b.word <> a.word) AS linked FROM k GROUP BY word
+""")
+def topic_word_graph(spark, d):
+    words = table(spark, d, "part").select((F.col("p_size") % 4).alias("topic"), F.split(F.lower("p_name"), " ")[0].alias("word")).distinct().withColumn("weight", F.lit(0.25))
+    nodes, edges = A.topic_graph(words)
+    ends = edges.select(F.col("source").alias("node")).unionAll(edges.select("target")).groupBy("node").agg(F.count(F.lit(1)).alias("linked"))
+    return nodes.join(ends, "node", "left").select("node", "weight", "size", "colour", F.coalesce("linked", F.lit(0)).alias("linked"))
+
+
+@query("SELECT c_nationkey AS leader, count(*) AS size, CAST(row_number() OVER (ORDER BY count(*) DESC, c_nationkey) AS INT) AS place FROM customer GROUP BY 1")
+def groups_by_size(spark, d):
+    return A.by_size(table(spark, d, "customer"), "c_nationkey")
+
+
+@query("""
+SELECT l_orderkey, list({'s': l_quantity, 'i': l_partkey, 't': l_shipmode} ORDER BY l_quantity DESC, l_partkey DESC, l_shipmode DESC) AS ranked FROM (SELECT l_orderkey, l_quantity, l_partkey, l_linestatus AS l_shipmode FROM lineitem) GROUP BY 1
+""".replace("{'s': l_quantity, 'i': l_partkey, 't': l_shipmode}", "l_quantity || '/' || l_partkey || '/' || l_shipmode"))
+def descending_neighbours(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_quantity", "l_partkey", "l_linestatus")).alias("v"))
+    return rows.select("l_orderkey", F.transform(sort_desc(F.col("v")), lambda x: F.concat_ws("/", x["l_quantity"], x["l_partkey"], x["l_linestatus"])).alias("ranked"))
 
 
 _CITE = "SELECT DISTINCT ref_id, citing_doi AS s, lower(nullif(regexp_extract(raw_ref, '(?i)\\b(10\\.\\d{4,9}/[^\\s\"<>]+?)[.,;)\\]]*(?:\\s|$)', 1), '')) AS t FROM bibrefs"

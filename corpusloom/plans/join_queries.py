@@ -90,7 +90,7 @@ def as_of_values(spark, d):
 
 @query(r"""
 WITH t AS (SELECT p_partkey, list_filter(string_split(trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM part),
-r AS (SELECT p_partkey, n, unnest(range(0, len(w) - n + 1)) AS pos, w FROM t, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n),
+r AS (SELECT p_partkey, n, unnest(range(0, len(w) - n + 1)) AS pos, w FROM t, (SELECT DISTINCT len(string_split(trim(regexp_replace(lower(p_type), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS n FROM part UNION SELECT 1) WHERE len(w) >= n),
 k AS (SELECT p_partkey, n, pos, array_to_string(w[pos + 1:pos + n], ' ') AS term FROM r),
 d AS (SELECT DISTINCT trim(regexp_replace(lower(p_type), '[^\p{L}\p{N}]+', ' ', 'g')) AS term FROM part UNION SELECT DISTINCT split_part(lower(p_name), ' ', 1) FROM part)
 SELECT p_partkey, term, CAST(pos AS INT) AS "at", CAST(n AS INT) AS n FROM k JOIN d USING (term)
@@ -98,7 +98,7 @@ SELECT p_partkey, term, CAST(pos AS INT) AS "at", CAST(n AS INT) AS n FROM k JOI
 def dictionary_in_texts(spark, d):
     part = table(spark, d, "part")
     terms = part.select(F.col("p_type").alias("term")).unionAll(part.select(F.split(F.lower("p_name"), " ")[0])).distinct()
-    return J.contained_terms(part, terms, "p_partkey", "p_name", "term", most_words=3)
+    return J.contained_terms(part, terms, "p_partkey", "p_name", "term")
 
 
 @query(r"""
@@ -125,7 +125,13 @@ def nearest_vectors(spark, d):
     return J.nearest_neighbours(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", 5).withColumn("distance", F.round("distance", 4))
 
 
-@query(None)
+@query("""
+WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0),
+x AS (SELECT q.vec_id AS query, p.vec_id AS neighbour, p.label, sqrt(list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dist FROM q, embeddings p WHERE p.vec_id <> q.vec_id),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(dist, 9), neighbour) AS rank FROM x) WHERE rank <= 50),
+v AS (SELECT query, label, sum(1 / greatest(dist, 1e-9)) AS weight FROM n GROUP BY 1, 2)
+SELECT query, label, round(weight, 4) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(weight, 9) DESC, label) AS k FROM v) WHERE k = 1
+""")
 def nearest_class(spark, d):
     e = table(spark, d, "embeddings")
     near = J.nearest_neighbours(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", 50)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import language as G
 from corpusloom.functions import records as C
+from corpusloom.operators import alignment as N
 from corpusloom.operators import decisions as D
 from corpusloom.operators import entities as E
 from corpusloom.operators import joins as J
@@ -273,3 +275,52 @@ def record_functions(spark, d):
         "o_orderkey", C.to_fixed(F.col("o_totalprice"), 2).alias("fixed"), C.year_of(F.col("o_orderdate").cast("date")).alias("year"), C.is_equal(F.col("o_orderstatus"), F.lit("F")).alias("same"), F.map_keys(C.rename_keys(m, "$", "_")).alias("keys"),
         C.edit_json(s, "key:", "order-", "k string")["k"].alias("edited"), C.parse_json(C.stringify(F.struct("o_orderpriority")), "o_orderpriority string")["o_orderpriority"].alias("parsed"),
     )
+
+
+_NOTICES = """n AS (SELECT DISTINCT 'n' || p_partkey % 40 AS notice, split_part(lower(p_name), ' ', 1 + CAST(p_partkey % 2 AS INT)) AS term FROM part),
+i AS (SELECT notice, term, length(term) % 2 = 0 AS ignored FROM n), x AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part),
+m AS (SELECT p_partkey, w[k] AS term, k - 1 AS pos, notice FROM (SELECT p_partkey, w, unnest(range(1, len(w) + 1)) AS k FROM x) JOIN n ON n.term = w[k]),
+b AS (SELECT DISTINCT a.notice, a.term FROM i a JOIN i o ON a.notice = o.notice AND a.term <> o.term WHERE o.term IN (SELECT term FROM m)),
+g AS (SELECT m.* FROM m JOIN i USING (notice, term) WHERE NOT ignored OR (notice, term) IN (SELECT notice, term FROM b)), c AS (SELECT notice, count(*) AS k FROM g GROUP BY 1),
+p AS (SELECT g.*, k, max(k) OVER (PARTITION BY p_partkey, pos) AS m, count(*) OVER (PARTITION BY p_partkey, pos) AS s FROM g JOIN c USING (notice)), f AS (SELECT * FROM p WHERE s = 1 OR m = 1 OR k = m)"""
+
+
+@query(f"""
+WITH {_NOTICES}, t AS (SELECT notice, count(DISTINCT term) AS c FROM f GROUP BY 1), a AS (SELECT notice, count(DISTINCT term) AS t FROM i GROUP BY 1), h AS (SELECT term, count(DISTINCT notice) AS n FROM i GROUP BY 1)
+SELECT p_partkey, term, CAST(pos AS INT) AS "at", notice, round(0.7 * pow(c / t, 0.25) + 0.3 * pow(1 / n, 0.5), 3) AS score FROM f JOIN t USING (notice) JOIN a USING (notice) JOIN h USING (term)
+""")
+def aligned_notices(spark, d):
+    part = table(spark, d, "part")
+    notices = part.select(F.concat(F.lit("n"), F.col("p_partkey") % 40).alias("notice"), F.get(F.split(F.lower("p_name"), " "), (F.col("p_partkey") % 2).cast("int")).alias("term")).distinct().withColumn("ignored", F.length("term") % 2 == 0)
+    found = N.believed_notices(N.without_ignored(N.notice_matches(part, notices, "p_partkey", "p_name"), notices), "p_partkey")
+    return N.scored_notices(found, notices).select("p_partkey", "term", "at", "notice", "score")
+
+
+@query(_SPANS + r""", g AS (SELECT DISTINCT 'g' || doc_id % 7 AS notice, trim(regexp_replace(lower(split_part(title, ' ', 1)), '[^\p{L}\p{N}]+', ' ', 'g')) AS term FROM documents WHERE title IS NOT NULL)
+SELECT doc_id, term, CAST(start AS INT) AS "at", notice FROM (SELECT doc_id, start, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS term FROM s WHERE tag = 'LOC') JOIN g USING (term)
+""")
+def aligned_spans(spark, d):
+    notices = table(spark, d, "documents").filter("title is not null").select(F.concat(F.lit("g"), F.col("doc_id") % 7).alias("notice"), F.substring_index("title", " ", 1).alias("term"))
+    return N.span_matches(E.spans(_tokens(spark, d), "doc_id"), notices, "doc_id").select("doc_id", "term", "at", "notice")
+
+
+_LANGS = {lang: "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in words) + ")))" for lang, words in G.FUNCTION_WORDS.items()}
+
+
+@query(r"WITH t AS (SELECT id, string_split_regex(lower(value), '[^\p{L}]+') AS w FROM detect_lang), c AS (SELECT id, " + ", ".join(f"{sql} AS {lang}" for lang, sql in _LANGS.items()) + " FROM t), s AS (SELECT *, " + " + ".join(_LANGS) + " AS n FROM c) SELECT id, CASE " + " ".join(f"WHEN n > 0 AND {lang} / n > 0.85 THEN '{lang}'" for lang in _LANGS) + " ELSE '' END AS lang FROM s")
+def languages_by_rule(spark, d):
+    return table(spark, d, "detect_lang").select("id", G.detect_language(G.language_shares(F.col("value"))).alias("lang"))
+
+
+@query(r"""
+SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: CASE WHEN w = 'mice' THEN 'mouse' WHEN regexp_matches(w, '(ss|us|is)$') THEN w WHEN regexp_matches(w, '[^aeiou]ies$') THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '(x|ch|sh|ss|zz)es$') THEN regexp_replace(w, 'es$', '')
+  WHEN regexp_matches(w, 'ives$') THEN regexp_replace(w, 's$', '') WHEN regexp_matches(w, '[lr]ves$') THEN regexp_replace(w, 'ves$', 'f') ELSE regexp_replace(w, 's$', '') END), ' ') AS lemma FROM part
+""")
+def word_lemmas(spark, d):
+    return table(spark, d, "part").select("p_partkey", G.lemmas(F.replace("p_name", F.lit(" "), F.lit("*")), {"mice": "mouse"}).alias("lemma"))
+
+
+@query(None)
+def parsed_addresses(spark, d):
+    rows = table(spark, d, "get_id").select("id", "value").distinct()
+    return rows.select("id", G.expand_address(F.col("value")).alias("address"), G.address_parts(F.col("value")).alias("p")).select("id", "address", "p.*")

@@ -6,10 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from corpusloom.operators.dataflow import always, cached, debug, fork, pipeline, shift, singleton, transit
 from corpusloom.plans.registry import query
+from corpusloom.plans.routes import submit_route
 from corpusloom.session import shared_dir, table
 from corpusloom.sources import files as S
 from corpusloom.streaming import streams as R
+from corpusloom.streaming.jobs import Jobs
 
 
 def _place(spark) -> str:
@@ -90,3 +93,69 @@ def streamed_once(spark, d):
 def xml_paths(spark, d):
     xml = F.concat(F.lit('<t:doc xmlns:t="urn:x"><t:head id="r'), F.col("n_regionkey").cast("string"), F.lit('"><t:name>'), F.col("n_name"), F.lit("</t:name></t:head><t:p>a</t:p><t:p>"), F.col("n_name"), F.lit("</t:p></t:doc>"))
     return S.xml_fields(table(spark, d, "nation").select("n_nationkey", xml.alias("x")), "x", name="doc/head/name", region="doc/head/@id", parts="doc/p/text()")
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def json_array_read(spark, d):
+    path = _place(spark)
+    rows = table(spark, d, "customer").groupBy("c_nationkey").agg(F.to_json(F.collect_list(F.struct("c_custkey", "c_name"))).alias("value"))
+    rows.repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    return S.read_json(spark, path, "c_custkey bigint, c_name string").select("c_custkey", "c_name")
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+def saved_and_loaded(spark, d):
+    path = _place(spark)
+    S.save(table(spark, d, "nation").select("n_nationkey", "n_name"), path, compress=True)
+    S.save(table(spark, d, "region").toDF("n_nationkey", "n_name"), path, append=True, compress=True)
+    return S.load(spark, path, "n_nationkey int, n_name string")
+
+
+@query("SELECT n_nationkey, n_name AS back, n_name AS listed FROM nation")
+def text_sinks(spark, d):
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name")
+    rows = nation.select("n_nationkey", S.xml_text(F.struct("n_name"), "nation").alias("x"))
+    one = nation.groupBy("n_nationkey").agg(F.first("n_name").alias("n_name")).groupBy("n_nationkey").agg(S.json_array(nation.select("n_name"), True).alias("j"))
+    back = S.xml_fields(rows, "x", back="nation/n_name")
+    return back.join(one, "n_nationkey").select("n_nationkey", "back", F.from_json("j", "array<struct<n_name:string>>")[0]["n_name"].alias("listed"))
+
+
+@query("SELECT 'f' || n_regionkey AS path, string_agg(n_name, '' ORDER BY n_nationkey) AS content FROM nation GROUP BY 1")
+def merged_files(spark, d):
+    pieces = table(spark, d, "nation").select(F.concat(F.lit("f"), F.col("n_regionkey").cast("string"), F.lit("-"), F.col("n_nationkey").cast("string")).alias("path"), F.col("n_name").cast("binary").alias("content"))
+    return S.merge_files(pieces).select("path", F.col("content").cast("string").alias("content"))
+
+
+@query("SELECT 'query' AS id, 'all works' AS value UNION ALL SELECT CAST(work_id AS VARCHAR), CASE WHEN title IS NULL OR trim(title) = '' THEN 'n/a' ELSE title END FROM (SELECT DISTINCT work_id, title FROM crossref_works)")
+def archive_wrapped(spark, d):
+    docs = table(spark, d, "crossref_works").select("work_id", "title").distinct().select(F.to_json(F.struct(F.array(F.col("work_id").cast("string")).alias("ark"), F.col("title").alias("abstract"))).alias("content"))
+    return S.wrap_query('{"query": {"q": "all works"}}', S.wrap_documents(docs, "ark array<string>, abstract string"))
+
+
+@query("SELECT term, n FROM (SELECT unnest(string_split(p_name, ' ')) AS term, count(*) AS n FROM part GROUP BY 1) WHERE n >= 2".replace("SELECT unnest(string_split(p_name, ' ')) AS term, count(*) AS n FROM part GROUP BY 1", "SELECT term, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS term FROM part) GROUP BY 1"))
+def routed_groups(spark, d):
+    words = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("value")).withColumn("id", F.monotonically_increasing_id())
+    jobs = Jobs(spark, _place(spark))
+    ticket = submit_route(jobs, "group-by", words)
+    jobs.wait(ticket["value"])
+    counts = jobs.result(ticket["value"]).filter("id = class_id").join(words, "id").select(F.col("value").alias("term"), (F.col("others") + 1).alias("n"))
+    return counts.filter("n >= 2")
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def cached_answers(spark, d):
+    store, customers = _place(spark), table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    ask = lambda keys: keys.join(customers, "o_custkey")
+    cached(orders.filter("o_custkey % 2 = 0"), "o_custkey", ask, store)
+    return orders.join(cached(orders, "o_custkey", ask, store), "o_custkey").select("o_orderkey", "c_name")
+
+
+@query("SELECT n_nationkey, TRUE AS value FROM nation")
+def composed_statements(spark, d):
+    seen: list[int] = []
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), "n_name")
+    steps = pipeline(transit, debug, lambda x: singleton(x, lambda first: seen.append(first.count()), "id"), lambda x: fork(x, lambda held: seen.append(held.count())), always)
+    out = nation.transform(steps)
+    assert seen[0] == 1 and seen[1] == nation.count() and shift(nation, "id").first()["id"] == 0
+    return out.select(F.col("id").alias("n_nationkey"), "value")

@@ -105,7 +105,7 @@ def longest_annotations(spark, d):
     part = table(spark, d, "part")
     words = F.split(F.lower("p_name"), " ")
     terms = part.select(F.array_join(F.slice(words, 1, 2), " ").alias("term")).union(part.select(words[0])).distinct()
-    return J.longest_match(J.contained_terms(part, terms, "p_partkey", "p_name", "term", 2), "p_partkey")
+    return J.longest_match(J.contained_terms(part, terms, "p_partkey", "p_name", "term"), "p_partkey")
 
 
 @query(r"""

@@ -221,6 +221,55 @@ def write_corpus(df: DataFrame, path: str) -> None:
     df.write.format("corpus").option("path", path).mode("append").save()
 
 
+def xml_text(c: Column, row: str = "record") -> Column:
+    """A struct as XML text, its fields as elements."""
+    return F.to_xml(c, {"rowTag": row})
+
+
+def json_array(df: DataFrame, indent: bool = False) -> Column:
+    """All records of a group as the text of a JSON array, for answers of bounded size."""
+    rows = F.collect_list(F.to_json(F.struct(*df.columns), {"pretty": str(indent).lower()}))
+    return F.concat(F.lit("["), F.array_join(rows, ",\n" if indent else ","), F.lit("]"))
+
+
+def save(df: DataFrame, path: str, append: bool = False, compress: bool = False) -> None:
+    """Records as lines of JSON under a path, added to what is there or in its place."""
+    df.write.mode("append" if append else "overwrite").option("compression", "gzip" if compress else "none").json(path)
+
+
+def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return read_json(spark, path, schema, lines=True)
+
+
+def merge_files(df: DataFrame) -> DataFrame:
+    """(path, content): the pieces of a file, named with a number behind a hyphen, put together in their order."""
+    piece = F.regexp_extract("path", "-(\\d+)[^/]*$", 1).try_cast("int")
+    name = F.regexp_replace("path", "-\\d+([^/]*)$", "$1")
+    parts = df.select(name.alias("path"), F.struct(F.coalesce(piece, F.lit(0)).alias("n"), F.hex("content").alias("c")).alias("p"))
+    return parts.groupBy("path").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["c"]), "")).alias("content"))
+
+
+def wrap_documents(docs: DataFrame, schema: str, id_path: str = "ark.0", value_path: str = "abstract") -> DataFrame:
+    """Records in the id/value shape from the JSON files of an archive (path, content); a number in a path is a position."""
+    from corpusloom.functions.arrays import get_path
+
+    r = docs.select(F.from_json(F.col("content").cast("string"), schema).alias("r"))
+    value = get_path(F.col("r"), value_path)
+    return r.select(get_path(F.col("r"), id_path).cast("string").alias("id"), F.when(value.isNull() | (F.trim(value) == ""), MISSING).otherwise(value).alias("value"))
+
+
+def wrap_query(manifest: str, docs: DataFrame) -> DataFrame:
+    """The query of a manifest (JSON text with ``query.q``) as the first record, with the records of its documents."""
+    spark = docs.sparkSession
+    head = spark.range(1).select(F.lit("query").alias("id"), F.coalesce(F.get_json_object(F.lit(manifest), "$.query.q"), F.lit(MISSING)).alias("value"))
+    return head.unionByName(docs.select("id", "value"))
+
+
+def wrap_text(spark: SparkSession, path: str, name: str = "txt") -> DataFrame:
+    """One record for a whole text: its name and its content."""
+    return read_text(spark, path, whole=True).select(F.lit(name).alias("id"), F.when(F.trim("value") == "", MISSING).otherwise(F.col("value")).alias("value"))
+
+
 def decompress(c: Column) -> Column:
     """The content of gzipped bytes as text."""
     return F.udf(lambda b: None if b is None else gzip.decompress(bytes(b)).decode("utf-8"), "string", useArrow=True)(c)

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources import files
+
 _LOG = "generator string, identifier string, state string, message string, at timestamp"
 
 
@@ -61,6 +63,36 @@ class Jobs:
         return self.spark.read.parquet(f"{self.root}/results/{identifier}")
 
 
+    def export(self, identifier: str, path: str, kind: str = "json") -> str:
+        """Writes a result in one of the FORMATS under a path and gives the path back."""
+        if kind not in FORMATS:
+            raise ValueError(f"no such format: {kind}")
+        FORMATS[kind](self.result(identifier), path)
+        return path
+
+
+def _text(df: DataFrame, path: str) -> None:
+    df.select(F.col("value").cast("string")).write.mode("overwrite").text(path)
+
+
+def _gexf(df: DataFrame, path: str) -> None:
+    """Edges (source, target, weight) as one graph file; a graph of over MOST_EDGES edges is refused."""
+    rows = df.select("source", "target", "weight").limit(MOST_EDGES + 1).collect()
+    if len(rows) > MOST_EDGES:
+        raise ValueError("the graph has too many edges for one file")
+    nodes = [{"id": n} for n in sorted({x for r in rows for x in (r["source"], r["target"])})]
+    text = files.gexf(nodes, [r.asDict() for r in rows])
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+MOST_EDGES = 1_000_000
+#: Forms in which a result can be fetched.
+FORMATS: dict[str, Callable[[DataFrame, str], None]] = {
+    "json": lambda df, p: files.save(df, p), "jsonl.gz": lambda df, p: files.save(df, p, compress=True), "csv": lambda df, p: files.write_csv(df, p), "flatten-csv": lambda df, p: files.write_csv(files.flatten(df), p),
+    "lines-csv": lambda df, p: files.write_csv(files.lines_csv(df), p), "txt": _text, "gexf": _gexf, "corpus": lambda df, p: files.write_corpus(df, p),
+}
+
+
 def with_retries(f: Callable, tries: int = 3, pause: float = 0.5):
     """Calls a connector until it answers, waiting longer each time; the last error is raised."""
     for k in range(tries):
