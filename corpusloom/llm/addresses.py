@@ -1,13 +1,14 @@
 """Postal addresses of one site in different writing.
 
 An address is read into organisation, street, house number and town. Streets and organisations of one town become
-weighted character n-gram vectors, candidates come from a prefix-filtered inverted index, and a pair holds if cosine,
-spelling and house number agree. A site is a street address with its organisation; a record without a street belongs
+weighted character n-gram vectors, candidates come from a prefix-filtered inverted index, and a pair holds if its house
+number is the same and its cosine is high, or high enough for what an exact check of the spelling allows. A site is a street address with its organisation; a record without a street belongs
 to the site of its organisation in its town.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.canonical import SHORT_WORDS, BKTree
 from corpusloom.operators.graph import components
 from corpusloom.llm.ngrams import similar_pairs
-from corpusloom.llm.text import banded, fold, plain, with_swaps
+from corpusloom.llm.text import NearWords, banded, fold, plain, with_swaps
 from corpusloom.session import cut, once
 
 #: Kinds of organisations, departments and streets, and small words, in the languages of the addresses, folded.
@@ -49,6 +50,7 @@ _pointed = [(regex.compile(p, regex.I), r) for p, r in (
 _separators = regex.compile(r"[,;\n\r()\[\]|]+|\s[-–—]\s|\s{2,}[-–—]\s*")
 _dotted = regex.compile(r"\b(\p{L})\.(?=\p{L}{1,2}\b)")
 _number_sign = regex.compile(r"\b[Nn](?:[°ºo]|o\.|r\.|º)\s*(?=\d)|#\s*(?=\d)|№\s*")
+_coded, _numbered = regex.compile(r"[a-z]{1,3}-\d{5}"), regex.compile(r"\d{1,4}[a-z]?")
 _tokens = regex.compile(r"\|\||\p{L}{1,3}-\d{5}\b|\d+[a-z]?\b|\p{L}+(?:['’]\p{L}+)?|\d+")
 
 
@@ -74,35 +76,25 @@ class AddressReader:
     def __init__(self, towns: set[str], countries: dict[str, str]):
         self.towns, self.countries = towns, countries
         self.longest = max((t.count(" ") + 1 for t in towns), default=1)
-        self.kinds: dict[str, str] = {}
         self.by_word = {w: k for k, ws in (("org", ORG_WORDS), ("dept", DEPT_WORDS), ("street", STREET_WORDS), ("small", SMALL_WORDS)) for w in ws}
         self.by_word |= dict.fromkeys(NOT_KINDS, "")
-        self.country_words = [c for c in countries if len(c) >= 6]
+        self.near_kinds = NearWords([(w, 1 if len(w) < 8 else 2) for w, k in self.by_word.items() if len(w) >= 5 and k != "small"])
+        self.near_countries = NearWords([(c, 1 if len(c) < 7 else 2) for c in countries if len(c) >= 6])
 
     def kind(self, w: str) -> str:
         """What a word is: org, dept, street, small or empty; long words with a typing fault count too."""
-        k = self.kinds.get(w)
+        k = self.by_word.get(w)
         if k is None:
-            k = self.by_word.get(w, "")
-            if not k and len(w) >= 5 and w not in self.by_word:
-                for known, what in self.by_word.items():
-                    if len(known) >= 5 and what != "small" and banded(w, known, 2) <= (1 if len(known) < 8 else 2):
-                        k = what
-                        break
-            if len(self.kinds) > 200_000:
-                self.kinds.clear()
-            self.kinds[w] = k
+            at = self.near_kinds.find(w) if len(w) >= 5 else -1
+            k = self.by_word[self.near_kinds.words[at][0]] if at >= 0 else ""
         return k
 
     def country(self, words: list[str]) -> str:
         name = " ".join(words)
         if name in self.countries:
             return self.countries[name]
-        if len(name) >= 6:
-            for c in self.country_words:
-                if banded(name, c, 2) <= (1 if len(c) < 7 else 2):
-                    return self.countries[c]
-        return ""
+        at = self.near_countries.find(name) if len(name) >= 6 else -1
+        return self.countries[self.near_countries.words[at][0]] if at >= 0 else ""
 
     def read(self, value: str | None) -> Address:
         out = Address()
@@ -131,7 +123,7 @@ class AddressReader:
             if w == "||":
                 use[i] = "sep"
         for i, w in enumerate(tok):  # numbers
-            if regex.fullmatch(r"[a-z]{1,3}-\d{5}", w):
+            if _coded.fullmatch(w):
                 use[i], out.postcode = "post", w[-5:]
             elif w.isdigit() and len(w) == 5:
                 use[i], out.postcode = "post", w
@@ -175,7 +167,7 @@ class AddressReader:
         self._organisation(tok, use, out)
         self._street(tok, use, out)
         for i, w in enumerate(tok):
-            if not use[i] and regex.fullmatch(r"\d{1,4}[a-z]?", w) and not out.number:
+            if not use[i] and _numbered.fullmatch(w) and not out.number:
                 out.number, use[i] = w, "number"
         for i, w in enumerate(tok):  # an acronym stands alone between separators
             alone = (i == 0 or use[i - 1] in ("sep", "number", "post", "country", "town")) and (i == n - 1 or use[i + 1] in ("sep", "number", "post", "country", "town", "street"))
@@ -281,14 +273,26 @@ class AddressReader:
                 use[i] = ""
 
 
+#: Cosine from which on two names of one town are the same whatever the faults; under it the spelling is checked as well.
+SURE = 0.8
 #: Names of towns and countries that are broadcast to the readers.
 MOST_NAMES = 500_000
 
 
+_kinds_left = NearWords([(w, 1 if len(w) < 5 else 2) for w in dict.fromkeys((*STREET_WORDS, *ORG_WORDS, *GLUED_STREETS)) if len(w) > 1])
+
+
+@functools.lru_cache(100_000)
+def _left_over(words: str) -> bool:
+    """Whether a word beside a name can be its misspelt kind or an acronym, with small words or not."""
+    rest = [w for w in words.split() if w not in SMALL_WORDS]
+    return len(rest) <= 1 and all(len(w) <= 3 or _kinds_left.find(w) >= 0 or any(with_swaps(w, k) <= 1 for k, _ in _kinds_left.words) for w in rest)
+
+
 def same_name(a: str, b: str) -> bool:
     """Whether two streets or organisations of one town are one name: up to three typing faults by length, or a misspelt kind left at one end."""
     short, long = sorted((a, b), key=len)
-    if len(short) >= 5 and len(long) - len(short) <= 7 and (long.startswith(short if len(short) > 5 else short + " ") or long.endswith(" " + short)):
+    if len(short) >= 5 and (long.startswith(short) and _left_over(long[len(short) :]) or long.endswith(" " + short) and _left_over(long[: -len(short)])):
         return True
     most = 1 if len(short) < 6 else 2 if len(short) < 12 else 3
     return banded(a, b, most) <= most or (4 <= len(short) < 6 and with_swaps(a, b) <= 1)
@@ -331,14 +335,14 @@ def _clusters(rows: DataFrame, block: list[str], name: str, least: float) -> Dat
     """(block columns, name, root): names of one block that are spellings of one another have one root."""
     distinct = rows.select(*block, name).filter(" and ".join(f"{c} is not null" for c in [*block, name])).distinct()
     keyed = distinct.select(F.concat_ws("\x1f", *block).alias("block"), F.col(name).alias("s"))
-    pairs = similar_pairs(keyed, same_name, least, n=2)
+    pairs = similar_pairs(keyed, same_name, least, n=0, sure=SURE)
     node = lambda c: F.concat_ws("\x1e", "block", c)
     roots = components(pairs.select(node("a").alias("a"), node("b").alias("b")))
     keys = distinct.withColumn("node", F.concat_ws("\x1e", F.concat_ws("\x1f", *block), F.col(name)))
     return keys.join(roots, "node", "left").select(*block, name, F.coalesce("root", "node").alias("root"))
 
 
-def link_sites(df: DataFrame, towns: dict[str, str], countries: dict[str, str], id_col: str = "id", text_col: str = "value", least: float = 0.3) -> DataFrame:
+def link_sites(df: DataFrame, towns: dict[str, str], countries: dict[str, str], id_col: str = "id", text_col: str = "value", least: float = 0.4) -> DataFrame:
     """(id, site, country): the site of each record that denotes one.
 
     ``towns``: folded spellings of towns to their folded names; ``countries``: folded names and codes to codes. A record

@@ -7,6 +7,7 @@ an n-gram of both prefixes, so the index holds prefixes only and loses no pair.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -18,17 +19,33 @@ from pyspark.sql import functions as F
 
 #: n-grams are hashed to so many numbers, which bounds the table of their frequencies.
 BUCKETS = 1 << 16
+#: Vectors that a task keeps for the next pairs before it begins anew.
+MOST_KEPT = 100_000
+
+
+@functools.lru_cache(1 << 17)
+def _bucket(gram: str) -> int:
+    h = 2166136261
+    for c in gram:
+        h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
+    return (h ^ h >> 16) & (BUCKETS - 1)
 
 
 def grams_of(s: str, n: int = 3) -> Counter:
-    """Hashed n-grams of a string with an edge mark on either side."""
+    """Hashed n-grams of a string with an edge mark on either side. With n = 0 its letters, each twice, its pairs of
+    neighbours and its pairs with one letter between: of these an exchange of neighbours leaves most."""
     p = f"\x02{s}\x03"
     out: Counter = Counter()
-    for i in range(max(1, len(p) - n + 1)):
-        h = 2166136261
-        for c in p[i : i + n]:
-            h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
-        out[(h ^ h >> 16) & (BUCKETS - 1)] += 1
+    if n:
+        for i in range(max(1, len(p) - n + 1)):
+            out[_bucket(p[i : i + n])] += 1
+        return out
+    for c in s:
+        out[_bucket(c)] += 2
+    for i in range(len(p) - 1):
+        out[_bucket(p[i : i + 2])] += 1
+        if i < len(p) - 2:
+            out[_bucket(f"{p[i]}\x04{p[i + 2]}")] += 1
     return out
 
 
@@ -72,9 +89,9 @@ def cosine(a: dict[int, float], b: dict[int, float]) -> float:
     return sum(x * b[g] for g, x in a.items() if g in b)
 
 
-def similar_pairs(strings: DataFrame, verify: Callable[[str, str], bool], least: float = 0.5, n: int = 3) -> DataFrame:
-    """(block, a, b, cosine), a < b: pairs of distinct strings ``s`` of one ``block`` whose cosine is at least ``least``
-    and that ``verify`` accepts. ``strings``: distinct (block, s). Null strings or blocks match nothing."""
+def similar_pairs(strings: DataFrame, verify: Callable[[str, str], bool], least: float = 0.5, n: int = 3, sure: float = 1.0) -> DataFrame:
+    """(block, a, b, cosine), a < b: pairs of distinct strings ``s`` of one ``block`` whose cosine is at least ``sure``, or
+    at least ``least`` while ``verify`` accepts them. ``strings``: distinct (block, s). Null strings or blocks match nothing."""
     strings = strings.select("block", "s").filter("block is not null and s is not null and s != ''")
     sc = strings.sparkSession.sparkContext
     shared = sc.broadcast(gram_weights(strings, "s", n))
@@ -95,10 +112,13 @@ def similar_pairs(strings: DataFrame, verify: Callable[[str, str], bool], least:
     pairs = left.join(right, ["block", "g"]).filter("a < b").select("block", "a", "b").distinct()
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = shared.value
+        w, made = shared.value, {}
         for pdf in batches:
-            cos = [cosine(weighted(a, w, n), weighted(b, w, n)) if verify(a, b) else 0.0 for a, b in zip(pdf["a"], pdf["b"])]
-            pdf = pdf.assign(cosine=np.array(cos, float))
-            yield pdf[pdf["cosine"] >= least - 1e-6]
+            if len(made) > MOST_KEPT:
+                made = {}
+            made |= {s: weighted(s, w, n) for s in dict.fromkeys([*pdf["a"], *pdf["b"]]) if s not in made}
+            pdf = pdf.assign(cosine=np.array([cosine(made[a], made[b]) for a, b in zip(pdf["a"], pdf["b"])], float))
+            pdf = pdf[pdf["cosine"] >= least - 1e-6]
+            yield pdf[[c >= sure - 1e-6 or verify(a, b) for a, b, c in zip(pdf["a"], pdf["b"], pdf["cosine"])]]
 
     return pairs.mapInPandas(check, "block string, a string, b string, cosine double")

@@ -186,16 +186,21 @@ def distances(patterns: Patterns, a: np.ndarray, codes: np.ndarray, length: np.n
     score = m.copy()
     last = np.where(m > 0, one << (np.maximum(m, 1) - 1).astype(np.uint64), np.uint64(0))
     n = length[b]
+    least = int(n.min()) if len(n) else 0
     for t in range(int(n.max()) if len(n) else 0):
         eq = patterns.at(a, codes[b, t])
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph = mv | ~(xh | pv)
         mh = pv & xh
-        live = t < n
-        score += (live & ((ph & last) != 0)).astype(np.int64) - (live & ((mh & last) != 0)).astype(np.int64)
+        change = ((ph & last) != 0).astype(np.int64) - ((mh & last) != 0)
         ph = (ph << one) | one
         mh = mh << one
-        pv = np.where(live, mh | ~(xv | ph), pv)
-        mv = np.where(live, ph & xv, mv)
+        if t < least:
+            score += change
+            pv, mv = mh | ~(xv | ph), ph & xv
+        else:
+            live = t < n
+            score += np.where(live, change, 0)
+            pv, mv = np.where(live, mh | ~(xv | ph), pv), np.where(live, ph & xv, mv)
     return np.where(m == 0, n, score)

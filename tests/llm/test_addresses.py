@@ -39,6 +39,8 @@ def test_sites(spark):
 
 def test_names():
     assert same_name("plimorstr", "plimor") and same_name("zorvan", "zorvna") and not same_name("zorvan", "plimor") and not same_name("abc", "abde")
+    assert same_name("kodackpri", "kodackpriwge") and same_name("focauflart", "focauflart raod") and same_name("maibrain", "maibrain cjm")
+    assert not same_name("martin", "martin luther") and not same_name("charles", "charles bert") and not same_name("weton", "wetonshire")
 
 
 def test_similarity_join_against_brute_force(spark):
@@ -53,6 +55,11 @@ def test_similarity_join_against_brute_force(spark):
     assert all(set(prefix(v[a], w, 0.5)) & set(prefix(v[b], w, 0.5)) for a, b in want)
     assert similar_pairs(df.limit(0), lambda a, b: True).count() == 0
     assert np.isfinite(w).all()
+    letters = gram_weights(df.filter("block is not null and s is not null"), n=0)
+    v = {s: weighted(s, letters, 0) for s in strings}
+    cos = {(a, b): cosine(v[a], v[b]) for i, a in enumerate(strings) for b in strings[i + 1 :]}
+    got = {(x["a"], x["b"]) for x in similar_pairs(df, lambda a, b: a[0] == b[0], 0.45, n=0, sure=0.8).collect()}
+    assert got == {(a, b) for (a, b), c in cos.items() if c >= 0.8 or (c >= 0.45 and a[0] == b[0])}
 
 
 def test_towns_with_exchanged_letters(spark):
