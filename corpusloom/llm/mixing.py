@@ -54,46 +54,58 @@ def share_out(amount: float, nodes: list[Node]) -> None:
             share_out(n.budget, list(n.children.values()))
 
 
-def feasible_total(root: Node) -> float:
-    """The largest total at which every child of the root that has anything gets its weight's share of the whole."""
-    live = [n for n in root.children.values() if n.capacity > 0 and n.weight > 0]
+def feasible_total(root: Node, at: int = 0) -> float:
+    """The largest total at which every group of the level ``at``, that of the targets, that has anything gets its weight's
+    share of the whole."""
+    nodes = [root]
+    for _ in range(at + 1):
+        nodes = [c for n in nodes for c in n.children.values()]
+    live = [n for n in nodes if n.capacity > 0 and n.weight > 0]
     weights = sum(n.weight for n in live)
     return min((n.capacity * weights / n.weight for n in live), default=0.0)
 
 
-def build_tree(leaves: list[tuple], targets: dict) -> Node:
-    """``leaves``: (path, tokens, repeats). A path's first part has its weight in ``targets``; below, weights are the tokens at hand."""
+def build_tree(leaves: list[tuple], targets: dict, at: int = 0) -> Node:
+    """``leaves``: (path, tokens, repeats). The part ``at`` of a path has its weight in ``targets``; above it, weights are
+    the sums of those below, and under it the tokens at hand. Targets without leaves hang below the root and take nothing."""
     root = Node()
-    for name, weight in targets.items():
-        root.children[name] = Node(name, weight)
     for path, tokens, repeats in leaves:
         node = root
         node.capacity += tokens * repeats
         for depth, part in enumerate(path):
             if part not in node.children:
-                node.children[part] = Node(part, 0.0 if depth else targets.get(part, 0.0))
+                node.children[part] = Node(part, targets.get(part, 0.0) if depth == at else 0.0)
+                if depth == at:
+                    above = root
+                    for p in path[:at]:
+                        above = above.children[p]
+                        above.weight += targets.get(part, 0.0)
             node = node.children[part]
             node.capacity += tokens * repeats
-            if depth:
+            if depth > at:
                 node.weight += tokens
+    if at == 0:
+        for name, weight in targets.items():
+            root.children.setdefault(name, Node(name, weight))
     return root
 
 
-def plan_mix(sizes: DataFrame, targets: DataFrame, levels: list[str], total: float | None = None) -> DataFrame:
+def plan_mix(sizes: DataFrame, targets: DataFrame, levels: list[str], total: float | None = None, of: str | None = None) -> DataFrame:
     """One row per leaf: the levels, n_tokens, max_repeats and budget (in tokens).
 
-    ``sizes``: the levels and n_tokens per document. ``targets``: the first level, target_share and max_repeats. Only
-    sums per leaf reach the driver.
+    ``sizes``: the levels and n_tokens per document. ``targets``: target_share and max_repeats of each group of the level
+    ``of``, the first one if unnamed; without a number of repeats a document is used once. Only sums per leaf reach the driver.
     """
-    top = levels[0]
-    goals = {r[top]: (float(r["target_share"]), int(r["max_repeats"] or 0)) for r in targets.select(top, "target_share", "max_repeats").limit(MOST_LEAVES + 1).collect() if r[top] is not None and r["target_share"]}
-    held = F.broadcast(targets.select(top).distinct()) if len(goals) <= MOST_LEAVES else targets.select(top).distinct()
-    rows = sizes.join(held, top, "left_semi").groupBy(*levels).agg(F.sum("n_tokens").alias("n_tokens")).limit(MOST_LEAVES + 1).collect()
+    of = of or levels[0]
+    rows = targets.select(of, "target_share", "max_repeats").limit(MOST_LEAVES + 1).collect()
+    goals = {r[of]: (float(r["target_share"]), 1 if r["max_repeats"] is None else int(r["max_repeats"])) for r in rows if r[of] is not None and r["target_share"]}
+    held = F.broadcast(targets.select(of).distinct()) if len(goals) <= MOST_LEAVES else targets.select(of).distinct()
+    rows = sizes.join(held, of, "left_semi").groupBy(*levels).agg(F.sum("n_tokens").alias("n_tokens")).limit(MOST_LEAVES + 1).collect()
     if len(rows) > MOST_LEAVES or len(goals) > MOST_LEAVES:
         raise ValueError(f"more than {MOST_LEAVES} leaves; use coarser levels")
-    leaves = [(tuple(r[c] for c in levels), float(r["n_tokens"] or 0), goals[r[top]][1]) for r in rows if r[top] in goals]
-    root = build_tree(leaves, {k: w for k, (w, _) in goals.items()})
-    share_out(min(root.capacity, feasible_total(root) if total is None else total), list(root.children.values()))
+    leaves = [(tuple(r[c] for c in levels), float(r["n_tokens"] or 0), goals[r[of]][1]) for r in rows if r[of] in goals]
+    root = build_tree(leaves, {k: w for k, (w, _) in goals.items()}, levels.index(of))
+    share_out(min(root.capacity, feasible_total(root, levels.index(of)) if total is None else total), list(root.children.values()))
     out = []
     for path, tokens, repeats in leaves:
         node = root
@@ -134,21 +146,23 @@ def mix_sources(
     total: float | None = None,
     seed: int = 42,
     vocabulary: str = BYTE_BPE_50K,
+    of: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, report) of the mix.
 
     ``documents``: id, levels, n_tokens, times. ``report``: for each row of ``targets`` the first level, target_share,
     max_repeats, n_documents, available_tokens, budget_tokens, taken_tokens, actual_share. ``total`` is the size of the
-    mix in tokens; without it, the largest at which no source that has documents falls short. Sources that are not
-    targets, null sources and texts without tokens take no part; a target without documents gets 0 and its share goes
+    mix in tokens; without it, the largest at which no source that has documents falls short. With it, what a source
+    cannot fill goes to the sources beside it in its domain first, and only then to other domains. ``of`` names the level
+    that has the targets, the first one by default; levels above it are domains, those below it parts. A target without a
+    number of repeats is used once. Sources that are not targets are not encoded; they, null sources and texts without tokens take no part; a target without documents gets 0 and its share goes
     to the others. A document delivered twice counts once. Empty tables give empty results.
     """
-    levels = list(levels)
-    sizes = count_tokens(df, [id_col, *levels], text_col, vocabulary).dropDuplicates([id_col])
+    levels, top = list(levels), of or levels[0]
+    sizes = count_tokens(df.join(targets.select(top).distinct(), top, "left_semi"), [id_col, *levels], text_col, vocabulary).dropDuplicates([id_col])
     sizes = cut(sizes)
-    plan = plan_mix(sizes, targets, levels, total)
+    plan = plan_mix(sizes, targets, levels, total, top)
     docs = take_prefix(sizes, plan, levels, id_col, seed)
-    top = levels[0]
     at_hand = sizes.groupBy(top).agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("available_tokens"))
     wanted = plan.groupBy(top).agg(F.sum("budget").alias("budget_tokens"))
     taken = docs.groupBy(top).agg(F.sum(F.col("n_tokens") * F.col("times")).alias("taken_tokens"))

@@ -14,7 +14,7 @@ from corpusloom.llm.langid import detect_segments, fit_profiles, language_cases
 from corpusloom.llm.matching import match_references
 from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.names import link_profiles, profile_pairs
-from corpusloom.llm.repetition import find_repetitive, measure_repetition
+from corpusloom.llm.repetition import find_repetitive, measure_repetition, measure_units
 from corpusloom.llm.tokenize import encode_texts
 from corpusloom.session import table
 
@@ -96,6 +96,23 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+#: Sources that are no archives of papers, by their domain.
+_DOMAINS = {"datapress": "web", "campuswire": "web", "loosefiles": "web", "greyleaf": "grey", "lexarchive": "grey"}
+
+
+def p7_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of a mix as large as all documents together: sources that cannot fill theirs pass the rest on, within
+    their domain first."""
+    domain = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in _DOMAINS.items() for x in kv]), F.col("source")), F.lit("papers"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.coalesce(label_code(F.col("lang")), F.lit("und")).alias("language")).withColumn("domain", domain)
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return mix_sources(docs, table(spark, sf_dir, "mix_targets"), levels=("domain", "source", "language"), of="source", total=size / 3)[1]
+
+
+def p8_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure_units(table(spark, sf_dir, "documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_repetitive(table(spark, sf_dir, "documents"))
 
@@ -105,7 +122,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_persons, p3_found, p3_sites, p4_found, p4_alignments, p5_found, p5_segments, p6_ids, p7_mix, p7_shares, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_persons, p3_found, p3_sites, p4_found, p4_alignments, p5_found, p5_segments, p6_ids, p7_mix, p7_shares, p7_full, p8_found, p8_shares, p8_units)}
 
 
 _P8 = r"""
@@ -123,8 +140,16 @@ WITH words AS (
 """
 
 
+_UNITS = """
+WITH p AS (SELECT doc_id, {k} AS kind, list_filter(list_transform(string_split_regex(coalesce(text, ''), {pattern}), lambda x: array_to_string(regexp_extract_all(lower(nfc_normalize(x)), '\\p{{L}}+'), ' ')), lambda x: x <> '') AS v FROM documents)
+SELECT doc_id, kind, CAST(len(v) AS BIGINT) AS n, CAST(len(v) - len(list_distinct(v)) AS BIGINT) AS r FROM p
+"""
+_P8_UNITS = f"SELECT s.doc_id, s.n AS n_sentences, s.r AS repeated_sentences, p.n AS n_paragraphs, p.r AS repeated_paragraphs FROM ({_UNITS.format(k=1, pattern="'[.!?\\n]+'")}) s JOIN ({_UNITS.format(k=2, pattern="'\\n+'")}) p USING (doc_id)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_units": _P8_UNITS,
         "p8_found": _P8 + "SELECT doc_id FROM measured WHERE n_words > 0 AND n_repeated >= 0.25 * n_words",
         "p8_shares": _P8 + "SELECT doc_id, n_words, n_repeated, CASE WHEN n_words = 0 THEN 0.0 ELSE round(n_repeated / n_words::DOUBLE, 6) END AS share FROM measured",
     }

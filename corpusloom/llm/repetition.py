@@ -132,3 +132,26 @@ def measure_repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     src = spread(df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")))
     return src.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_words bigint, n_repeated bigint, share double")
+
+
+_sentence_ends, _line_ends = regex.compile(r"[.!?\n]+"), regex.compile(r"\n+")
+
+
+def repeated_units(pieces: list[str]) -> tuple[int, int]:
+    """(units, repeated): pieces with words, and those of them whose words already stood in an earlier one."""
+    keys = [" ".join(w) for w in map(words_of, pieces) if w]
+    return len(keys), len(keys) - len(set(keys))
+
+
+def measure_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_sentences, repeated_sentences, n_paragraphs, repeated_paragraphs): whole sentences and lines that repeat
+    earlier ones of their text but for case, punctuation and figures. Texts without words have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            counts = [(*repeated_units(_sentence_ends.split(t)), *repeated_units(_line_ends.split(t))) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(4)]], names=[id_col, "n_sentences", "repeated_sentences", "n_paragraphs", "repeated_paragraphs"])
+
+    src = spread(df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")))
+    return src.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_sentences bigint, repeated_sentences bigint, n_paragraphs bigint, repeated_paragraphs bigint")

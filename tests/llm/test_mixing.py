@@ -54,3 +54,22 @@ def test_empty(spark, docs):
     got, report = mix_sources(docs.limit(0), targets(spark, ("big", 1.0, 1)))
     assert got.count() == 0 and report.collect()[0]["actual_share"] == 0
     assert mix_sources(docs, targets(spark).limit(0))[0].count() == 0
+
+
+def test_shortages_stay_in_their_domain():
+    leaves = [(("web", "a", "en"), 10.0, 1), (("web", "b", "en"), 100.0, 1), (("web", "b", "fr"), 100.0, 1), (("books", "c", "en"), 1000.0, 1)]
+    root = build_tree(leaves, {"a": 0.25, "b": 0.25, "c": 0.5, "none": 0.1}, 1)
+    assert feasible_total(root, 1) == pytest.approx(40)
+    share_out(200, list(root.children.values()))
+    web = root.children["web"]
+    assert web.budget == pytest.approx(100) and web.children["a"].budget == 10 and web.children["b"].budget == pytest.approx(90) and web.children["b"].children["fr"].budget == pytest.approx(45)
+    share_out(600, list(root.children.values()))  # the web cannot take its half: the rest goes to the other domain
+    assert root.children["web"].budget == 210 and root.children["books"].budget == pytest.approx(390)
+
+
+def test_domains_and_missing_repeats(spark):
+    df = spark.createDataFrame([(k, "word " * 20, "s" if k < 2 else "t", "d") for k in range(10)], "doc_id bigint, text string, source string, domain string")
+    targets = spark.createDataFrame([("s", 0.5, None), ("t", 0.5, 1)], "source string, target_share double, max_repeats int")
+    docs, report = mix_sources(df, targets, levels=("domain", "source"), of="source", total=160)
+    got = {r["source"]: (r["taken_tokens"], r["actual_share"]) for r in report.collect()}
+    assert got["s"][0] == got["t"][0] / 3 or got["s"][0] < got["t"][0] and docs.groupBy("doc_id").count().filter("count > 1").count() == 0

@@ -49,3 +49,11 @@ def test_column(spark):
     got = {r["doc_id"]: (r["n_words"], r["n_repeated"]) for r in measure_repetition(rows).collect()}
     assert got[1] == (14, 7) and got[2] == (7, 0) and got[3] == got[4] == got[5] == (0, 0)
     assert find_repetitive(rows.limit(0)).count() == 0
+
+
+def test_units(spark):
+    from corpusloom.llm.repetition import measure_units
+
+    df = spark.createDataFrame([(1, "One two. one  TWO! Three\nOne two. one two! three"), (2, None), (3, ""), (4, "... 12 !")], "doc_id bigint, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in measure_units(df).collect()}
+    assert got == {1: (6, 4, 2, 1), 2: (0, 0, 0, 0), 3: (0, 0, 0, 0), 4: (0, 0, 0, 0)}
