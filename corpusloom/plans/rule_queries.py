@@ -164,9 +164,6 @@ def aligned_place_names(spark, d):
     return D.aligned_places(table(spark, d, "align_mentions").select("mention_id", "name").distinct(), g, "mention_id", "name", "geonameid", "name", choose=F.col("population"))
 
 
-_SHAPES = {"full": {"title": F.col("title"), "year": F.col("issued"), "pages": F.col("first_page")}, "open": {"title": F.col("title")}, "flag": {"known": F.lit(True)}, "old": {"doi": F.col("doi"), "journal": F.col("source_short")}}
-
-
 @query("""
 WITH w AS (SELECT lower(doi) AS doi, arg_min({'t': title, 'y': issued, 'p': first_page, 'j': source_short, 'd': doi}, work_id) AS r FROM crossref_works GROUP BY 1),
 r AS (SELECT DISTINCT ref_id, '10.' || regexp_extract(lower(raw_ref), '\\b10\\.(\\d{4,9}/[^\\s"<>;,]+)', 1) AS doi FROM bibrefs)
@@ -175,7 +172,8 @@ SELECT ref_id, r.r.t AS title, r.r.y AS year, r.r.p AS pages, r.r.j AS journal,
 def register_shapes(spark, d):
     refs, works = table(spark, d, "bibrefs"), table(spark, d, "crossref_works")
     rows = refs.select("ref_id", F.concat(F.lit("10."), F.regexp_extract(F.lower("raw_ref"), "\\b10\\.(\\d{4,9}/[^\\s\"<>;,]+)", 1)).alias("doi")).distinct()
-    for name, shape in _SHAPES.items():
+    shapes = {"full": {"title": F.col("title"), "year": F.col("issued"), "pages": F.col("first_page")}, "open": {"title": F.col("title")}, "flag": {"known": F.lit(True)}, "old": {"doi": F.col("doi"), "journal": F.col("source_short")}}
+    for name, shape in shapes.items():
         rows = V.looked_up(rows, works, F.col("doi"), F.lower("doi"), shape, F.col("work_id"), name)
     same = F.when(F.col("full.title").eqNullSafe(F.col("open.title")), F.col("full.title")).otherwise("the shapes differ")
     return rows.select("ref_id", same.alias("title"), F.col("full.year").alias("year"), F.col("full.pages").alias("pages"), F.col("old.journal").alias("journal"), F.coalesce("flag.known", F.lit(False)).alias("known"))

@@ -30,7 +30,9 @@ def one(spark, value, f, schema="v string"):
         (T.find_year, "none", None),
         (T.clean_title, "RETRACTED ARTICLE: A <i>b</i>", "A b"),
         (T.find_units, "UMR 7118 and umr7118, UAR 12", ["umr7118", "uar12"]),
-        (T.first_token_kind, "Acme GmbH of University", "private"),
+        (T.first_token_kind, "EDF, Paris", "private"),
+        (T.first_token_kind, "UMR 5205 (CNRS), Lyon", "public"),
+        (T.first_token_kind, "Univ. Lorraine SARL", "public"),
         (T.first_token_kind, "nobody", "n/a"),
         (T.cyrillic_to_latin, "Москва XIX", "Moskva XIX"),
         (T.greek_share, "αβ cd", 0.5),
