@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.graph import components
 from corpusloom.llm.lexicon import MOST_WORDS, with_lexicon
-from corpusloom.llm.text import Patterns, Signs, banded, distances, fold, plain, with_swaps
+from corpusloom.llm.text import banded, fold, plain, with_swaps
 from corpusloom.session import cut, once
 
 #: Particles of surnames, short forms of given names, words of organisations' names, prepositions in titles.
@@ -109,25 +109,10 @@ def variant_pairs(names: DataFrame, col: str = "s") -> DataFrame:
     near = F.length("a") < F.length("b")
     pairs = looks.join(index, "key").filter(near | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))).select("a", "b")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            short = [k for k in range(len(a)) if len(b[k]) <= 64]
-            d = np.full(len(a), 99, np.int32)
-            most = np.array([faults(len(x)) for x in a], np.int32)
-            if short:
-                texts = list(dict.fromkeys([a[k] for k in short] + [b[k] for k in short]))
-                where = {s: i for i, s in enumerate(texts)}
-                packed = Patterns(texts, Signs())
-                ia, ib = np.array([where[a[k]] for k in short]), np.array([where[b[k]] for k in short])
-                d[short] = distances(packed, ia, packed.codes, packed.size, ib)
-            for k in range(len(a)):
-                if len(b[k]) > 64:
-                    d[k] = banded(a[k], b[k], int(most[k]))
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["a", "b", "faults"])
-            yield out.filter(pa.array(d <= most))
-
-    return pairs.mapInArrow(verify, "a string, b string, faults int").distinct()
+    # the banded edit distance is Spark's own
+    most = F.when(F.length("a") < 5, 0).when(F.length("a") < 8, 1).otherwise(2)
+    near = pairs.withColumn("faults", F.levenshtein("a", "b", 2)).filter((F.col("faults") >= 0) & (F.col("faults") <= most))
+    return near.distinct()
 
 
 #: Lengths of the shorter of two names in which one fault or one exchange of neighbours is looked for.
@@ -139,6 +124,16 @@ def without_one(s: str) -> list[str]:
     return [s, *dict.fromkeys(s[:k] + s[k + 1 :] for k in range(len(s)))]
 
 
+def one_apart(a: str, b: str) -> bool:
+    """Whether b, no shorter than a, is at most one fault or one exchange of neighbours away from a."""
+    if len(b) - len(a) > 1:
+        return False
+    i = next((k for k, (p, q) in enumerate(zip(a, b)) if p != q), len(a))
+    if len(a) < len(b):
+        return a[i:] == b[i + 1 :]
+    return a[i + 1 :] == b[i + 1 :] or (a[i] == b[i + 1] and a[i + 1] == b[i] and a[i + 2 :] == b[i + 2 :])
+
+
 def close_pairs(names: DataFrame, col: str = "s") -> DataFrame:
     """(a, b), the shorter first: pairs of distinct names of which the shorter has ONE_FAULT letters and that are one
     fault or one exchange of neighbours apart; exact."""
@@ -153,10 +148,12 @@ def close_pairs(names: DataFrame, col: str = "s") -> DataFrame:
     keyed = src.mapInArrow(keys, "key string, s string")
     near = (F.length("a") < F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
     pairs = keyed.withColumnRenamed("s", "a").join(keyed.withColumnRenamed("s", "b"), "key").filter(near & (F.length("a") <= most)).select("a", "b").distinct()
+    # an exchange of neighbours counts twice there
+    pairs = pairs.filter(F.levenshtein("a", "b", 2) >= 0)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([with_swaps(x, y) <= 1 for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.bool_()))
+            yield b.filter(pa.array([one_apart(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.bool_()))
 
     return pairs.mapInArrow(verify, "a string, b string")
 

@@ -1,6 +1,6 @@
 import random
 
-from corpusloom.llm.names import NameReader, close_pairs, faults, index_keys, link_profiles, lookup_keys, profile_pairs, same_given, variant_pairs
+from corpusloom.llm.names import NameReader, close_pairs, faults, given_names, index_keys, link_profiles, lookup_keys, one_apart, profile_pairs, read_profiles, same_given, variant_pairs
 from corpusloom.llm.text import with_swaps
 from tests.llm.test_canonical import plain_distance
 
@@ -107,3 +107,24 @@ def test_short_and_exchanged_spellings_are_linked_by_shared_evidence(spark):
     ]
     got = {(r["profile_id_a"], r["profile_id_b"]) for r in profile_pairs(link_profiles(spark.createDataFrame([(*r, "clash") for r in rows], COLS))).collect()}
     assert got == {(1, 2), (3, 4)}
+
+
+def test_one_apart():
+    r = random.Random(3)
+    for _ in range(3000):
+        a, b = sorted(("".join(r.choice("abc") for _ in range(r.randint(1, 6))) for _ in range(2)), key=len)
+        assert one_apart(a, b) == (with_swaps(a, b) <= 1), (a, b)
+
+
+def test_known_names_by_join_and_broadcast(spark):
+    rows = [(1, "Anna Maria", "Kastelbrun", ["Bert Ollmark"]), (2, "Kastelbrun", "Anna", ["Ollmark, Bert"]), (3, None, "Bert Ollmark", None), (4, "Bert", "Dimfor", []), (5, "Bert", "Zorv", None), (6, "Bert", "Plim", None), (7, "Anna", "Zorv", None), (8, "Anna", "Plim", None)]
+    df = spark.createDataFrame([(i, f, n, None, None, None, c) for i, f, n, c in rows], "profile_id bigint, firstName string, lastName string, email array<string>, affiliations array<string>, titles array<string>, coAuthors array<string>")
+    got = [sorted(map(str, read_profiles(df, given_names(df), most).collect())) for most in (1000, 0)]
+    assert got[0] == got[1]
+
+
+def test_profiles_without_evidence(spark):
+    rows = [(1, "Anna", "Kastelbrun"), (2, "Anna", "Kastelbrun"), (3, "Bert", "Ollmark"), (4, "Bert", "Ollmark"), (5, "Bert", "Ollmark"), (6, "B.", "Dimfor"), (7, "Bert", "Dimfor")]
+    df = spark.createDataFrame([(i, f, n, None, None, None, None) for i, f, n in rows], "profile_id bigint, firstName string, lastName string, email array<string>, affiliations array<string>, titles array<string>, coAuthors array<string>")
+    got = {(x["profile_id_a"], x["profile_id_b"]) for x in profile_pairs(link_profiles(df)).collect()}
+    assert got == {(1, 2), (6, 7)}
