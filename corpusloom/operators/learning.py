@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import deburr
 from corpusloom.operators.analytics import spread_filter, tf_idf
-from corpusloom.session import cut
+from corpusloom.session import cut, spread
 
 #: Words of a vocabulary, which the driver holds; those in too few or too many texts are left out before.
 MOST_TERMS = 1 << 22
@@ -70,12 +70,14 @@ def topics(df: DataFrame, id_col: str, text_col: str, k: int = 5, words: int = 1
     """
     k = min(18, max(2, k))
     least = 0.2 if k < 6 else 0.15 if k < 11 else 0.1
-    rows = cut(df.select(id_col, topic_words(F.col(text_col)).alias("words")))
+    rows = cut(spread(df.select(id_col, text_col)).select(id_col, topic_words(F.col(text_col)).alias("words")))
     full = rows.filter("size(words) > 0")
     n = full.count()
     vec = CountVectorizer(inputCol="words", outputCol="counts", minDF=5.0 if n > 1000 else 2.0, maxDF=0.5, vocabSize=MOST_TERMS).fit(full)
     data = cut(vec.transform(full).select(id_col, "counts"))
-    model = LDA(featuresCol="counts", k=k, seed=seed, maxIter=iterations, optimizer="online").fit(data)
+    held = data.select("counts").persist()  # every iteration reads a sample of all
+    model = LDA(featuresCol="counts", k=k, seed=seed, maxIter=iterations, optimizer="online").fit(held)
+    held.unpersist()
     dist = model.transform(data).select(id_col, vector_to_array("topicDistribution").alias("d"))
     best = (F.expr("array_position(d, array_max(d))") - 1).cast("int")
     kept = F.expr(f"map_from_entries(filter(transform(d, (x, i) -> struct(concat('topic_', i) as k, round(x, 6) as v)), e -> e.v >= {least}))")
@@ -230,7 +232,7 @@ def extract_summary(df: DataFrame, id_col: str, text_col: str, keep: int = 3, sh
     """(id, summary): the sentences with the highest mean tf-idf, in text order; texts under ``shortest`` words stay whole."""
     from corpusloom.functions.text import sentences
 
-    sents = df.select(id_col, F.posexplode(sentences(F.col(text_col))).alias("_at", "_s"))
+    sents = spread(df.select(id_col, text_col)).select(id_col, F.posexplode(sentences(F.col(text_col))).alias("_at", "_s"))
     words = sents.select(id_col, "_at", F.explode(F.split(F.trim(F.regexp_replace(F.lower("_s"), "[^\\p{L}]+", " ")), " ")).alias("w")).filter("length(w) > 3")
     weight = tf_idf(words.select(id_col, "w"), id_col, "w").select(id_col, "w", "tfidf")
     score = words.join(weight, [id_col, "w"]).groupBy(id_col, "_at").agg(F.avg("tfidf").alias("_x"))

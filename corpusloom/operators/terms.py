@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import spread
+
 #: Function words of English and French, which end a term.
 STOP_WORDS = {
     "en": "a about after all also although an and any are as at be because been between both but by can could did do does during each for from had has have he her his how however if in into is it its more most no nor not of on one only or other our over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your".split(),
@@ -33,7 +35,7 @@ def term_runs(c: Column, lang: str = "en", numbers: bool = False) -> Column:
 def term_candidates(df: DataFrame, id_col: str, text_col: str, lang: str = "en", most_words: int = 4, numbers: bool = False) -> DataFrame:
     """(id, term): one row for each occurrence of a term: every run, of a run of more than ``most_words`` words all pieces
     of that many, and every word of a run of several; terms of less than 3 or more than 50 signs are none."""
-    runs = df.select(id_col, F.explode(term_runs(F.col(text_col), lang, numbers)).alias("_r")).select(id_col, "_r", F.split("_r", " ").alias("_w"))
+    runs = spread(df.select(id_col, text_col)).select(id_col, F.explode(term_runs(F.col(text_col), lang, numbers)).alias("_r")).select(id_col, "_r", F.split("_r", " ").alias("_w"))
     n = F.size("_w")
     pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - most_words + 1)), lambda i: F.array_join(F.slice("_w", i, most_words), " "))
     terms = F.when(n == 1, F.col("_w")).otherwise(F.concat(F.when(n > most_words, pieces).otherwise(F.array("_r")), "_w"))
