@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators.dataflow import always, cached, debug, fork, pipeline, shift, singleton, transit
+from corpusloom.functions.arrays import cast_array, is_empty
+from corpusloom.functions.text import truncate_text
+from corpusloom.operators.dataflow import Params, always, cached, debug, field_names, fork, pipeline, shift, singleton, ticket, transit
 from corpusloom.plans.registry import query
 from corpusloom.plans.routes import submit_route
 from corpusloom.session import shared_dir, table
@@ -159,3 +161,32 @@ def composed_statements(spark, d):
     out = nation.transform(steps)
     assert seen[0] == 1 and seen[1] == nation.count() and shift(nation, "id").first()["id"] == 0
     return out.select(F.col("id").alias("n_nationkey"), "value")
+
+
+@query("SELECT n_nationkey AS search, i AS number, 'r' || (n_nationkey * 100 + i) AS name FROM nation, (SELECT unnest(range(25)) AS i) WHERE i < n_nationkey")
+def paged_searches(spark, d):
+    def fetch(key, page):
+        return [{"search": key, "number": i, "name": f"r{key * 100 + i}"} for i in range(page * 10, min(key, page * 10 + 10))]
+
+    keys = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"))
+    return S.read_pages(keys, "k", fetch, 10, "search bigint, number bigint, name string")
+
+
+@query("SELECT o_custkey, CASE WHEN o_custkey % 3 > 0 THEN 'name ' || o_custkey END AS name FROM orders GROUP BY 1")
+def answers_in_batches(spark, d):
+    ask = lambda keys: {k: {"name": f"name {k}"} for k in keys if k % 3}
+    return S.ask_in_batches(table(spark, d, "orders"), "o_custkey", ask, 10, "name string")
+
+
+@query("""
+SELECT doc_id, text IS NULL OR trim(text, ' ') = '' AS empty, CASE WHEN title IS NULL THEN 0 ELSE 1 END AS listed, CASE WHEN length(text) <= 200 THEN text END AS whole, length(text) > 200 AS longer, 'run' AS name FROM documents
+""")
+def small_functions(spark, d):
+    p = Params().with_(name="run")
+    docs = table(spark, d, "documents")
+    assert field_names(docs)[0] == "doc_id" and set(ticket("g")) == {"id", "value"}
+    short = truncate_text(F.col("text"), 200)
+    return docs.select(
+        "doc_id", is_empty(F.col("text")).alias("empty"), F.size(cast_array(F.col("title"))).alias("listed"), F.when(F.length("text") <= 200, short).alias("whole"),
+        ((F.length("text") > 200) & (F.length(short) <= 200)).alias("longer"), F.lit(p.get("name")).alias("name"),
+    )

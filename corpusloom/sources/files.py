@@ -11,11 +11,14 @@ import tarfile
 from collections.abc import Iterator
 from xml.sax.saxutils import quoteattr
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from corpusloom.session import spread
+
 MISSING = "n/a"
 
 
@@ -285,3 +288,34 @@ def pages_of(fetch, keys: list[str], size: int) -> Iterator[dict]:
             if len(got) < size:
                 break
             page += 1
+
+
+def read_pages(keys: DataFrame, key: str, fetch, size: int, schema: str, tries: int = 3) -> DataFrame:
+    """The records of paged searches, one search for each key, spread over the tasks. ``fetch(key, page)`` gives a list of
+    dicts; a failing call is tried again."""
+    from corpusloom.streaming.jobs import with_retries
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = list(pages_of(lambda k, page: with_retries(lambda: fetch(k, page), tries), b[key].tolist(), size))
+            yield pd.DataFrame([[r.get(c) for c in columns] for r in rows], columns=columns)
+
+    columns = [c.split()[0].split(":")[0] for c in schema.split(",")]
+    return spread(keys.select(key).distinct()).mapInPandas(run, schema)
+
+
+def ask_in_batches(df: DataFrame, key: str, ask, size: int, schema: str, tries: int = 3) -> DataFrame:
+    """(key, the answer's fields) for the distinct keys, ``size`` of them a call. ``ask(keys)`` gives a dict of key to a dict;
+    of what it does not know there is a row with nulls."""
+    from corpusloom.operators.joins import batched
+    from corpusloom.streaming.jobs import with_retries
+
+    columns = [c.split()[0].split(":")[0] for c in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batched((k for b in batches for k in b[key].tolist()), size):
+            known = with_retries(lambda: ask(part), tries)  # noqa: B023
+            yield pd.DataFrame([[k, *((known.get(k) or {}).get(c) for c in columns)] for k in part], columns=[key, *columns])
+
+    kind = df.schema[key].dataType.simpleString()
+    return spread(df.select(key).filter(F.col(key).isNotNull()).distinct()).mapInPandas(run, f"{key} {kind}, {schema}")
