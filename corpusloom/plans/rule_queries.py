@@ -318,7 +318,17 @@ def word_lemmas(spark, d):
     return table(spark, d, "part").select("p_partkey", G.lemmas(F.replace("p_name", F.lit(" "), F.lit("*")), {"mice": "mouse"}).alias("lemma"))
 
 
-@query(None)
+_FOLDED = "trim(regexp_replace(lower(replace(replace(replace(replace(replace(replace(strip_accents(value), 'ß', 'ss'), 'œ', 'oe'), 'Œ', 'OE'), 'ø', 'o'), 'ł', 'l'), 'Ł', 'L')), '[^a-z0-9]+', ' ', 'g'))"
+_LONG = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in G.ADDRESS_WORDS.items())
+_ROAD = "((?:street|road|avenue|lane|square|drive|rue|boulevard|route|chemin|place|via|viale|corso|piazza|calle|avenida|plaza|paseo|quai|impasse|allee)(?: (?:de|du|des|la|le|l|d|di|del|della|y))* [a-z]+)"
+
+
+@query(rf"""
+WITH a AS (SELECT DISTINCT id, value FROM get_id), x AS (SELECT id, array_to_string(list_transform(string_split({_FOLDED}, ' '), lambda w: CASE w {_LONG} ELSE w END), ' ') AS t FROM a)
+SELECT id, t AS address, nullif(regexp_extract(t, '(?:^| )(\d{{5}})(?: |$)', 1), '') AS postcode,
+  coalesce(nullif(regexp_extract(t, '(?:^| )(\d{{1,4}}) {_ROAD}', 1), ''), nullif(regexp_extract(t, '(?:^| ){_ROAD} (?:n |no |nr )?(\d{{1,4}})(?: |$)', 2), '')) AS house_number,
+  coalesce(nullif(regexp_extract(t, '(?:^| )(\d{{1,4}}) {_ROAD}', 2), ''), nullif(regexp_extract(t, '(?:^| ){_ROAD} (?:n |no |nr )?(\d{{1,4}})(?: |$)', 1), '')) AS road FROM x
+""".replace("\\\\", "\\"))
 def parsed_addresses(spark, d):
     rows = table(spark, d, "get_id").select("id", "value").distinct()
     return rows.select("id", G.expand_address(F.col("value")).alias("address"), G.address_parts(F.col("value")).alias("p")).select("id", "address", "p.*")
