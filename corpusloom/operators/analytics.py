@@ -124,7 +124,7 @@ def cumulative_share(df: DataFrame, item: str, count: str) -> DataFrame:
     w = Window.orderBy(F.col(count).desc()).rowsBetween(Window.unboundedPreceding, 0)
     total = Window.partitionBy()
     run = levels.withColumn("share", F.sum(F.col(count) * F.col("_n")).over(w) / F.sum(F.col(count) * F.col("_n")).over(total)).select(count, "share")
-    return df.join(F.broadcast(run), count)
+    return df.join(run, count)
 
 
 def node_threshold(df: DataFrame, item: str, count: str, few: int = 100, words: int = 50) -> DataFrame:

@@ -90,7 +90,7 @@ def contained_terms(texts: DataFrame, terms: DataFrame, id_col: str, text_col: s
     place. The lengths of runs are those that the dictionary has, whatever they are."""
     tidy = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}]+", " "))
     listed = terms.select(tidy(F.col(term_col)).alias("term")).filter("term != ''").distinct().withColumn("n", F.size(F.split("term", " ")))
-    sizes = listed.select("n").distinct()
+    sizes = listed.select("n").distinct()  # no more rows than the longest term has words
     words = texts.select(id_col, F.split(tidy(F.col(text_col)), " ").alias("_w")).join(F.broadcast(sizes), F.expr("n <= size(_w)"))
     runs = words.select(id_col, "n", F.posexplode(F.expr("transform(sequence(1, size(_w) - n + 1), i -> array_join(slice(_w, i, n), ' '))")).alias("at", "term"))
     return runs.join(listed, ["n", "term"]).select(id_col, "term", "at", "n")

@@ -226,5 +226,5 @@ SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM
 """)
 def revenue_by_nation(spark, d):
     l, o, c, n = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "nation"))
-    rows = l.join(o, l["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"])
+    rows = l.join(o, l["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
     return rows.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
