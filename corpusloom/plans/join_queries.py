@@ -139,11 +139,12 @@ def nearest_class(spark, d):
 
 
 _UNIFORM = "trim(regexp_replace(lower(" + _KEY.split("regexp_replace({0}")[0].removeprefix("lower(") + "{0}" + _KEY.split("'g')")[1].removesuffix(")") + "), '[^a-z0-9]+', ' ', 'g'))"
+_BARE_TITLE = r"trim(regexp_replace(regexp_replace(coalesce(title, ''), '<[^>]{1,60}>', '', 'g'), '(?i)^\s*(?:retracted(?: article)?|retraction(?: note)?|withdrawn)\s*:\s*', ''))"
 _SHARE = "coalesce(len(list_filter(list_distinct(list_filter(string_split({p}, ' '), lambda w: length(w) > 2)), lambda w: list_contains(string_split({t}, ' '), w))) / nullif(len(list_distinct(list_filter(string_split({p}, ' '), lambda w: length(w) > 2))), 0), 0)"
 
 
 @query(rf"""
-WITH w AS (SELECT lower(doi) AS doi, {_UNIFORM.format("trim(regexp_replace(regexp_replace(coalesce(title, ''), '<[^>]{1,60}>', '', 'g'), '(?i)^\s*(?:retracted(?: article)?|retraction(?: note)?|withdrawn)\s*:\s*', ''))")} AS wt, {_UNIFORM.format("coalesce(author[1].family, '')")} AS wa, try_cast(issued AS INT) AS wy, {_UNIFORM.format("coalesce(source_long, '')")} AS ws, work_id FROM crossref_works),
+WITH w AS (SELECT lower(doi) AS doi, {_UNIFORM.format(_BARE_TITLE)} AS wt, {_UNIFORM.format("coalesce(author[1].family, '')")} AS wa, try_cast(issued AS INT) AS wy, {_UNIFORM.format("coalesce(source_long, '')")} AS ws, work_id FROM crossref_works),
 bad AS (SELECT DISTINCT lower(doi) AS doi FROM crossref_works WHERE lower(title) LIKE 'retract%'),
 r AS (SELECT ref_id, min(raw_ref) AS t FROM bibrefs GROUP BY 1),
 c AS (SELECT ref_id, t, {_UNIFORM.format("coalesce(t, '')")} AS u, try_cast(nullif(regexp_extract(t, '((?:19|20)[0-9]{{2}})', 1), '') AS INT) AS y,
