@@ -2,8 +2,8 @@ import random
 
 import numpy as np
 
-from corpusloom.llm.addresses import AddressReader, link_sites, same_name, site_pairs
-from corpusloom.llm.ngrams import cosine, gram_weights, prefix, similar_pairs, weighted
+from corpusloom.llm.addresses import SURE, AddressReader, link_sites, name_keys, same_name, site_pairs
+from corpusloom.llm.ngrams import cosine, gram_weights, index_keys, prefix, similar_pairs, weighted
 
 TOWNS = {"belmora": "belmora", "sankt orlof": "sankt orlof", "castel vire": "castel vire"}
 COUNTRIES = {"valdria": "VD", "vd": "VD", "vdr": "VD", "ostland": "OL", "ol": "OL"}
@@ -66,3 +66,26 @@ def test_towns_with_exchanged_letters(spark):
     rows = [(1, "Institut Zorvan de Biologie, 12 rue Plimor, Belmora"), (2, "Institut Zorvan de Biologie, 12 rue Plimor, Belmroa"), (3, "Institut Zorvan de Biologie, 12 rue Plimor, Bolmira"), (4, "Institut Zorvan de Biologie, 12 rue Plimor, Belmira")]
     got = {(r["id_a"], r["id_b"]) for r in site_pairs(link_sites(spark.createDataFrame(rows, "id bigint, value string"), TOWNS, COUNTRIES)).collect()}
     assert got == {(1, 2), (1, 4), (2, 4)}
+
+
+def test_large_blocks_meet_under_few_keys_and_lose_no_pair(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 7)))[: r.randint(3, 14)]
+    base = [word() for _ in range(220)]
+    near = set()
+    for s in base:
+        k = r.randrange(len(s) - 1)
+        near |= {s[:k] + s[k + 1] + s[k] + s[k + 2 :], s[:k] + s[k + 1 :], s + "str", s + " raod", "ecloe " + s, s[:k] + "x" + s[k:] + "q", "z" + s[:k] + "v" + s[k + 1 :] + "w"}
+    names = sorted({*base, *near})
+    keys = {s: name_keys(s) for s in names}
+    same = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if same_name(a, b)}
+    assert len(same) > 500 and all(keys[a] & keys[b] for a, b in same)
+    df = spark.createDataFrame([("k", s) for s in names], "block string, s string")
+    got = [{(x["a"], x["b"]) for x in similar_pairs(df, same_name, 0.4, n=0, sure=SURE, near=name_keys, small=small).collect()} for small in (10_000, 2)]
+    assert got[0] == got[1] and got[0]
+    far = sorted({w for _ in range(1500) if len(w := word()) > 7})[:400]
+    w = gram_weights(spark.createDataFrame([(s,) for s in far], "s string"), n=0)
+    held = [set(index_keys(s, w, 0.4, 0, SURE, name_keys)) for s in far]
+    met = sum(bool(a & b) for i, a in enumerate(held) for b in held[i + 1 :])
+    old = [set(prefix(weighted(s, w, 0), w, 0.4)) for s in far]
+    assert met < 0.25 * sum(bool(a & b) for i, a in enumerate(old) for b in old[i + 1 :])
