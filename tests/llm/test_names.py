@@ -1,6 +1,6 @@
 import random
 
-from corpusloom.llm.names import NameReader, close_pairs, faults, given_names, index_keys, link_profiles, lookup_keys, one_apart, profile_pairs, read_profiles, same_given, variant_pairs
+from corpusloom.llm.names import NameReader, close_pairs, faults, given_names, index_keys, left_keys, link_profiles, lookup_keys, one_apart, profile_pairs, read_profiles, same_given, variant_pairs
 from corpusloom.llm.text import with_swaps
 from tests.llm.test_canonical import plain_distance
 
@@ -41,6 +41,31 @@ def test_every_pair_within_the_faults_shares_a_key():
         assert set(index_keys(s)) & set(lookup_keys("".join(t)))
 
 
+def test_short_names_meet_under_few_keys_and_lose_no_pair():
+    r = random.Random(6)
+    for n in range(5, 16):
+        s = "".join(r.choice("abc") for _ in range(n))
+        for _ in range(40):
+            t = list(s)
+            for _ in range(faults(n)):
+                k, what = r.randrange(len(t)), r.random()
+                t[k : k + (what > 0.3)] = [r.choice("abd")] if what < 0.8 or len(t) < n else []
+            if len(t) >= n:
+                which, keys = left_keys([s, "".join(t)])
+                assert set(keys[which == 0]) & set(keys[which == 1]), (s, t)
+    names = sorted({"".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(4)) for _ in range(700)})
+    which, keys = left_keys(names)
+    by_key, met = {}, set()
+    for i, k in zip(which.tolist(), keys.tolist()):
+        met |= {(j, i) for j in by_key.get(k, ()) if j != i}
+        by_key.setdefault(k, set()).add(i)
+    held, old = [set(index_keys(s)) for s in names], 0
+    for k, s in enumerate(names):
+        look = set(lookup_keys(s))
+        old += sum(bool(look & h) for h in held[:k])
+    assert len(met) < 0.1 * old
+
+
 def test_given_names():
     assert same_given(["anna"], ["anna"]) == 3 and same_given(["bob"], ["robert"]) == 2 and same_given(["a"], ["anna"]) == 1
     assert same_given(["anna"], ["bert"]) == 0 and same_given(["j", "p"], ["jean", "luc"]) == 0 and same_given(["jean-paul"], ["jean paul"]) == 3
