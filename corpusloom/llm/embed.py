@@ -1,9 +1,10 @@
 """Vectors of tokens from random walks over the graph of records, attributes and tokens.
 
 A walk goes from a record over one of its attributes to a token and from there to another record that has the token
-under the same attribute. Skip-gram with negative samples is trained on the walks of a bounded sample of records. A
-token's vector is that of its hashed letter trigrams plus its trained vector, so tokens outside the sample have one as
-well and a misspelt token stays near the right one.
+under the same attribute. ``skip_gram`` trains on drawn walks of records that fit into memory. ``Contexts`` takes, over
+all records, what such walks meet on average around a token, less what they meet around any token, which is what negative
+samples take away; its tokens are hashed, so its size does not grow with the records. A token's vector is that of its
+hashed letter trigrams plus its trained vector, so a misspelt token stays near the right one.
 """
 
 from __future__ import annotations
@@ -103,6 +104,40 @@ def segment_sums(rows: np.ndarray, which: np.ndarray, size: np.ndarray) -> np.nd
     return out
 
 
+#: Hashed tokens that have a vector of what walks meet around them.
+CONTEXTS = 1 << 14
+
+
+def around(ids: np.ndarray, size: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, counts) for each hashed token: the mean of the other tokens' rows, added over the records that hold it.
+    Record k has the next size[k] of ``ids``."""
+    sums, n = np.zeros_like(table), np.bincount(ids, minlength=len(table))
+    rec = np.repeat(np.arange(len(size)), size)
+    mean = (segment_sums(table, ids, size)[rec] - table[ids]) / np.maximum(1, size - 1)[rec, None].astype(np.float32)
+    order = np.argsort(ids, kind="stable")
+    if len(order):
+        which, start = np.unique(ids[order], return_index=True)
+        sums[which] = np.add.reduceat(mean[order], start)
+    return sums, n
+
+
+class Contexts:
+    """Unit vectors of hashed tokens, looked up by token; ``bucket`` is the number of one."""
+
+    def __init__(self, table: np.ndarray, bucket: Callable[[str], int]):
+        self.table, self.bucket = table, bucket
+
+    def get(self, token: str) -> np.ndarray:
+        return self.table[self.bucket(token)]
+
+    @staticmethod
+    def centred(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What is met around each token less what is met around any, each row of length 1; none for tokens never met."""
+        rows = sums / np.maximum(1, n)[:, None] - sums.sum(0) / max(1, n.sum())
+        rows[n == 0] = 0
+        return (rows / np.maximum(1e-9, np.linalg.norm(rows, axis=1, keepdims=True))).astype(np.float32)
+
+
 class TokenVectors:
     """Unit vectors of tokens: hashed letter trigrams plus the trained vector, where there is one."""
 

@@ -17,14 +17,16 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.embed import Kept, TokenVectors, grams, hyperplanes, segment_sums, signatures, skip_gram
+from corpusloom.llm.embed import CONTEXTS, DIMS, Contexts, Kept, TokenVectors, around, grams, hyperplanes, segment_sums, signatures
 from corpusloom.llm.lexicon import MOST_WORDS, with_lexicon
 from corpusloom.llm.references import read_reference, read_work
 from corpusloom.llm.text import banded, plain
 from corpusloom.session import cut, spread
 
-#: Records of each side whose walks train the token vectors, and pairs on which the confidence is fitted.
-SAMPLE, FIT_PAIRS = 3000, 20_000
+#: Pairs on which the confidence is fitted.
+FIT_PAIRS = 20_000
+#: Tasks that read the records for the token vectors, each of which sends one table of them to the driver (3 MB).
+MOST_TABLES = 64
 #: Hashed words whose document frequencies weight the titles' words.
 WORD_BUCKETS = 1 << 17
 NAME_TABLES, NAME_BITS, TITLE_TABLES, TITLE_BITS, PLACE_BITS = 1, 26, 3, 18, 30
@@ -82,7 +84,7 @@ def word_weights(records: DataFrame) -> np.ndarray:
 class Model:
     """What workers need to make vectors: trained tokens, title word weights, hyperplanes."""
 
-    def __init__(self, trained: dict[str, np.ndarray], weights: np.ndarray):
+    def __init__(self, trained: Contexts, weights: np.ndarray):
         self.trained, self.weights = trained, weights
         self._made = False
 
@@ -133,15 +135,41 @@ def _xx(word: str) -> int:
     return b
 
 
-def fit_model(records: DataFrame, sample: int = SAMPLE) -> Model:
-    """Trains the token vectors on ``sample`` records of either side, those with the least hashed ids."""
-    held = []
-    for side in (0, 1):
-        held += records.filter(F.col("side") == side).orderBy(F.xxhash64("id"), "id").limit(sample).select("names", "title", "stems", "years", "nums").collect()
-    rows = []
-    for r in held:
-        rows.append([*(("author", n) for n in r["names"].split()), *(("title", t) for t in r["title"].split()), *(("source", f"s:{t}") for t in r["stems"].split()), *(("year", f"y:{y}") for y in r["years"])])
-    return Model(skip_gram(rows), word_weights(records))
+def _context(token: str) -> int:
+    return _xx(token) % CONTEXTS
+
+
+def walk_vectors(records: DataFrame, rounds: int = 2) -> np.ndarray:
+    """Vectors of hashed tokens by what walks over all records meet around them, one record away and, in the second round,
+    two."""
+    table = np.random.default_rng(53).standard_normal((CONTEXTS, DIMS)).astype(np.float32) / DIMS**0.5
+    rows = records.select("names", "title", "stems", "years").coalesce(MOST_TABLES)
+    out = np.zeros_like(table)
+    for _ in range(rounds):
+        shared = records.sparkSession.sparkContext.broadcast(table)
+
+        def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sums, n = np.zeros((CONTEXTS, DIMS), np.float64), np.zeros(CONTEXTS, np.int64)
+            for b in batches:
+                tokens = [[*a.split(), *t.split(), *("s:" + x for x in s.split()), *(f"y:{x}" for x in y)] for a, t, s, y in zip(*(c.to_pylist() for c in b.columns))]
+                ids = np.fromiter((_context(t) for x in tokens for t in x), np.int64)
+                more, seen = around(ids, np.fromiter(map(len, tokens), np.int64, len(tokens)), shared.value)
+                sums += more
+                n += seen
+            yield pa.RecordBatch.from_arrays([pa.array([sums.astype(np.float32).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["sums", "n"])
+
+        sums, n = np.zeros((CONTEXTS, DIMS)), np.zeros(CONTEXTS, np.int64)
+        for r in rows.mapInArrow(add, "sums binary, n binary").collect():
+            sums += np.frombuffer(r["sums"], np.float32).reshape(CONTEXTS, DIMS)
+            n += np.frombuffer(r["n"], np.int64)
+        table = Contexts.centred(sums, n)
+        out += table
+    return (out / np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))).astype(np.float16)
+
+
+def fit_model(records: DataFrame) -> Model:
+    """The token vectors and the weights of title words, over all records."""
+    return Model(Contexts(walk_vectors(records), _context), word_weights(records))
 
 
 def places(side: int, years: list[int], nums: list[int]) -> list[str]:

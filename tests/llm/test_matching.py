@@ -97,3 +97,16 @@ def test_matching(spark):
 
     rows = [sorted(map(str, read_records(w, df, most).collect())) for most in (1000, 0)]  # known names broadcast, then joined
     assert rows[0] == rows[1]
+
+
+def test_token_vectors_come_from_all_records(spark):
+    from corpusloom.llm.matching import fit_model
+
+    # far more records than were once drawn, each word in few of them
+    rows = [(k, k % 2, f"n{k // 4}", f"w{k // 4} x{k // 4} z{k // 4}", "ann", [1990 + k % 20]) for k in range(9000)]
+    records = spark.createDataFrame(rows, "id bigint, side int, names string, title string, stems string, years array<int>")
+    trained = fit_model(records).trained
+    got = [[trained.get(t) for t in (f"n{k}", f"w{k}", f"x{k + 700}")] for k in range(0, 1500, 10)]
+    assert all(v is not None and np.linalg.norm(v.astype(float)) > 0.9 for row in got for v in row)
+    near, far = (np.mean([row[0].astype(float) @ row[k].astype(float) for row in got]) for k in (1, 2))
+    assert near > 0.2 + far
