@@ -108,16 +108,27 @@ def segment_sums(rows: np.ndarray, which: np.ndarray, size: np.ndarray) -> np.nd
 CONTEXTS = 1 << 14
 
 
+#: Rows that are gathered at once, so that they stay in the processor's cache.
+GATHERED = 4096
+
+
 def around(ids: np.ndarray, size: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sums, counts) for each hashed token: the mean of the other tokens' rows, added over the records that hold it.
     Record k has the next size[k] of ``ids``."""
-    sums, n = np.zeros_like(table), np.bincount(ids, minlength=len(table))
+    n = np.bincount(ids, minlength=len(table))
+    share = (1 / np.maximum(1, size - 1)).astype(np.float32)
     rec = np.repeat(np.arange(len(size)), size)
-    mean = (segment_sums(table, ids, size)[rec] - table[ids]) / np.maximum(1, size - 1)[rec, None].astype(np.float32)
+    # a record's whole sum for each of its tokens, less the token's own part of it
+    total = segment_sums(table, ids, size) * share[:, None]
+    sums = table * -np.bincount(ids, share[rec], len(table)).astype(np.float32)[:, None]
     order = np.argsort(ids, kind="stable")
-    if len(order):
-        which, start = np.unique(ids[order], return_index=True)
-        sums[which] = np.add.reduceat(mean[order], start)
+    ids, rec = ids[order], rec[order]
+    held = np.empty((GATHERED, table.shape[1]), np.float32)
+    for k in range(0, len(ids), GATHERED):
+        part = ids[k : k + GATHERED]
+        rows = np.take(total, rec[k : k + GATHERED], axis=0, out=held[: len(part)], mode="clip")
+        start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        sums[part[start]] += np.add.reduceat(rows, start)
     return sums, n
 
 
@@ -130,6 +141,9 @@ class Contexts:
     def get(self, token: str) -> np.ndarray:
         return self.table[self.bucket(token)]
 
+    def rows(self, tokens: list[str]) -> np.ndarray:
+        return self.table[np.fromiter(map(self.bucket, tokens), np.int64, len(tokens))]
+
     @staticmethod
     def centred(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
         """What is met around each token less what is met around any, each row of length 1; none for tokens never met."""
@@ -141,7 +155,7 @@ class Contexts:
 class TokenVectors:
     """Unit vectors of tokens: hashed letter trigrams plus the trained vector, where there is one."""
 
-    def __init__(self, trained: dict[str, np.ndarray], share: float = 0.35, dims: int = DIMS):
+    def __init__(self, trained: dict[str, np.ndarray] | Contexts, share: float = 0.35, dims: int = DIMS):
         self.trained, self.share, self.dims = trained, share, dims
         self.table = gram_table(dims)
 
@@ -151,9 +165,12 @@ class TokenVectors:
             return np.zeros((0, self.dims), np.float32)
         out = segment_sums(self.table, *grams(tokens))
         out /= np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))
-        for k, t in enumerate(tokens):
-            if (v := self.trained.get(t)) is not None:
-                out[k] += self.share * v.astype(np.float32)
+        if isinstance(self.trained, Contexts):
+            out += self.share * self.trained.rows(tokens).astype(np.float32)
+        else:
+            for k, t in enumerate(tokens):
+                if (v := self.trained.get(t)) is not None:
+                    out[k] += self.share * v.astype(np.float32)
         return out / np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))
 
 

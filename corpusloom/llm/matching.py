@@ -8,12 +8,16 @@ references with an identifier, gives the confidence, which decides.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +37,24 @@ NAME_TABLES, NAME_BITS, TITLE_TABLES, TITLE_BITS, PLACE_BITS = 1, 26, 3, 18, 30
 #: Works of a bucket that one task takes; a bucket with more is split into parts of about so many.
 HOT = 2000
 
-_SCHEMA = "id bigint, side int, names string, title string, stems string, years array<int>, nums array<int>, spots string, doi string"
+_SCHEMA = "id bigint, side int, names string, title string, stems string, years array<int>, nums array<int>, spots string, doi string, tokens array<smallint>"
+
+
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Puts off the search for cycles of garbage while the many small objects of a batch are made, none of which are in one."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def strings(col: pa.Array) -> list[str | None]:
+    """The texts of a column; NumPy makes them faster than ``to_pylist``."""
+    return col.to_numpy(zero_copy_only=False).tolist()
 
 
 def read_records(works: DataFrame, refs: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
@@ -45,23 +66,28 @@ def read_records(works: DataFrame, refs: DataFrame, most_words: int = MOST_WORDS
     given = given.groupBy("g").count().filter("count >= 3").select(tidy("g").alias("w")).distinct().withColumn("x", F.lit(1.0))
 
     types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string(), pa.string()]
-    cols = ["id", "side", "names", "title", "stems", "years", "nums", "spots", "doi"]
+    cols = ["id", "side", "names", "title", "stems", "years", "nums", "spots", "doi", "tokens"]
 
     def batch_of(ids: pa.Array, side: int, rows: list[tuple]) -> pa.RecordBatch:
         names, title, stems, years, nums, doi = zip(*rows) if rows else [()] * 6
         fields = ([" ".join(n) for n in names], title, stems, years, nums, [" ".join(places(side, y, n)) for y, n in zip(years, nums)], doi)
-        return pa.RecordBatch.from_arrays([ids, pa.array([side] * len(rows), pa.int32()), *[pa.array(f, t) for f, t in zip(fields, types)]], names=cols)
+        return pa.RecordBatch.from_arrays([ids, pa.array([side] * len(rows), pa.int32()), *[pa.array(f, t) for f, t in zip(fields, types)], contexts(names, title, stems, years)], names=cols)
 
     def read_works(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, *fields = b.columns
-            yield batch_of(ids, 0, [read_work(f or [], t, i, s, v, p, x) for f, t, i, s, v, p, x in zip(*(f.to_pylist() for f in fields))])
+            ids, families, *fields = b.columns
+            flat, ends = strings(families.flatten()), np.cumsum(families.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            with no_collection():
+                out = batch_of(ids, 0, [read_work(flat[k:e], *x) for k, e, x in zip([0, *ends], ends, zip(*map(strings, fields)))])
+            yield out
 
     def read_refs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, author = b.column(1).to_pylist(), b.column(2).to_pylist()
+            raw, author = strings(b.column(1)), strings(b.column(2))
             given = [dict(x or ()) for x in b.column(3).to_pylist()] if known is None else [known.value] * len(raw)
-            yield batch_of(b.column(0), 1, [read_reference(*x) for x in zip(raw, author, given)])
+            with no_collection():
+                out = batch_of(b.column(0), 1, [read_reference(*x) for x in zip(raw, author, given)])
+            yield out
 
     w = works.select(
         F.col("work_id").cast("bigint").alias("id"), F.col("author.family").alias("families"), "title", F.col("issued").cast("string").alias("issued"), F.coalesce("source_long", "source_short").alias("source"),
@@ -102,14 +128,12 @@ class Model:
             self.title_planes = hyperplanes(TITLE_TABLES, TITLE_BITS, seed=37)
             self.place_sides = self.vectors.table @ hyperplanes(1, PLACE_BITS, seed=43)
             self.check_planes = hyperplanes(1, 62, seed=41)
+            self.weight = Weights(self.weights).__getitem__
             self.words = Kept(lambda ws: self.vectors.of(ws) * np.array([self.weight(w) for w in ws], np.float32)[:, None])
             self.names = Kept(lambda ns: signatures(self.vectors.of(ns), name_planes, NAME_TABLES, NAME_BITS))
             self._made = True
         return self
 
-    def weight(self, word: str) -> float:
-        return float(self.weights[_xx(word)])
-
     def titles(self, titles: list[str]) -> np.ndarray:
         out = self.words.sums([t.split() for t in titles])
         return np.zeros((len(titles), self.vectors.dims), np.float32) if out is None else out
@@ -120,30 +144,63 @@ class Model:
         return (segment_sums(self.place_sides, *grams(spots)) > 0) @ (np.int64(1) << np.arange(PLACE_BITS, dtype=np.int64))
 
 
-_seen: dict[str, int] = {}
+class Buckets(dict):
+    """The bucket of each word behind a mark, as Spark's xxhash64 gives it; begun anew when 300,000 words are held."""
+
+    def __init__(self, mark: str = ""):
+        super().__init__()
+        self.mark = mark
+
+    def __missing__(self, word: str | int) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = b = xxhash.xxh64_intdigest(f"{self.mark}{word}".encode(), 42) % WORD_BUCKETS
+        return b
+
+
+_buckets_of, _stems_of, _years_of = Buckets(), Buckets("s:"), Buckets("y:")
 
 
-def _xx(word: str) -> int:
-    """The bucket of a word, as Spark's xxhash64 gives it."""
-    b = _seen.get(word)
-    if b is None:
-        import xxhash
+class Weights(dict):
+    """The weight of each word; begun anew when 300,000 words are held."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.weights = weights
 
-        if len(_seen) > 300_000:
-            _seen.clear()
-        b = _seen[word] = xxhash.xxh64_intdigest(word.encode("utf-8"), 42) % WORD_BUCKETS
-    return b
+    def __missing__(self, word: str) -> float:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = x = float(self.weights[_buckets_of[word]])
+        return x
 
 
 def _context(token: str) -> int:
-    return _xx(token) % CONTEXTS
+    return _buckets_of[token] % CONTEXTS
+
+
+def contexts(names: list[list[str]], titles: list[str], stems: list[str], years: list[list[int]]) -> pa.Array:
+    """The hashed tokens of each record, as ``_context`` gives them."""
+    word, stem, year = _buckets_of.__getitem__, _stems_of.__getitem__, _years_of.__getitem__
+    ids = [[*map(word, n), *map(word, t.split()), *map(stem, s.split()), *map(year, y)] for n, t, s, y in zip(names, titles, stems, years)]
+    flat = np.fromiter(chain.from_iterable(ids), np.int32) % CONTEXTS
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32)), pa.array(flat.astype(np.int16)))
+
+
+def _contexts():
+    """Column: the same, of records that were not read here; CONTEXTS is a power of two."""
+    marked = lambda mark, x: F.concat(F.lit(mark), F.replace(x, F.lit(" "), F.lit(" " + mark)))
+    some = lambda x: F.when(x != "", x)
+    years = F.array_join(F.col("years").cast("array<string>"), " ")
+    text = F.concat_ws(" ", some(F.col("names")), some(F.col("title")), marked("s:", some(F.col("stems"))), marked("y:", some(years)))
+    return F.transform(F.split(some(text), " "), lambda x: F.xxhash64(x).bitwiseAND(F.lit(CONTEXTS - 1)).cast("smallint")).alias("tokens")
 
 
 def walk_vectors(records: DataFrame, rounds: int = 2) -> np.ndarray:
     """Vectors of hashed tokens by what walks over all records meet around them, one record away and, in the second round,
     two."""
     table = np.random.default_rng(53).standard_normal((CONTEXTS, DIMS)).astype(np.float32) / DIMS**0.5
-    rows = records.select("names", "title", "stems", "years").coalesce(MOST_TABLES)
+    rows = (records.select("tokens") if "tokens" in records.columns else cut(records.select(_contexts()))).filter("tokens is not null").coalesce(MOST_TABLES)
     out = np.zeros_like(table)
     for _ in range(rounds):
         shared = records.sparkSession.sparkContext.broadcast(table)
@@ -151,9 +208,7 @@ def walk_vectors(records: DataFrame, rounds: int = 2) -> np.ndarray:
         def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sums, n = np.zeros((CONTEXTS, DIMS), np.float64), np.zeros(CONTEXTS, np.int64)
             for b in batches:
-                tokens = [[*a.split(), *t.split(), *("s:" + x for x in s.split()), *(f"y:{x}" for x in y)] for a, t, s, y in zip(*(c.to_pylist() for c in b.columns))]
-                ids = np.fromiter((_context(t) for x in tokens for t in x), np.int64)
-                more, seen = around(ids, np.fromiter(map(len, tokens), np.int64, len(tokens)), shared.value)
+                more, seen = around(b.column(0).flatten().to_numpy(), np.diff(b.column(0).offsets.to_numpy()), shared.value)
                 sums += more
                 n += seen
             yield pa.RecordBatch.from_arrays([pa.array([sums.astype(np.float32).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["sums", "n"])
@@ -311,7 +366,7 @@ class Title:
         for w in title.split():
             words[w] = words.get(w, 0.0) + weight(w)
         self.title, self.words, self._grams, self.total = title, words, None, sum(words.values()) or 1e-9
-        self.part = _later_part.search(title) is not None
+        self.part = (" part" in title or " ii" in title) and _later_part.search(title) is not None
 
     @property
     def grams(self) -> set[str]:
@@ -429,11 +484,12 @@ def score_pairs(records: DataFrame, pairs: DataFrame, model: Model) -> DataFrame
         for b in batches:
             if not b.num_rows:
                 continue
-            made = Records()
-            refs, works = ([made[x] for x in b.column(k).to_numpy(zero_copy_only=False).tolist()] for k in (2, 3))
-            titles = {t: k for k, t in enumerate(dict.fromkeys([r.title for x in (refs, works) for r in x]))}
-            v, by_title = m.titles(list(titles)), Titles(m.weight)
-            f = dict(zip(("words", "names", "lead", "stems", "doi", "head", "part"), np.array([compare(r, w, by_title) for r, w in zip(refs, works)]).T))
+            with no_collection():
+                made = Records()
+                refs, works = ([made[x] for x in b.column(k).to_numpy(zero_copy_only=False).tolist()] for k in (2, 3))
+                titles = {t: k for k, t in enumerate(dict.fromkeys([r.title for x in (refs, works) for r in x]))}
+                v, by_title = m.titles(list(titles)), Titles(m.weight)
+                f = dict(zip(("words", "names", "lead", "stems", "doi", "head", "part"), np.array([compare(r, w, by_title) for r, w in zip(refs, works)]).T))
             f["cosine"] = (v[[titles[r.title] for r in refs]] * v[[titles[w.title] for w in works]]).sum(1)
             f["year"], f["volume"], f["page"] = compare_numbers(lists_of(b.column(4)), lists_of(b.column(5)), *(b.column(k).to_numpy() for k in (6, 7, 8)))
             score = agreement(f)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections.abc import Container
 
@@ -15,6 +16,7 @@ from corpusloom.llm.text import fold, plain
 NOTICES = ("retracted article", "retraction note", "retracted", "retraction", "withdrawn", "erratum to", "erratum", "corrigendum to", "corrigendum", "correction to", "correction", "reprint of")
 OTHERS = frozenset(("et", "al", "others", "and", "und", "y", "e", "in", "eds", "ed", "dir", "coll"))
 
+_notices = tuple(n + " " for n in NOTICES)
 _doi = regex.compile(r"(?:https?://(?:dx\.)?doi\.org/|\bdoi\s*[:.]?\s*)?\b10\.\s?\d{4,6}\s?/\s?[^\s;]+(?:\s?[._]\s?[^\s;]+|\s[\w.]*\d[\w.]*)*\s*$", regex.I)
 _doi_any = regex.compile(r"(?:https?://(?:dx\.)?doi\.org/|\bdoi\s*[:.]?\s*)?\b10\.\d{4,6}/\S+", regex.I)
 _broken = regex.compile(r"(\p{Ll})- (\p{Ll})")
@@ -22,7 +24,7 @@ _tag = regex.compile(r"<[^<>]{1,60}>|&\w+;")
 _lead = regex.compile(r"^\s*(?:\p{Lu}{3,}(?:\s\p{Lu}{3,})*\s*>\s*)?(?:[\[(]\d+[\])]\s*|\d{1,3}\.\s+)?")
 _int = regex.compile(r"(?<![\p{L}\d])(?<!\p{L}-)\d+")
 _year = regex.compile(r"(?<!\d)(?:19|20)\d\d(?!\d)")
-_dated = regex.compile(r"\s*[(\[]\s*(?:(?:19|20)?[\d\s-]{2,6}|n\.\s?d\.?|s\.\s?d\.?|in press|)\s*[)\]]\s*[.:,]?\s+")
+_dated = regex.compile(r"[(\[]\s*(?:(?:19|20)?[\d\s-]{2,6}|n\.\s?d\.?|s\.\s?d\.?|in press|)\s*[)\]]\s*[.:,]?\s+")
 _tail = regex.compile(
     r"[,.\s]*(?:"
     r"\b\d+\s?\(\d*\),\s*\d*\s*[-–]?\s*\d*"  # 12(5), 1993-2017
@@ -39,12 +41,12 @@ _IN_TAIL = "0123456789()[],-–:;. \t\n" + "tvolpndires"
 _abbreviated = regex.compile(r"(?:^|[.,…:?!]\s+)((?:\p{Lu}\p{Ll}{1,9}\.?\s)?(?:\p{Lu}\p{Ll}{1,9}\.\s?){1,3}\p{Lu}\p{Ll}{1,9}\.?)\s*$")
 _person = regex.compile(r"^(?:\p{Lu}\.[\s-]*)+(?:\p{Ll}+\s)*[\p{L}'’-]+(?:\s\p{Lu}[\p{L}'’-]+)?$")
 _name_word = regex.compile(r"\p{L}[\p{L}\p{M}'’-]*\.?|,")
+_ascii_word = re.compile(r"[A-Za-z][A-Za-z'-]*\.?|,")
 _dash = regex.compile(r"\s[-–—]\s")
 _and = regex.compile(r"\s(?:and|und|et|y|&)\s")
 _et_al = regex.compile(r"\s+(?:et al\.?|& al\.?|and others|et)\s*$")
 _al_end = regex.compile(r"\b(?:al\.?|others)\s*$")
 _spaces = regex.compile(r"\s+")
-_digits = regex.compile(r"\d{1,6}")
 _list_marks = regex.compile(r"[,;&/]")
 _between = regex.compile(r"[,;&/]|\s(?:and|und|et|y)\s")
 
@@ -67,10 +69,13 @@ def _bare(w: str) -> tuple[str, int, str]:
 
 def surname_keys(text: str, given: Container[str]) -> list[str]:
     """Keys of the surnames in a list of authors, in order, each once."""
+    if text.isalpha():  # one word
+        bare, kind, f = _bare(text)
+        return [] if len(text) < 3 or kind == SKIPPED or f in given else [bare]
     out: dict[str, None] = {}
     kept: list[str] = []
     several = False
-    for w in _name_word.findall(_between.sub(",", text)):
+    for w in (_ascii_word if text.isascii() else _name_word).findall(_between.sub(",", text)):
         if w == ",":
             if kept:
                 out["".join(kept)] = None
@@ -100,9 +105,10 @@ def title_words(title: str | None) -> str:
     if not title:
         return ""
     t = plain(_tag.sub(" ", title) if "<" in title or "&" in title else title)
-    for n in NOTICES:
-        if t.startswith(n + " "):
-            t = t[len(n) + 1 :]
+    if t.startswith(_notices):
+        for n in _notices:
+            if t.startswith(n):
+                t = t[len(n) :]
     return t
 
 
@@ -120,8 +126,9 @@ def split_reference(raw: str) -> tuple[str, str, str]:
         return authors, title, journal
     m = _dated.search(body, 2)
     authors = ""
-    if m and m.start() < 250 and m.end() < len(body) and body[m.start() - 1] != ":":
-        authors, body = body[: m.start()], body[m.end() :]
+    head = body[:2] + body[2 : m.start()].rstrip() if m else ""
+    if m and len(head) < 250 and m.end() < len(body) and head[-1:] != ":":
+        authors, body = head, body[m.end() :]
     elif m := _dash.search(body):
         head = body[: m.start()]
         if head.isupper() or sum(map(str.isupper, head)) > 0.5 * sum(map(str.isalpha, head)):
@@ -162,21 +169,22 @@ def read_reference(raw: str | None, author: str | None, given: Container[str]) -
             found = m.group()
             doi = _spaces.sub("", found[found.find("10.") :]).lower().rstrip(".,;")
             text = (text[: m.start()] + " " + text[m.end() :]).strip(" .,;")
-        text = _lead.sub("", _tag.sub(" ", text) if "<" in text or "&" in text else text, count=1)
+        text = _tag.sub(" ", text) if "<" in text or "&" in text else text
+        text = text[_lead.match(text).end() :]
         years = [int(y) for y in _year.findall(text)]
         numbers = [int(x) for x in _int.findall(text) if len(x) < 6]
         authors, title, journal = split_reference(text)
         names = surname_keys(authors, given)
     if author:
         names = list(dict.fromkeys([*names, *surname_keys(author, given)]))
-    stems = " ".join(w[:3] for w in plain(journal).split() if len(w) > 2 and not w.isdigit())
+    stems = " ".join([w[:3] for w in plain(journal).split() if len(w) > 2 and not w.isdigit()])
     return names, title_words(title), stems, list(dict.fromkeys(years)), list(dict.fromkeys(numbers)), doi
 
 
 def read_work(families: list[str | None], title: str | None, issued: str | None, source: str | None, volume: str | None, page: str | None, doi: str | None) -> tuple[list[str], str, str, list[int], list[int], str]:
     """The same of a work of the register; its numbers are volume and first page, -1 where missing."""
-    names = list(dict.fromkeys(k for f in families if f for k in surname_keys(_list_marks.sub(" ", f), frozenset())))
-    number = lambda x: int(x) if x and _digits.fullmatch(x.strip()) else -1
-    year = _year.findall(issued or "")
-    stems = " ".join(w[:3] for w in plain(source).split() if len(w) > 2)
-    return names, title_words(title), stems, [int(y) for y in year[:1]], [number(volume), number(page)], fold(doi or "").strip()
+    names = list(dict.fromkeys(k for f in families if f for k in surname_keys(f if f.isalpha() else _list_marks.sub(" ", f), frozenset())))
+    number = lambda x: int(x) if x and (x := x.strip()).isdecimal() and len(x) < 7 else -1
+    year = _year.search(issued or "")
+    stems = " ".join([w[:3] for w in plain(source).split() if len(w) > 2])
+    return names, title_words(title), stems, [int(year.group())] if year else [], [number(volume), number(page)], fold(doi or "").strip()

@@ -110,3 +110,38 @@ def test_token_vectors_come_from_all_records(spark):
     assert all(v is not None and np.linalg.norm(v.astype(float)) > 0.9 for row in got for v in row)
     near, far = (np.mean([row[0].astype(float) @ row[k].astype(float) for row in got]) for k in (1, 2))
     assert near > 0.2 + far
+
+
+def test_hashed_tokens_are_made_once_with_the_records(spark):
+    from corpusloom.llm.matching import _context, _contexts, read_records, walk_vectors
+
+    kinds = "work_id bigint, doi string, title string, author array<struct<given:string,family:string>>, issued string, source_long string, source_short string, volume string, first_page string"
+    works = [(1, None, "A b, a Été", [("Anna", "Kastel-Brun"), (None, None)], "1998", "Annals of Zed", None, "12", "3"), (2, None, None, None, None, None, None, None, None)]
+    refs = [(7, "Kastelbrun A, Ollmark B (1998) Été of the lattice. Ann. Zed. 12:345", "Ollmark, B."), (8, None, None)]
+    records = read_records(spark.createDataFrame(works, kinds), spark.createDataFrame(refs, "ref_id bigint, raw_ref string, author string"))
+    rows = records.select("*", _contexts().alias("again")).collect()
+    for r in rows:
+        want = [*r["names"].split(), *r["title"].split(), *("s:" + x for x in r["stems"].split()), *(f"y:{y}" for y in r["years"])]
+        assert r["tokens"] == [_context(t) for t in want] == (r["again"] or [])
+    assert len(rows) == 4 and sum(not r["tokens"] for r in rows) == 2
+    assert (walk_vectors(records) == walk_vectors(records.drop("tokens"))).all()
+
+
+def test_sums_around_tokens_against_loops():
+    from corpusloom.llm.embed import GATHERED, Contexts, TokenVectors, around
+
+    r = np.random.default_rng(3)
+    size = np.array([0, 1, 2, 0, *r.integers(1, 9, 1500)])
+    ids, table = r.integers(0, 40, size.sum()).astype(np.int16), r.standard_normal((50, 6)).astype(np.float32)
+    assert len(ids) > GATHERED
+    want, at = np.zeros((50, 6)), 0
+    for n in size:
+        own = ids[at : at + n]
+        for k, t in enumerate(own):
+            want[t] += np.delete(table[own], k, axis=0).sum(0) / max(1, n - 1)
+        at += n
+    sums, met = around(ids, size, table)
+    assert np.allclose(sums, want, atol=1e-2) and met.tolist() == np.bincount(ids, minlength=50).tolist()
+    tokens, rows = ["ab", "cde", "ab"], r.standard_normal((4, 48)).astype(np.float16)
+    at_once = TokenVectors(Contexts(rows, len))
+    assert (at_once.of(tokens) == TokenVectors({t: at_once.trained.get(t) for t in tokens}).of(tokens)).all()
