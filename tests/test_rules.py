@@ -1,5 +1,6 @@
 """Rules that SQL cannot say, against plain loops and small cases."""
 
+import difflib
 import random
 
 import pytest
@@ -144,6 +145,30 @@ def test_researchers(spark):
     assert got == {1: (10, 100), 2: (11, 17), 3: (12, 100), 4: (13, 100)}
 
 
+def test_researchers_meet_all_others(spark, tmp_path):
+    from corpusloom.plans.registry import queries
+
+    kinds = "profile_id bigint, firstName string, lastName string, email array<string>, affiliations array<string>, titles array<string>, coAuthors array<string>"
+    rows = [
+        (1, "Anna", "Zor", ["a@x"], None, None, [""]), (2, "Bert", "Olm", ["A@x "], None, None, ["", None]), (3, "Cleo", "Dim", None, None, ["a cold sea of salt and ice"], None), (4, "Eva", "Fim", None, None, ["the cold sea of salt or ice"], None),
+        (5, "Gil", "Kez", None, ["a", "b", "c"], None, None), (6, "Gus", "Kez", None, ["c", "b", "a", ""], None, None), (7, "Hal", "Kez", None, ["b", ""], None, None), (8, "Ida", "Bar", [" "], None, [""], [" "]),
+    ]
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "author_profiles.parquet"))
+    got = {r["id"]: (r["candidate"], r["points"]) for r in queries()["matched_researchers"](spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 100), 2: (1, 100), 3: (4, 100), 4: (3, 100), 5: (6, 37), 6: (5, 37), 7: (5, 15)}
+
+
+def test_titles_alike_as_by_brute_force(spark):
+    r = random.Random(4)
+    words = "river stone of the light on deep nets an ice sea for émile crystals salt in a protein structures".split()
+    titles = [" ".join(r.choice(words) for _ in range(r.choice([2, 5, 8, 25, 50]))) for _ in range(300)]
+    df = spark.createDataFrame([(i, "x", None, None, None, None, [t]) for i, t in enumerate(titles)], "id int, first string, last string, email array<string>, affiliations array<string>, coauthors array<string>, titles array<string>")
+    want = {i: next((k for k, y in enumerate(titles) if k != i and difflib.SequenceMatcher(None, x, y).ratio() > 0.7), None) for i, x in enumerate(titles)}
+    for most in (1 << 24, 4000):
+        got = {g["id"]: g["candidate"] for g in R.same_researcher(df, most=most).collect()}
+        assert got == {i: k for i, k in want.items() if k is not None} and 50 < len(got) < 300
+
+
 def test_rules_around_models(spark):
     assert value(spark, D.fenced_block(F.col("x")), "x string", "a ```one\ntwo three``` b") == "one two three" and value(spark, D.fenced_block(F.col("x")), "x string", "none") == ""
     answers = iter(["no fence", "```short```", "```long enough answer```"])
