@@ -169,6 +169,42 @@ def test_titles_alike_as_by_brute_force(spark):
         assert got == {i: k for i, k in want.items() if k is not None} and 50 < len(got) < 300
 
 
+def test_search_of_works_makes_no_pairs(spark):
+    r = random.Random(6)
+    words = [f"w{k:02d}" for k in range(40)] + ["the", "of"]
+    titles = {f"10.1/{i:03d}": " ".join(r.choice(words) for _ in range(r.randint(1, 9))) for i in range(300)}
+    refs = {i: " ".join(r.sample(words, r.randint(1, 14))) for i in range(120)} | {200: ""}
+    works = spark.createDataFrame([(d, t, "a", 2000, "s") for d, t in titles.items()], "doi string, _wt string, _wa string, _wy int, _ws string")
+    rows = spark.createDataFrame(list(refs.items()), "id int, _u string")
+    parts = {d: {w for w in t.split(" ") if len(w) > 2} for d, t in titles.items()}
+    seen = {w: sum(w in p for p in parts.values()) for w in words}
+    rarest = {d: sorted(p, key=lambda w: (seen[w], w))[:3] for d, p in parts.items()}
+    want = {}
+    for i, u in refs.items():
+        own = set(u.split(" "))
+        found = [(-len(p & own) / len(p), -len(p), d) for d, p in parts.items() if p and own & set(rarest[d]) and len(p & own) / len(p) >= 0.4]
+        want |= {(i, k): f[2] for k, f in enumerate(sorted(found)[:5], 1)}
+    got = R.search_works(rows, works, "id")
+    assert {(g["id"], g["rank"]): g["doi"] for g in got.collect()} == want
+    assert "Join" not in got._jdf.queryExecution().toString()
+    sliced = R._searched(rows, works, 5, 3, 0.4, most=70).select("id", F.posexplode("_best").alias("k", "w"))
+    assert {(g["id"], g["k"] + 1): g["w"]["doi"] for g in sliced.collect()} == want
+
+
+def test_partial_ratio_as_by_plain_loop(spark):
+    r = random.Random(7)
+    pairs = [("".join(r.choice("abcd ") for _ in range(r.randint(0, 12))), "".join(r.choice("abcd ") for _ in range(r.randint(0, 40)))) for _ in range(400)]
+
+    def plain(p, q):
+        short, long = (p, q) if len(p) <= len(q) else (q, p)
+        blocks = difflib.SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks() if short else []
+        starts = [max(0, b.b - b.a) for b in blocks]
+        return max([0.0, *(difflib.SequenceMatcher(None, short, long[s : s + len(short)], autojunk=False).ratio() for s in starts)])
+
+    got = spark.createDataFrame(pairs, "p string, q string").select("p", "q", T.partial_ratio(F.col("p"), F.col("q")).alias("x")).collect()
+    assert all(g["x"] == plain(g["p"], g["q"]) for g in got)
+
+
 def test_rules_around_models(spark):
     assert value(spark, D.fenced_block(F.col("x")), "x string", "a ```one\ntwo three``` b") == "one two three" and value(spark, D.fenced_block(F.col("x")), "x string", "none") == ""
     answers = iter(["no fence", "```short```", "```long enough answer```"])
