@@ -201,3 +201,13 @@ def test_keyword_neighbours_reads_whole_texts(spark, tmp_path):
     rows = [(1, f"{fill} {'protein receptor ' * 300}"), (2, f"{fill} {'protein receptor ' * 300}"), (3, "protein " * 10), (4, "stone river")]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert "receptor" in {r["term"] for r in queries()["keyword_neighbours"](spark, str(tmp_path)).collect()}
+
+
+def test_keywords_are_trained_side_by_side(spark, monkeypatch):
+    monkeypatch.setattr(L, "PART_WORDS", 100)
+    rows = [(k, ["protein", "receptor", f"w{k % 7}"] * (1 + k % 3)) for k in range(60)] + [(99, [])]
+    words = spark.createDataFrame(rows, "doc_id int, words array<string>")
+    model, weight = L.keyword_vectors(words, "doc_id", "words", size=8, iterations=1)
+    assert model.getNumPartitions() == min(3, spark.sparkContext.defaultParallelism)
+    want = A.tf_idf(words.select("doc_id", F.explode("words").alias("term")), "doc_id", "term").groupBy("term").agg(F.max("tfidf").alias("x"))
+    assert {r["term"]: r["tfidf"] for r in weight.collect()} == {r["term"]: r["x"] for r in want.collect()}
